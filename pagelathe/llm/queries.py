@@ -78,7 +78,7 @@ def queries() -> dict:
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _SHINGLES = """CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
-     ELSE [rpad(array_to_string(ws, ' '), length(array_to_string(ws, ' ')) + 5 - len(ws), ' ')] END"""
+     ELSE [array_to_string(ws, ' ') || repeat(' ', 5 - len(ws))] END"""
 
 
 def oracle_sql() -> dict[str, str]:
