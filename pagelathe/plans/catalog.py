@@ -1,23 +1,285 @@
-"""All queries of the library's own operators, with SQL to hold them against."""
+"""All queries of the library's own operators, each with SQL to hold it against.
+
+Text operators run over ``documents``, word-table operators over a word table read off
+``lineitem``, registries over ``orders``, ``customer`` and ``events``; rules about Cyrillic
+text, of which the tables have none, over inline rows that both engines read.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "src_document_scan"
+from pagelathe.functions import text as T
+from pagelathe.functions import validators as V
+from pagelathe.operators import lookups as L
+from pagelathe.operators import words as W
+from pagelathe.streaming import queue as S
+
+FLAGSHIP = "nrm06_normalize"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _on_text(name: str, f, sql: str, **more) -> None:
+    """A function of ``documents.text``, as a column ``out``."""
+    _add(name, lambda s, d: _table(s, d, "documents").select("doc_id", f(F.col("text")).alias("out")), f"SELECT doc_id, {sql} AS out FROM documents")
+
+
+def _on_values(name: str, values: list[str], f, sql: str) -> None:
+    """A function of inline strings, as a column ``out``. ``¶`` stands for a newline."""
+    rows = ", ".join(f"({i}, '{v}')" for i, v in enumerate(values))
+    src = f"SELECT i, replace(v, '¶', chr(10)) AS v FROM (VALUES {rows}) AS t(i, v)"
+    _add(name, lambda s, d: s.sql(src).select("i", f(F.col("v")).alias("out")), f"SELECT i, {sql} AS out FROM ({src})")
+
+
+# --- text ---------------------------------------------------------------------------------
+_NL = "chr(10)"
+_ws = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_inv = r"regexp_replace(X, '[\x{AD}\x{200B}-\x{200D}\x{FEFF}\x{202A}\x{202C}]', '', 'g')"
+_hyp = r"regexp_replace(X, '([А-Яа-яЁёA-Za-z])[-‐‑‒–—―−]\s*\n\s*([А-Яа-яЁёA-Za-z])', '\1\2', 'g')"
+_spc = r"regexp_replace(X, '[ \t\x{A0}\x{2009}\x{202F}]+', ' ', 'g')"
+_mnl = r"regexp_replace(X, '\n{2,}', chr(10), 'g')"
+_crl = r"regexp_replace(X, '\r\n?', chr(10), 'g')"
+_strip = r"regexp_replace(X, '^\s+|\s+$', '', 'g')"
+
+
+def _nest(*steps: str) -> str:
+    out = "text"
+    for s in steps:
+        out = s.replace("X", out)
+    return out
+
+
+_on_text("nrm01_strip_invisible", T.strip_invisible, _nest(_inv))
+_on_text("nrm03_hyphen_breaks", T.join_hyphen_breaks, _nest(_hyp))
+_on_text("nrm04_spaces", T.collapse_spaces, _nest(_spc))
+_on_text("nrm05_newlines", T.collapse_newlines, _nest(_mnl))
+_on_text("nrm06_normalize", T.normalize, _nest(_inv, _crl, _hyp, _spc, _mnl, _strip))
+_on_text("pst03_merge_hyphenated", T.merge_hyphenated, r"regexp_replace(text, '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g')")
+_on_text("pst04_whitespace", T.normalize_whitespace, _ws)
+_on_text("pst05_artifacts", T.remove_artifacts, r"array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) = '' OR regexp_matches(x, '[\p{L}\p{N}]')), chr(10))")
+_on_text("flt01_is_garbage", T.is_garbage, "NOT regexp_matches(text, '[А-Яа-яЁёA-Za-z0-9]')")
+_dense = r"regexp_replace(x, '\s+', '', 'g')"
+_let = rf"length(regexp_replace({_dense}, '[^\p{{L}}]', '', 'g'))"
+_dig = rf"length(regexp_replace({_dense}, '[^\p{{Nd}}]', '', 'g'))"
+_all = f"length({_dense})"
+_oth = f"({_all} - {_let} - {_dig})"
+_loose = rf"(regexp_matches({_dense}, '^[-=_*~`.•·]{{3,}}$') OR ({_all} > 0 AND NOT ({_let} = 0 AND {_oth} = 0) AND {_oth} * 10 >= {_all} * 7))"
+_strict = f"({_loose} OR ({_all} = 1 AND {_let} = 1) OR ({_all} >= 3 AND {_oth} * 5 >= {_all} * 2))"
+for _name, _strictness, _rule in (("flt05_garbage_lenient", "lenient", _loose), ("flt06_garbage_strict", "strict", _strict)):
+    _on_text(_name, lambda c, k=_strictness: T.filter_garbage_lines(c, k), rf"CASE WHEN text = '' THEN text ELSE array_to_string(list_filter(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: NOT {_rule}), chr(10)) END")
+_on_text("flt08_letters", lambda c: T.char_stats(c)["letters"], _let.replace("(x,", "(text,"))
+_on_text("flt08_digits", lambda c: T.char_stats(c)["digits"], _dig.replace("(x,", "(text,"))
+_on_text("flt19_substantial", T.is_substantial_page, r"length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 50 AND len(regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')) >= 3")
+_on_text("flt21_find", lambda c: T.count_needle(c, "The"), "len(regexp_extract_all(lower(text), 'the'))")
+_on_text("agg21_alnum_score", T.count_alnum, r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))")
+_on_text("spl04_pages", lambda c: F.size(F.split(c, r"\n\n", -1)), "len(string_split(text, chr(10) || chr(10)))")
+_on_values("pst21_fold_number", ["АБ12", "ОЕ-7", "xА"], T.fold_number, "upper(translate(v, 'АЕО', 'AEO'))")
+_on_values("nrm11_script_of", ["Ж", "z", "7", ""], T.script_of, "CASE WHEN regexp_matches(v, '^[А-Яа-яЁё]$') THEN 'c' WHEN regexp_matches(v, '^[A-Za-z]$') THEN 'l' ELSE '' END")
+_on_values("nrm06_cyrillic", ["груз-¶ полу  чатель", " а¶¶б ", "x‐¶y"], T.normalize, _nest(_inv, _crl, _hyp, _spc, _mnl, _strip).replace("text", "v"))
+_on_values("flt15_capitals", ["АКТ", "УПД", "Акт", "АБ", "ДОГОВОРЫ"], lambda c: T.keep_capitals(c, F.lit(30)), "regexp_matches(v, '^[А-ЯЁ]{3,7}$')")
+_on_values("flt16_brand", ["VOLVO", "VOLVO1", "Ab", "x-MAN", "ABCDEFGHIJKL"], T.is_brand_suspect, r"NOT regexp_matches(v, '\p{Nd}') AND regexp_matches(v, '(^|[^\p{L}])\p{Lu}{3,10}([^\p{L}]|$)')")
+
+# --- validators ---------------------------------------------------------------------------
+_INNS = ["7707083893", "7707083894", "500100732259", "500100732258", "77070838", "", "abcdefghij", "0000000000"]
+_w = lambda weights, v="v": "(" + " + ".join(f"CAST({v}[{i + 1}] AS INT) * {w}" for i, w in enumerate(weights)) + f") % 11 % 10 = CAST({v}[{len(weights) + 1}] AS INT)"
+_inn = lambda v="v": f"CASE WHEN regexp_matches({v}, '^[0-9]{{10}}$') THEN {_w(V.INN10, v)} WHEN regexp_matches({v}, '^[0-9]{{12}}$') THEN {_w(V.INN12A, v)} AND {_w(V.INN12B, v)} ELSE false END"
+_on_values("val05_inn", _INNS, V.is_inn, _inn())
+_add(
+    "val07_inn_over_orders",
+    lambda s, d: _table(s, d, "orders").select("o_orderkey", V.is_inn(F.lpad((F.col("o_orderkey") * 7919 + 7700000000).cast("string"), 10, "0")).alias("ok")),
+    f"SELECT o_orderkey, {_inn()} AS ok FROM (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + 7700000000 AS VARCHAR), 10, '0') AS v FROM orders)",
+)
+_on_values("val08_kpp", ["770701001", "7707АБ001", "77070100", "7707ab001"], V.is_kpp, "regexp_matches(v, '^[0-9]{4}[0-9A-ZА-Я]{2}[0-9]{3}$')")
+_on_values("val09_ogrn", ["1027700132195", "1027700132196", "304500116000157", "304500116000158", ""], V.is_ogrn, "CASE WHEN regexp_matches(v, '^[0-9]{13}$') THEN CAST(v[1:12] AS BIGINT) % 11 % 10 = CAST(v[13] AS INT) WHEN regexp_matches(v, '^[0-9]{15}$') THEN CAST(v[1:14] AS BIGINT) % 13 % 10 = CAST(v[15] AS INT) ELSE false END")
+_subs = "list_distinct(list_filter(flatten(list_transform(range(1, length(v) + 1), lambda i: list_transform(range(0, 10), lambda d: v[1:i - 1] || CAST(d AS VARCHAR) || v[i + 1:]))), lambda x: x <> v))"
+_dels = "list_distinct(list_transform(range(1, length(v) + 1), lambda i: v[1:i - 1] || v[i + 1:]))"
+_on_values("val10_substitutions", ["123", "00", "9"], lambda c: F.array_join(F.sort_array(V.substitutions(c)), ","), f"array_to_string(list_sort({_subs}), ',')")
+_on_values("val11_deletions", ["1234", "00", "12321"], lambda c: F.array_join(F.sort_array(V.deletions(c)), ","), f"array_to_string(list_sort({_dels}), ',')")
+_near = f"list_distinct(list_filter(list_concat({_subs}, {_dels}), lambda x: {_inn('x')}))"
+_on_values("val13_fix_inn", ["77070838931", "7707083894", "7707083893", "5001007322591", "77"], V.fix_inn, f"CASE WHEN regexp_matches(v, '^[0-9]{{10,13}}$') AND NOT {_inn()} AND len({_near}) = 1 THEN {_near}[1] END")
+_like = f"translate({{}}, '{V.LOOKALIKE}', '{V.DIGITS}')"
+_on_values("val19_clean_digits", ["1O5", "l2B", "x1", "", "ZST"], V.clean_digits, f"CASE WHEN regexp_matches({_like.format('v')}, '^[0-9]+$') THEN {_like.format('v')} END")
+_on_values("val01_date", ["01.02.2022", "31.02.2022", "1.2.2022", "29.02.2024", "01.01.1999", ""], lambda c: V.is_date(c, F.lit("2024-06-01").cast("date")), r"coalesce(regexp_matches(v, '^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$') AND year(try_strptime(v, '%d.%m.%Y')) BETWEEN 2014 AND 2025, false)")
+_dpat = r"^\s*([0-9OoОо|lIZzBSsGT]{1,2})[.,\s\-/]([0-9OoОо|lIZzBSsGT]{1,2})[.,\s\-/]([0-9OoОо|lIZzBSsGT]{2,4})\s*$"
+_part = lambda i: _like.format(f"regexp_extract(v, '{_dpat}', {i})")
+_on_values("val15_fix_date", ["1.2.24", "O1,l2.2O22", "31.02.2022", "12-05-1999", "1 1 1850", "x"], V.fix_date, f"CASE WHEN regexp_matches(v, '{_dpat}') THEN CASE WHEN year(try_strptime(dd, '%Y-%m-%d')) BETWEEN 1900 AND 2100 THEN strftime(try_strptime(dd, '%Y-%m-%d'), '%d.%m.%Y') END END".replace("dd", f"(CASE WHEN length({_part(3)}) = 2 THEN '20' || {_part(3)} ELSE lpad({_part(3)}, 4, '0') END || '-' || lpad({_part(2)}, 2, '0') || '-' || lpad({_part(1)}, 2, '0'))"))
+_on_values("val18_thousands", ["1234567", "12", "007", "1000"], V.group_thousands, "trim(reverse(regexp_replace(reverse(v), '([0-9]{3})', '\\1 ', 'g')))")
+_apat = r"^\s*([0-9\sOoОо]+)(?:[,.]([0-9\sOoОо]{1,2}))?(?:\s*(?:руб\.?|коп\.?|р\.|₽))?\s*$"
+_ai = _like.format(f"regexp_replace(regexp_extract(v, '{_apat}', 1, 'i'), '\\s+', '', 'g')")
+_af = _like.format(f"regexp_replace(regexp_extract(v, '{_apat}', 2, 'i'), '\\s+', '', 'g')")
+_on_values("val16_fix_amount", ["1 234,56 руб", "1234.5", "O,5O", "12х", "1000000"], V.fix_amount, f"CASE WHEN regexp_matches({_ai}, '^[0-9]+$') THEN trim(reverse(regexp_replace(reverse({_ai}), '([0-9]{{3}})', '\\1 ', 'g'))) || ',' || rpad({_af}, 2, '0') END")
+_pd = f"regexp_replace({_like.format('v')}, '[^0-9]', '', 'g')"
+_pn = f"CASE WHEN length({_pd}) = 10 THEN '7' || {_pd} WHEN length({_pd}) = 11 AND {_pd}[1] = '8' THEN '7' || {_pd}[2:] ELSE {_pd} END"
+_on_values("val17_fix_phone", ["8 (495) 725-8O-62", "+7 916 123 45 67", "4957258062", "123", "8 095 1234567"], V.fix_phone, f"CASE WHEN regexp_matches({_pn}, '^7[3-9][0-9]{{9}}$') THEN '+7 (' || ({_pn})[2:4] || ') ' || ({_pn})[5:7] || '-' || ({_pn})[8:9] || '-' || ({_pn})[10:11] END")
+_on_values("val02_plate", ["А123ВС77", "A123BC777", "АА123477", "Ж123ВС77", "a123bc 77"], V.is_plate, f"regexp_matches(trim(replace(translate(upper(v), '{V.PLATE_LATIN}', '{V.PLATE_CYRILLIC}'), '  ', ' ')), '{V.PLATE}')")
+_on_values("val20_iso_to_ru", ["2022-09-02", "2022-09-02T10:00", "x", "2022-02-30"], V.iso_to_ru, "strftime(try_strptime(v[1:10], '%Y-%m-%d'), '%d.%m.%Y')")
+_on_values("val21_ru_to_iso", ["02.09.2022", "30.02.2022", ""], V.ru_to_iso, "strftime(try_strptime(v, '%d.%m.%Y'), '%Y-%m-%d')")
+
+# --- word table ---------------------------------------------------------------------------
+_WORDS = """SELECT l_orderkey AS page, CAST(l_linenumber % 2 AS INT) AS block, 1 AS par, CAST(l_linenumber % 3 AS INT) AS line, l_linenumber AS word_num,
+    l_returnflag || l_linestatus || CAST(l_suppkey % 40 AS VARCHAR(20)) AS word, l_quantity * 2 AS conf,
+    CAST(l_partkey % 500 AS INT) AS "left", CAST(l_suppkey % 70 AS INT) AS "top", 20 AS width, 10 AS height FROM lineitem"""
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    whole = lambda c: F.col(c).cast("int")
+    return li.select(
+        F.col("l_orderkey").alias("page"),
+        (whole("l_linenumber") % 2).alias("block"),
+        F.lit(1).alias("par"),
+        (whole("l_linenumber") % 3).alias("line"),
+        F.col("l_linenumber").alias("word_num"),
+        F.concat("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 40).cast("string")).alias("word"),
+        (F.col("l_quantity") * 2).alias("conf"),
+        (whole("l_partkey") % 500).alias("left"),
+        (whole("l_suppkey") % 70).alias("top"),
+        F.lit(20).alias("width"),
+        F.lit(10).alias("height"),
+    )
+
+
+def _on_words(name: str, f, sql: str) -> None:
+    _add(name, lambda s, d: f(_words(s, d)), f"WITH w AS ({_WORDS}) {sql}")
+
+
+_box = 'min("left") AS x0, min("top") AS y0, max("left" + width) AS x1, max("top" + height) AS y1'
+_on_words("agg08_page_confidence", W.page_confidence, "SELECT page, avg(conf) AS mean_conf, count(*) AS n_words FROM w GROUP BY page")
+_on_words("agg09_adaptive_threshold", lambda w: W.page_confidence(w).select("page", W.adaptive_threshold(F.col("mean_conf"), 60).alias("thr")), "SELECT page, CAST(CASE WHEN avg(conf) >= 90 THEN 40 WHEN avg(conf) < 70 THEN 70 ELSE 60 END AS DOUBLE) AS thr FROM w GROUP BY page")
+_on_words("agg04_block_aggregates", W.block_aggregates, f"SELECT page, block, avg(conf) AS mean_conf, count(*) AS n_words, {_box} FROM w GROUP BY page, block")
+_on_words("wrd07_rescue_candidates", W.rescue_candidates, f"SELECT page, block, avg(conf) AS mean_conf, count(*) AS n_words, {_box} FROM w GROUP BY page, block HAVING avg(conf) < 60 AND count(*) >= 3")
+_noisy = f"SELECT page, block, count(*) AS n_words, count(*) FILTER (conf < 60) AS n_low, {_box} FROM w GROUP BY page, block HAVING count(*) >= 3 AND count(*) FILTER (conf < 60) >= count(*) * 0.5"
+_on_words("agg05_noisy_blocks", W.noisy_blocks, _noisy)
+_on_words("agg06_handwritten", W.handwritten, "SELECT page, block, par FROM w GROUP BY page, block, par HAVING avg(conf) < 40 AND count(*) >= 3")
+_on_words("agg07_rebuild_text", lambda w: W.rebuild_text(w, 50), "SELECT page, string_agg(t, chr(10) ORDER BY block, par, line) AS text FROM (SELECT page, block, par, line, string_agg(word, ' ' ORDER BY word_num, word) AS t FROM w WHERE conf >= 50 GROUP BY page, block, par, line) GROUP BY page")
+_on_words("agg08_low_words", lambda w: W.low_words(w, 50), "SELECT page, string_agg(word, '|' ORDER BY block, par, line, word_num, word) AS low FROM w WHERE conf < 50 GROUP BY page")
+_on_words("agg14_histogram", W.histogram, "SELECT CAST(least(floor(conf / 10), 9) AS INT) AS bucket, count(*) AS n FROM w GROUP BY 1")
+_on_words("agg15_top_words", lambda w: W.top_words(w, 60, 20), "SELECT word, avg(conf) AS mean_conf, count(*) AS n FROM w WHERE conf >= 60 GROUP BY word ORDER BY n DESC, word LIMIT 20")
+_on_words("agg16_report", lambda w: W.report(w, 60), "SELECT page, count(*) AS n_words, count(*) FILTER (conf >= 60) AS n_kept, avg(conf) AS mean_conf FROM w GROUP BY ROLLUP (page)")
+_on_words("wrd12_padded_box", lambda w: W.padded_box(w, 6, 500, 70), 'SELECT page, word_num, greatest(0, "left" - 6) AS x0, greatest(0, "top" - 6) AS y0, least(500, "left" + width + 6) AS x1, least(70, "top" + height + 6) AS y1 FROM w')
+_on_words("wrd10_redactions", lambda w: W.redactions(w, 60, 0.5), f"SELECT page, 'word' AS kind, \"left\" * 0.5 AS x0, \"top\" * 0.5 AS y0, (\"left\" + width) * 0.5 AS x1, (\"top\" + height) * 0.5 AS y1 FROM w WHERE conf < 60 UNION ALL SELECT page, 'block', x0 * 0.5, y0 * 0.5, x1 * 0.5, y1 * 0.5 FROM ({_noisy})")
+_on_words("win06_best_word", lambda w: W.best_word(w).select("page", "conf"), "SELECT page, max(conf) AS conf FROM w GROUP BY page")
+_on_words("flt14_soft_rescue", lambda w: W.soft_rescue(w, 60).select("page", "word_num", "word", "conf"), r"SELECT page, word_num, word, conf FROM w WHERE conf >= 45 AND conf < 60 AND length(word) >= 3 AND (regexp_matches(word, '\p{Nd}') OR regexp_matches(word, '^[А-Яа-яЁё]+$') OR regexp_matches(word, '^[A-Za-z]+$'))")
+_on_words("flt17_rescuable", lambda w: w.where(T.is_rescuable(F.col("word"), F.col("conf"))).select("page", "word_num", "word"), "SELECT page, word_num, word FROM w WHERE conf BETWEEN 30 AND 75 AND length(word) >= 3 AND regexp_matches(word, '[A-Za-z]')")
+_on_words("wrd03_swap_floor", lambda w: w.select("page", "word_num", F.greatest("conf", F.lit(80.0)).alias("conf")), "SELECT page, word_num, greatest(conf, 80.0::DOUBLE) AS conf FROM w")
+
+# --- joins, sets, windows -----------------------------------------------------------------
+_add(
+    "jn01_catalog_fix",
+    lambda s, d: L.catalog_fix(_table(s, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") * 10 + 7000000000).cast("string").alias("token")), _table(s, d, "customer").select((F.col("c_custkey") * 1000 + 7000000000).cast("string").alias("value"))),
+    """WITH t AS (SELECT DISTINCT CAST(o_orderkey * 10 + 7000000000 AS VARCHAR) AS token FROM orders WHERE o_orderkey % 3 = 0),
+       c AS (SELECT DISTINCT CAST(c_custkey * 1000 + 7000000000 AS VARCHAR) AS value FROM customer),
+       n AS (SELECT DISTINCT token, x AS value FROM (SELECT token, unnest(list_concat([token], flatten(list_transform(range(1, length(token) + 1), lambda i: list_transform(range(0, 10), lambda k: token[1:i - 1] || CAST(k AS VARCHAR) || token[i + 1:]))), list_transform(range(1, length(token) + 1), lambda i: token[1:i - 1] || token[i + 1:]))) AS x FROM t)),
+       h AS (SELECT token, min(c.value) AS value, count(*) AS n, bool_or(c.value = token) AS own FROM n JOIN c USING (value) GROUP BY token)
+       SELECT t.token, CASE WHEN own THEN t.token WHEN n = 1 THEN value END AS fixed FROM t LEFT JOIN h USING (token)""",
+)
+#: In ASCII, as the SQL engine measures edit distance in bytes.
+_DICT = "(VALUES ('waybill', 0), ('load', 1), ('loads', 2), ('consignee', 3), ('date', 4))"
+_OCR = "(VALUES ('waybil1'), ('load'), ('loab'), ('consigmee'), ('dote'), ('xyz'), ('cansigmee'))"
+_add(
+    "jn02_closest_word",
+    lambda s, d: L.closest_word(s.sql(f"SELECT word FROM {_OCR} AS t(word)"), s.sql(f"SELECT entry, pos FROM {_DICT} AS t(entry, pos)")),
+    f"""SELECT word, match, CAST(dist AS INT) AS dist FROM (SELECT word, entry AS match, levenshtein(word, entry) AS dist, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, entry), length(entry), pos) AS k
+        FROM {_OCR} AS w(word), {_DICT} AS d(entry, pos) WHERE levenshtein(word, entry) <= CASE WHEN length(word) < 6 THEN 1 ELSE 2 END) WHERE k = 1""",
+)
+_add(
+    "jn03_registry",
+    lambda s, d: _table(s, d, "orders").join(_table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name"),
+    "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+)
+_add(
+    "jn04_diff_rows",
+    lambda s, d: L.diff_rows(
+        _table(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        _table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment")),
+        "c_custkey",
+        ["name", "segment"],
+    ),
+    """SELECT c_custkey, 'name' AS field, c_name AS original, c_name || 'x' AS corrected, 'fix' AS kind FROM customer WHERE c_custkey % 3 = 0
+       UNION ALL SELECT c_custkey, 'segment', c_mktsegment, '', 'clear' FROM customer WHERE c_custkey % 5 = 0""",
+)
+_add(
+    "jn07_fill_from_engine",
+    lambda s, d: _table(s, d, "orders").join(_table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_returnflag").alias("flag")), "o_orderkey", "left").select("o_orderkey", F.coalesce(F.nullif(F.col("o_orderstatus"), F.lit("P")), "flag").alias("status")),
+    "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), flag) AS status FROM orders LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS flag FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
+)
+_add(
+    "jn10_insert_if_absent",
+    lambda s, d: L.insert_if_absent(_table(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), _table(s, d, "customer").select("c_custkey", "c_name"), "c_custkey"),
+    "SELECT c_custkey, c_name FROM customer",
+)
+_add(
+    "src21_merge_by_priority",
+    lambda s, d: L.first_by(_table(s, d, "customer").select("c_custkey", F.lit(1).alias("prio"), F.col("c_name").alias("name")).unionByName(_table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(0).alias("prio"), F.lit("cached").alias("name"))), "c_custkey", ["prio"]),
+    "SELECT c_custkey, CAST(CASE WHEN bool_or(cached) THEN 0 ELSE 1 END AS INT) AS prio, CASE WHEN bool_or(cached) THEN 'cached' ELSE min(n) END AS name FROM (SELECT c_custkey, false AS cached, c_name AS n FROM customer UNION ALL SELECT o_custkey, true, NULL FROM orders) GROUP BY c_custkey",
+)
+_add(
+    "win03_page_islands",
+    lambda s, d: L.islands(_table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).agg(F.max(F.when(F.col("l_returnflag") == "A", "start").when(F.col("l_returnflag") == "N", "cont").otherwise("blank")).alias("kind"))),
+    """WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, max(CASE l_returnflag WHEN 'A' THEN 'start' WHEN 'N' THEN 'cont' ELSE 'blank' END) AS kind FROM lineitem GROUP BY 1, 2)
+       SELECT doc, page, CAST(grp AS BIGINT) AS grp FROM (SELECT *, sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page) AS grp FROM p) WHERE grp > 0 AND kind IN ('start', 'cont')""",
+)
+_add(
+    "win05_evict",
+    lambda s, d: L.evict(_table(s, d, "orders").select(F.col("o_orderpriority").alias("bucket"), F.col("o_orderkey").alias("key"), F.floor("o_totalprice").cast("long").alias("size"), F.col("o_orderdate").alias("mtime")), 5_000_000).select("bucket", "key"),
+    "SELECT bucket, key FROM (SELECT o_orderpriority AS bucket, o_orderkey AS key, sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS upto FROM orders) WHERE upto > 5000000",
+)
+_add("set01_ordered_distinct", lambda s, d: _table(s, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_id")), "SELECT event_type, min(event_id) AS first_id FROM events GROUP BY event_type")
+_add("set02_intersection", lambda s, d: _table(s, d, "orders").select(F.col("o_custkey").alias("k")).intersect(_table(s, d, "customer").select(F.col("c_custkey").alias("k"))), "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer")
+_add("agg02_mean_of_positive", lambda s, d: _table(s, d, "events").groupBy("event_type").agg(F.round(F.coalesce(F.avg(F.when(F.col("value") > 10, F.col("value"))), F.lit(0.0)), 4).alias("mean")), "SELECT event_type, round(coalesce(avg(value) FILTER (value > 10), 0), 4) AS mean FROM events GROUP BY event_type")
+_add("agg11_outcomes_by_field", lambda s, d: _table(s, d, "lineitem").rollup("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("ok"), F.count_if(F.col("l_linestatus") == "O").alias("fail")), "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS ok, count(*) FILTER (l_linestatus = 'O') AS fail FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+_add(
+    "agg17_best_cell",
+    lambda s, d: L.first_by(_table(s, d, "part").select(F.col("p_brand").alias("document"), F.col("p_retailprice").alias("cer"), F.col("p_size").alias("wer"), F.col("p_partkey").alias("cell")), "document", ["cer", "wer", "cell"]),
+    "SELECT document, cer, wer, cell FROM (SELECT p_brand AS document, p_retailprice AS cer, p_size AS wer, p_partkey AS cell, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_size, p_partkey) AS k FROM part) WHERE k = 1",
+)
+_on_values("agg18_cer", ["kitten", "sitting", "", "mitten"], lambda c: F.round(F.levenshtein(F.lit("kitten"), c) / 6, 4), "round(levenshtein('kitten', v) / 6, 4)")
+_on_values("udf12_kind", ["", "a"], lambda c: F.when(c == "", "fill").otherwise("fix"), "CASE WHEN v = '' THEN 'fill' ELSE 'fix' END")
+_add("win09_recent", lambda s, d: _table(s, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last_id")), "SELECT user_id, max(event_id) AS last_id FROM events GROUP BY user_id")
+
+# --- queue and streams --------------------------------------------------------------------
+_LATEST = "SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("status"))
+
+
+def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    state = S.latest(stream.select("user_id", "event_id", F.col("event_type").alias("status")), "user_id", ["event_id"], "status")
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    name = f"queue_{abs(hash(sf_dir))}"
+    return S.run_once(state, name, f"{base.rstrip('/')}/stream-{name}-{spark.sparkContext.applicationId}-{spark.sparkContext.startTime}")
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+_add("str02_latest_status", lambda s, d: S.latest(_events(s, d), "user_id", ["event_id"], "status"), _LATEST)
+_add("str02_latest_status_stream", _stream_latest, _LATEST)
+_add("str06_clear_done", lambda s, d: S.clear_done(S.latest(_events(s, d), "user_id", ["event_id"], "status"), ("error",)), f"SELECT * FROM ({_LATEST}) WHERE status <> 'error'")
+_add("str10_recover", lambda s, d: S.recover(S.latest(_events(s, d), "user_id", ["event_id"], "status")), f"SELECT user_id, 'pending' AS status FROM ({_LATEST}) WHERE status <> 'completed'")
+_add("str11_cache_key", lambda s, d: _table(s, d, "documents").select("doc_id", F.concat_ws("--", F.left(F.sha2("text", 256), F.lit(16)), F.left(F.sha2(F.coalesce("source", F.lit("")), 256), F.lit(16)), F.lit("v11")).alias("key")), "SELECT doc_id, left(sha256(text), 16) || '--' || left(sha256(coalesce(source, '')), 16) || '--v11' AS key FROM documents")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"src_document_scan": _scan}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"src_document_scan": "SELECT lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang"}
+    return dict(_SQL)
