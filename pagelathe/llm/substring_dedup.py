@@ -34,7 +34,7 @@ from pagelathe.llm import _text as T
 
 #: A perfect difference set: every residue of the period is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-FLUSH = 1 << 20  # records that a map task gathers before it settles and sends them
+FLUSH = 1 << 19  # records that a map task gathers before it settles and sends them
 FLAG, TEXT, KEY = 0, 1, 2
 _ANCHOR = [np.uint64, np.int64, np.uint32, np.uint8]
 _WINDOW = [np.uint64, np.uint64, np.int64, np.uint32, np.uint8]
@@ -187,7 +187,7 @@ def _text_rows(parts: int):
             for i, j, buf, off in T.text_blocks(col):
                 held.append((ids[i:j], none[i:j], _crcs(buf, off), col.slice(i, j - i)))
                 size += len(buf)
-                if size >= 32 << 20:
+                if size >= 16 << 20:
                     yield from send(held)
                     held, size = [], 0
         if held:
