@@ -136,10 +136,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.
     return Model(languages, np.vstack((table, np.zeros((1, len(languages))))).astype(np.float32))
 
 
-def _predict_rows(model):
+def _predict_rows(model, outputs: tuple[str, str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        names = np.array([*m.languages, UNDETERMINED], object)
+        known = np.array([*m.languages, UNDETERMINED], object)
         for batch in it:
             for i, j, buf, off in T.text_blocks(batch.column(batch.num_columns - 1)):
                 if m.languages:
@@ -148,20 +148,20 @@ def _predict_rows(model):
                 else:
                     best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
                 rest = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(known[best].tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], *outputs])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of each row, lang_pred and score (0 to 1).
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of each row, lang_pred and score (0 to 1), under ``names``.
 
     Reads ``text`` alone. Null text, or text without a letter: ``und`` and score 0. Null ids and
     repeated rows are kept; without a learned language all rows are ``und``.
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict_rows(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predict_rows(docs.sparkSession.sparkContext.broadcast(model), names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out() -> Column:

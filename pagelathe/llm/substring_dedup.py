@@ -210,7 +210,7 @@ def _with_flags(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
             at = np.flatnonzero(new)
-            table = {(d, c): (a, b) for d, c, a, b in zip(doc[at].tolist(), crc[at].tolist(), at.tolist(), np.append(at[1:], len(doc)).tolist(), strict=True)}
+            table = {(d, c): (a, b) for d, c, a, b in zip(doc[at].tolist(), crc[at].tolist(), at.tolist(), np.append(at[1:], len(doc))[: len(at)].tolist(), strict=True)}
             del flags
         with pa.ipc.open_stream(data) as reader:
             for block in reader:
