@@ -174,7 +174,7 @@ def _text_rows(parts: int):
             at = order[cuts[p] : cuts[p + 1]]
             block = pa.record_batch([pa.array(ids[at], mask=none[at]), pa.array(crc[at]), text.take(pa.array(at))], names=["i", "c", "t"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as w:
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                 w.write_batch(block)
             rows.append((int(p), TEXT, sink.getvalue().to_pybytes()))
         yield from X.batches(rows)
