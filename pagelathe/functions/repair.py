@@ -195,7 +195,7 @@ def looks_noisy(line: Column) -> Column:
     return (n <= 3) | is_noise_line(s) | wordless | (alnum == 0) | (alnum < n * 0.3) | ((signs >= 3) & (signs > n * 0.3)) | crumbs
 
 
-def clean_value(c: Column, missing: str = "MISSING", garbage: str = "GARBAGE") -> Column:
+def clean_value(c: Column, missing: str = "отсутствует", garbage: str = "неразборчиво") -> Column:
     v = F.regexp_replace(c, r"^[ \t\r\n:;,.\-–—|]+|[ \t\r\n:;,.\-–—|]+$", "")
     return F.when(F.coalesce(v, F.lit("")) == "", missing).when(T.is_garbage(v), garbage).otherwise(v)
 
