@@ -74,3 +74,9 @@ def islands(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("page")
     g = pages.withColumn("grp", F.sum(F.when(F.col("kind") == "start", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.where("grp > 0 and kind in ('start', 'cont')").select("doc", "page", "grp")
+
+
+def section_ends(marks: DataFrame) -> DataFrame:
+    """(doc, role, pos, stop) of marks (doc, pos, role): the first of each role, up to the next one; null at the end."""
+    first = marks.groupBy("doc", "role").agg(F.min("pos").alias("pos"))
+    return first.withColumn("stop", F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))).select("doc", "role", "pos", "stop")

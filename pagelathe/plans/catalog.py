@@ -13,10 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.functions import repair as R
 from pagelathe.functions import text as T
 from pagelathe.functions import validators as V
+from pagelathe.operators import decisions as D
+from pagelathe.operators import evaluation as E
 from pagelathe.operators import lookups as L
+from pagelathe.operators import waybills as B
 from pagelathe.operators import words as W
+from pagelathe.sources import files
 from pagelathe.streaming import queue as S
 
 FLAGSHIP = "nrm06_normalize"
@@ -182,8 +187,8 @@ _on_words("wrd03_swap_floor", lambda w: w.select("page", "word_num", F.greatest(
 # --- joins, sets, windows -----------------------------------------------------------------
 _add(
     "jn01_catalog_fix",
-    lambda s, d: L.catalog_fix(_table(s, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") * 10 + 7000000000).cast("string").alias("token")), _table(s, d, "customer").select((F.col("c_custkey") * 1000 + 7000000000).cast("string").alias("value"))),
-    """WITH t AS (SELECT DISTINCT CAST(o_orderkey * 10 + 7000000000 AS VARCHAR) AS token FROM orders WHERE o_orderkey % 3 = 0),
+    lambda s, d: L.catalog_fix(_table(s, d, "orders").select((F.col("o_orderkey") * 10 + 7000000000).cast("string").alias("token")), _table(s, d, "customer").select((F.col("c_custkey") * 1000 + 7000000000).cast("string").alias("value"))),
+    """WITH t AS (SELECT DISTINCT CAST(o_orderkey * 10 + 7000000000 AS VARCHAR) AS token FROM orders),
        c AS (SELECT DISTINCT CAST(c_custkey * 1000 + 7000000000 AS VARCHAR) AS value FROM customer),
        n AS (SELECT DISTINCT token, x AS value FROM (SELECT token, unnest(list_concat([token], flatten(list_transform(range(1, length(token) + 1), lambda i: list_transform(range(0, 10), lambda k: token[1:i - 1] || CAST(k AS VARCHAR) || token[i + 1:]))), list_transform(range(1, length(token) + 1), lambda i: token[1:i - 1] || token[i + 1:]))) AS x FROM t)),
        h AS (SELECT token, min(c.value) AS value, count(*) AS n, bool_or(c.value = token) AS own FROM n JOIN c USING (value) GROUP BY token)
@@ -221,8 +226,8 @@ _add(
 )
 _add(
     "jn10_insert_if_absent",
-    lambda s, d: L.insert_if_absent(_table(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), _table(s, d, "customer").select("c_custkey", "c_name"), "c_custkey"),
-    "SELECT c_custkey, c_name FROM customer",
+    lambda s, d: L.insert_if_absent(_table(s, d, "customer").select("c_custkey", "c_name"), _table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("new "), F.col("o_custkey").cast("string")).alias("c_name")), "c_custkey"),
+    "SELECT c_custkey, c_name FROM customer UNION ALL SELECT DISTINCT o_custkey, 'new ' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
 )
 _add(
     "src21_merge_by_priority",
@@ -277,6 +282,76 @@ _add("str10_recover", lambda s, d: S.recover(S.latest(_events(s, d), "user_id",
 _add("str11_cache_key", lambda s, d: _table(s, d, "documents").select("doc_id", F.concat_ws("--", F.left(F.sha2("text", 256), F.lit(16)), F.left(F.sha2(F.coalesce("source", F.lit("")), 256), F.lit(16)), F.lit("v11")).alias("key")), "SELECT doc_id, left(sha256(text), 16) || '--' || left(sha256(coalesce(source, '')), 16) || '--v11' AS key FROM documents")
 
 
+# --- look-alikes, tokens and rules: what SQL's patterns cannot look around is held against brute force in tests ---
+for _name, _f in {"nrm02_confusables": R.fix_confusables, "nrm06_normalize_cyrillic": R.normalize_cyrillic, "nrm07_collapse": R.collapse, "pst06_russian": R.autocorrect_russian, "pst07_english": R.autocorrect_english, "pst09_unify_scripts": R.unify_scripts, "pst14_entities": R.canonical_entities}.items():
+    _add(_name, lambda s, d, f=_f: _table(s, d, "documents").select("doc_id", f(F.col("text")).alias("out")))
+
+_count = lambda signs: f"len(regexp_extract_all(X, '[{signs}]'))"
+_cy, _la = _count(R.ONLY_CYRILLIC), _count(R.ONLY_LATIN)
+_major = f"CASE WHEN {_cy} + {_la} < 3 THEN NULL WHEN {_cy} >= 3 * {_la} THEN 'cyr' WHEN {_la} >= 3 * {_cy} THEN 'lat' END"
+_kind = f"CASE WHEN {_cy} > 0 AND {_la} = 0 THEN 'cyr' WHEN {_la} > 0 AND {_cy} = 0 THEN 'lat' ELSE 'mixed' END"
+_on_text("pst12_script_majority", R.script_majority, _major.replace("X", "text"))
+_MIXED = ["Груз", "load", "ABC", "АВС", "Тенsar", "гpуз", "", "СOHT", "B30F300"]
+_on_values("pst11_word_script", _MIXED, R.word_script, _kind.replace("X", "v"))
+_on_values("pst10_unify_word", _MIXED, lambda c: R.unify_word(c, F.lit("cyr"), F.lit(False)), f"CASE coalesce(nullif({_kind}, 'mixed'), 'cyr') WHEN 'cyr' THEN translate(v, '{R.LATIN}', '{R.CYRILLIC}') ELSE translate(v, '{R.CYRILLIC}', '{R.LATIN}') END".replace("X", "v"))
+_runs = "len(regexp_extract_all(regexp_replace(X, '[^А-яЁёA-Za-z]', '', 'g'), '[А-яЁё]+|[A-Za-z]+'))"
+_on_values("nrm10_script_runs", _MIXED, R.script_runs, _runs.replace("X", "v"))
+_sq = lambda x: x.replace("'", "''")
+_core = f"regexp_replace(X, '^[{_sq(R._class(R.FRAME))}]+|[{_sq(R._class(R.FRAME))}]+$', '', 'g')"
+_tok = f"""CASE WHEN X = '' THEN true WHEN regexp_matches(X, '[А-ЯЁа-яёA-Za-z0-9][{_sq(R.QUOTES)}]+[А-ЯЁа-яёA-Za-z]') OR regexp_matches(X, '\\p{{Nd}}["''`‘’]+$') THEN true
+    WHEN {_core} = '' THEN length(X) > 1 AND length(replace(X, X[1], '')) > 0
+    ELSE regexp_matches({_core}, '[{R.FOREIGN}]') OR regexp_matches({_core}, '[А-ЯЁа-яёA-Za-z0-9][{_sq(R.QUOTES[:-2])}]+$') OR {_runs.replace("X", _core)} >= 3 END"""
+_on_values("flt02_garbage_token", ["ООО", "iЖt", "ав4»", "—", "...", "|_", "їх", "café", "7743553262", ""], R.is_garbage_token, _tok.replace("X", "v"))
+_on_text("flt02_garbage_tokens_of_texts", lambda c: F.size(F.filter(F.split(c, r"[ \t\r\n\f\x0B]+"), R.is_garbage_token)), rf"len(list_filter(regexp_split_to_array(text, '[ \t\r\n\f\v]+'), lambda x: {_tok.replace('X', 'x')}))")
+_LINES = ["груз іі ООО", "іі їх", "", "  ", "склад номер семь"]
+_on_values("flt03_noise_line", _LINES, R.is_noise_line, f"CASE WHEN trim(v) = '' THEN true ELSE 2 * len(list_filter(string_split_regex(trim(v), ' +'), lambda x: {_tok.replace('X', 'x')})) >= len(string_split_regex(trim(v), ' +')) END")
+_on_values("nrm08_clean_value", [": груз ;", "", "--", "!!", "№ 5 |"], R.clean_value, r"CASE WHEN regexp_replace(v, '^[ \t\r\n:;,.\-–—|]+|[ \t\r\n:;,.\-–—|]+$', '', 'g') = '' THEN 'отсутствует' WHEN NOT regexp_matches(v, '[А-Яа-яЁёA-Za-z0-9]') THEN 'неразборчиво' ELSE regexp_replace(v, '^[ \t\r\n:;,.\-–—|]+|[ \t\r\n:;,.\-–—|]+$', '', 'g') END")
+_on_values("pst20_fold_name", ["ООО «Ветер»", "Ёлка-Хвост", ""], R.fold_name, r"regexp_replace(translate(lower(v), 'ёзоеархукмтвн', 'e3oeapxykmtbh'), '[^\p{L}\p{N} ]', '', 'g')")
+_on_text("pst08_custom_rules", lambda c: R.apply_rules(c, [R.Rule("the", "THE", is_regex=False), R.Rule("([0-9]+)-([0-9]+)", r"\2-\1"), R.Rule("(", "x"), R.Rule("e", "", enabled=False)]), r"regexp_replace(replace(text, 'the', 'THE'), '([0-9]+)-([0-9]+)', '\2-\1', 'g')")
+_on_values("val06_find_inn", ["ИНН 7707083893 x", "7707083894 500100732259", "нет"], R.find_inn, f"list_filter(regexp_extract_all(v, '[0-9]{{10,12}}'), lambda x: {_inn('x')})[1]")
+_on_values("val03_find_plate", ["x P814HP152 y", "авто а123вс77", "нет"], R.find_plate, f"nullif(translate(regexp_extract(upper(v), '[{V.PLATE_CYRILLIC}{V.PLATE_LATIN}][0-9]{{3}}[{V.PLATE_CYRILLIC}{V.PLATE_LATIN}]{{2}}[0-9]{{2,3}}'), '{V.PLATE_LATIN}', '{V.PLATE_CYRILLIC}'), '')")
+_on_values("val04_format_plate", ["Р814НР152", "АА1234 77", "x"], R.format_plate, rf"CASE WHEN regexp_matches(v, '^[{V.PLATE_CYRILLIC}][0-9]{{3}}') THEN regexp_replace(v, '^(.)(...)(..)(.*)$', '\1 \2 \3 \4') WHEN regexp_matches(v, '^[{V.PLATE_CYRILLIC}]{{2}}[0-9]') THEN regexp_replace(replace(v, ' ', ''), '^(..)(....)(.*)$', '\1 \2 \3') ELSE v END")
+
+# --- waybills, held against fixtures in tests -------------------------------------------------
+_FORM = "Транспортная накладная¶№ 55/К от 03.04.2023¶1. Грузоотправитель¶ООО «Ветер», г. Тверь, ИНН 7707083893¶2. Грузополучатель: АО «Берег», г. Псков¶3. Груз¶Наименование: плита, 12 шт¶6. Перевозчик¶Сидоров А.Б.¶7. Транспортное средство¶А123ВС77¶8. Приём груза¶ООО «Склад», г. Тула"
+
+
+def _forms(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT source, replace(v, '¶', chr(10)) AS text FROM (VALUES ('one', '{_FORM}'), ('two', '{_FORM}¶{_FORM}'), ('blank', '')) AS t(source, v)")
+
+
+_add("ext21_waybill_rows", lambda s, d: B.parse(_forms(s), "2024-06-01"))
+_add("spl05_sections", lambda s, d: B.sections(_forms(s)), f"SELECT source, k AS role, replace(b, '¶', chr(10)) AS body FROM (VALUES ('one', 1), ('two', 1)) AS t(source, n), (VALUES ('head', 'Транспортная накладная¶№ 55/К от 03.04.2023'), ('shipper', 'ООО «Ветер», г. Тверь, ИНН 7707083893'), ('consignee', 'АО «Берег», г. Псков'), ('cargo', 'Наименование: плита, 12 шт'), ('carrier', 'Сидоров А.Б.'), ('vehicle', 'А123ВС77'), ('reception', 'ООО «Склад», г. Тула')) AS f(k, b) WHERE NOT (source = 'two' AND k = 'reception') UNION ALL SELECT 'two', 'reception', replace('ООО «Склад», г. Тула¶{_FORM}', '¶', chr(10))")
+_add("ext21_waybills_in_documents", lambda s, d: B.parse(_table(s, d, "documents").select(F.col("doc_id").alias("source"), R.normalize_cyrillic(F.col("text")).alias("text")), "2024-06-01"))
+
+# --- readings, jobs, sheets, evaluation --------------------------------------------------------
+_add("snk02_export_text", lambda s, d: files.export_text(_table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text", F.lit(None).cast("string").alias("error"))), r"""SELECT doc, regexp_replace(t, '\s+$', '') || chr(10) AS text FROM (SELECT conv_id AS doc, string_agg('--- Page ' || CAST(turn AS VARCHAR) || ' ---' || chr(10) || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id)""")
+_add("msc16_human_bytes", lambda s, d: _table(s, d, "orders").select("o_orderkey", files.human_bytes(F.floor(F.col("o_totalprice")).cast("long") * F.col("o_orderkey")).alias("size")), "SELECT o_orderkey, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1024 ** 2 THEN printf('%.2f KB', n / 1024) WHEN n < 1024 ** 3 THEN printf('%.2f MB', n / 1024 ** 2) WHEN n < 1024 ** 4 THEN printf('%.2f GB', n / 1024 ** 3) ELSE printf('%.2f TB', n / 1024 ** 4) END AS size FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * o_orderkey AS n FROM orders)")
+_on_values("msc14_output_path", ["a/b.pdf", "c", "d.e/f"], files.output_path, r"regexp_replace(v, '^(.*?)(\.[^./]+)?$', '\1_ocr\2')")
+_on_values("img14_rotation", ["Rotate: 90¶Orientation confidence: 4.5", "Rotate: 180¶Orientation confidence: 0.5", "x"], D.rotation, r"CASE WHEN TRY_CAST(regexp_extract(v, 'Orientation confidence:\s*([0-9.]+)', 1) AS DOUBLE) >= 1 THEN CAST(regexp_extract(v, 'Rotate:\s*([0-9]+)', 1) AS INT) % 360 END")
+_on_values("img15_script", ["Script: Cyrillic¶Script confidence: 3.1", "Script: Latin¶Script confidence: 2.0", "Script: Han¶Script confidence: 9", "Script: Latin¶Script confidence: 1"], D.script_language, r"CASE WHEN CAST(regexp_extract(v, 'Script confidence:\s*([0-9.]+)', 1) AS DOUBLE) >= 2 THEN CASE regexp_extract(v, 'Script:\s*(\w+)', 1) WHEN 'Cyrillic' THEN 'rus' WHEN 'Latin' THEN 'eng' END END")
+_add("img20_kernel", lambda s, d: _table(s, d, "part").select("p_partkey", D.scaled_kernel(F.col("p_size"), F.lit(450)).alias("k")), "SELECT p_partkey, CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END AS k FROM (SELECT p_partkey, CAST(greatest(1, round_even(p_size * 450 / 300, 0)) AS INT) AS k FROM part)")
+_on_words("wrd02_better_script", lambda w: w.select("page", "word_num", D.better_script(F.col("word"), F.col("conf"), F.lit("рус"), (F.col("left") % 101).cast("double"), F.lit("eng"), (F.col("top") + 20).cast("double")).alias("b")).select("page", "word_num", "b.word", "b.conf"), """SELECT page, word_num, CASE WHEN r >= e + 5 THEN 'рус' WHEN e >= r + 5 THEN 'eng' ELSE word END AS word, CASE WHEN r >= e + 5 THEN r WHEN e >= r + 5 THEN e ELSE conf END AS conf FROM (SELECT *, CAST("left" % 101 AS DOUBLE) AS r, CAST("top" + 20 AS DOUBLE) AS e FROM w)""")
+_on_words("wrd04_accept_lift", lambda w: w.select("page", "word_num", D.accept_lift(F.col("word"), F.col("conf"), F.lit("new"), (F.col("left") % 101).cast("double")).alias("b")).select("page", "word_num", "b.word", "b.conf"), """SELECT page, word_num, CASE WHEN "left" % 101 >= conf + 10 THEN 'new' ELSE word END AS word, greatest(conf, CASE WHEN "left" % 101 >= conf + 10 THEN "left" % 101 ELSE 0 END)::DOUBLE AS conf FROM w""")
+_again = lambda w: w.select("page", "block", (F.col("word_num") + 3).alias("word_num"), F.concat("word", F.lit("+")).alias("word"), F.col("top").cast("double").alias("conf"))
+_on_words("wrd06_replace_slots", lambda w: D.replace_slots(w, _again(w)), """, m AS (SELECT page, block, avg("top") >= avg(conf) + 5 AS taken FROM w GROUP BY page, block) SELECT page, block, word_num, CASE WHEN taken THEN word || '+' ELSE word END AS word, CASE WHEN taken THEN "top"::DOUBLE ELSE conf END AS conf FROM w JOIN m USING (page, block)""")
+_add("ocr03_first_tier", lambda s, d: _table(s, d, "orders").select("o_orderkey", D.first_tier(F.when(F.col("o_orderstatus") == "F", "primary"), F.when(F.col("o_orderstatus") == "O", "retry"), F.lit("sparse")).alias("t")).select("o_orderkey", "t.tier", "t.text"), "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS tier, CASE o_orderstatus WHEN 'F' THEN 'primary' WHEN 'O' THEN 'retry' ELSE 'sparse' END AS text FROM orders")
+_add("ocr07_timeout", lambda s, d: _table(s, d, "part").select("p_partkey", D.retry_timeout(F.col("p_size") * 8).alias("t")), "SELECT p_partkey, CAST(least(greatest(p_size * 24, 600), 900) AS INT) AS t FROM part")
+_on_values("ocr11_fill_missing", ["", "отсутствует", "груз"], lambda c: D.fill_missing(c, F.lit(" new "), (B.MISSING, B.GARBAGE)), "CASE WHEN v IN ('', 'отсутствует', 'неразборчиво') THEN 'new' ELSE v END")
+_add("agg24_row_level", lambda s, d: _table(s, d, "orders").select("o_orderkey", D.row_level(F.col("o_totalprice") / 300000, F.concat("o_orderstatus", F.lit("LOW_"))).alias("a"), D.row_level(F.col("o_totalprice") / 300000, F.lit("")).alias("b")), "SELECT o_orderkey, 'WARN' AS a, CASE WHEN o_totalprice / 300000 < 0.5 THEN 'WARN' ELSE 'OK' END AS b FROM orders")
+_add("agg10_report", lambda s, d: E.report(_table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("source"), F.when(F.col("o_orderstatus") == "P", "ERROR").otherwise("").alias("note"))), "SELECT count(DISTINCT o_custkey) AS n_files, count(DISTINCT CASE WHEN o_orderstatus = 'P' THEN o_custkey END) AS n_failed, count(*) AS n_rows FROM orders")
+_fix = lambda s, d: _table(s, d, "lineitem").select(F.col("l_returnflag").alias("field"), F.when(F.col("l_linestatus") == "F", "fix").otherwise("fill").alias("kind"), (F.col("l_quantity") / 50).alias("original_confidence"), "l_orderkey", "l_linenumber")
+_add("agg12_feedback_stats", lambda s, d: E.feedback_stats(_fix(s, d)), "SELECT l_returnflag AS field, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS n_fix, count(*) FILTER (l_linestatus <> 'F') AS n_fill, 0::BIGINT AS n_clear, round(sum(l_quantity) / 50 / count(*), 4) AS mean_conf FROM lineitem GROUP BY l_returnflag")
+_add("win11_confident_errors", lambda s, d: E.confident_errors(_fix(s, d)).select("l_orderkey", "l_linenumber", "field"), "SELECT l_orderkey, l_linenumber, l_returnflag AS field FROM lineitem WHERE l_linestatus = 'F' AND l_quantity / 50 >= 0.8")
+_on_values("agg18_wer", ["the cat sat", "the cat", "", "a cat sat on", "cat the sat"], lambda c: F.round(E.word_errors(F.lit("the cat sat"), c), 4), "CASE v WHEN 'the cat sat' THEN 0.0 WHEN 'the cat' THEN 0.3333 WHEN '' THEN 1.0 ELSE 0.6667 END::DOUBLE")
+_add("win02_section_ends", lambda s, d: L.section_ends(_table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "role")), "SELECT doc, role, pos, lead(pos) OVER (PARTITION BY doc ORDER BY pos) AS stop FROM (SELECT conv_id AS doc, role, min(turn) AS pos FROM conversations GROUP BY conv_id, role)")
+_add("str03_progress", lambda s, d: S.progress(_table(s, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("current"), F.lit(100).cast("long").alias("total"))), "SELECT user_id AS job, least(100.0, 100.0 * arg_max(floor(value), event_id) / 100)::DOUBLE AS pct FROM events GROUP BY user_id")
+_add("str04_move_up", lambda s, d: S.move(_table(s, d, "nation").select(F.col("n_regionkey").alias("queue"), F.col("n_name").alias("job"), F.col("n_nationkey").alias("pos")), "FRANCE", -1), "WITH q AS (SELECT n_regionkey AS queue, n_name AS job, n_nationkey AS pos FROM nation), f AS (SELECT queue, pos FROM q WHERE job = 'FRANCE'), p AS (SELECT q.queue, max(q.pos) AS pos FROM q JOIN f ON q.queue = f.queue AND q.pos < f.pos GROUP BY q.queue) SELECT q.queue, q.job, CAST(CASE WHEN q.pos = f.pos AND p.pos IS NOT NULL THEN p.pos WHEN q.pos = p.pos THEN f.pos ELSE q.pos END AS INT) AS pos FROM q LEFT JOIN f ON q.queue = f.queue LEFT JOIN p ON q.queue = p.queue")
+_add("win08_next_pending", lambda s, d: S.next_pending(_table(s, d, "orders").select(F.col("o_custkey").alias("queue"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("status"))), "SELECT o_custkey AS queue, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+_add("str14_worth_storing", lambda s, d: S.worth_storing(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 2).alias("conf"))), "SELECT l_orderkey AS job FROM lineitem GROUP BY l_orderkey HAVING avg(l_quantity * 2) >= 50")
+_add("str15_signature", lambda s, d: _table(s, d, "documents").select("doc_id", F.sha1(F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"), F.lit("v10"))).alias("sig")), "SELECT doc_id, sha1(coalesce(source, '') || '|' || CAST(doc_id AS VARCHAR) || '|v10') AS sig FROM documents")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,35 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complet
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """(job, pct) by the last event (job, seq, current, total): 0 for a total of 0, at most 100."""
+    last = events.groupBy("job").agg(F.max(F.struct("seq", "current", "total")).alias("m"))
+    share = F.when(F.col("m.total") > 0, F.least(F.lit(100.0), F.lit(100.0) * F.col("m.current") / F.col("m.total"))).otherwise(F.lit(0.0))
+    return last.select("job", share.alias("pct"))
+
+
+def move(items: DataFrame, job: str, by: int) -> DataFrame:
+    """(queue, job, pos) with ``job`` and its neighbour before (-1) or after (1) it in its queue exchanged."""
+    w = Window.partitionBy("queue").orderBy("pos")
+    other = items.withColumn("before", F.lag("job").over(w)).withColumn("after", F.lead("job").over(w)).withColumn("up", F.lag("pos").over(w)).withColumn("down", F.lead("pos").over(w))
+    partner, mine = ("after", "up") if by < 0 else ("before", "down")
+    theirs = "down" if by < 0 else "up"
+    return other.select("queue", "job", F.when(F.col("job") == job, F.coalesce(mine, "pos")).when(F.col(partner) == job, F.col(theirs)).otherwise(F.col("pos")).alias("pos"))
+
+
+def remove(items: DataFrame, gone: DataFrame) -> DataFrame:
+    return items.join(gone.select("job"), "job", "left_anti")
+
+
+def next_pending(items: DataFrame) -> DataFrame:
+    """The first pending position of each queue."""
+    return items.where("status = 'pending'").groupBy("queue").agg(F.min("pos").alias("pos"))
+
+
+def worth_storing(pages: DataFrame, least: float = 50) -> DataFrame:
+    """Jobs to cache: not those whose pages are all empty without confidence, nor those of a mean under ``least``."""
+    text = F.max(F.length(F.trim(F.coalesce("text", F.lit(""))))) > 0
+    g = pages.groupBy("job").agg(text.alias("some"), F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0)).alias("mean"))
+    return g.where((F.col("some") | (F.col("mean") > 0)) & ((F.col("mean") == 0) | (F.col("mean") >= least))).select("job")

@@ -40,8 +40,18 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in run.fetchall()), key=repr)
 
 
-def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+#: Patterns that look around and stateful rules: held against brute force or fixtures in test_repair.py and test_waybills.py.
+WITHOUT_SQL = {"nrm02_confusables", "nrm06_normalize_cyrillic", "nrm07_collapse", "pst06_russian", "pst07_english", "pst09_unify_scripts", "pst14_entities", "ext21_waybill_rows", "ext21_waybills_in_documents"}
+
+
+def test_every_other_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql()) | WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_query_runs(spark, name):
+    df = catalog.queries()[name](spark, DATA)
+    assert df.count() > 0 and len(df.columns) == len(set(df.columns))
 
 
 def test_entry_imports():
