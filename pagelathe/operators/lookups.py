@@ -80,3 +80,23 @@ def section_ends(marks: DataFrame) -> DataFrame:
     """(doc, role, pos, stop) of marks (doc, pos, role): the first of each role, up to the next one; null at the end."""
     first = marks.groupBy("doc", "role").agg(F.min("pos").alias("pos"))
     return first.withColumn("stop", F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))).select("doc", "role", "pos", "stop")
+
+
+def fix_identifiers(docs: DataFrame, catalog: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``docs`` with numbers of 10 to 15 digits in ``column`` replaced by their one neighbour in ``catalog`` (value).
+
+    Numbers that the catalog has, and valid ones that it has not, stay. Numbers of 10 to 12 digits look
+    among catalog values of 10 or 12, longer ones among those of 13 or 15. Tokens are fixed once each and
+    come back by ``key``, which is a document's own.
+    """
+    pattern = r"(?U)\b\p{Nd}{10,15}\b"
+    pairs = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))).alias("token"))
+    open_tokens = pairs.where(~V.is_inn(F.col("token")) & ~V.is_ogrn(F.col("token")))
+    small = lambda c: F.length(c) <= 12
+    values = catalog.where(F.length("value").isin(10, 12, 13, 15)).select("value")
+    parts = [catalog_fix(open_tokens.where(own("token")).select("token"), values.where(own("value"))) for own in (small, lambda c: F.length(c) > 12)]
+    fixed = parts[0].unionByName(parts[1]).where("fixed is not null and fixed <> token")
+    found = open_tokens.join(fixed, "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "fixed"))).alias("__fixes"))
+    text, back = F.col(column), F.transform(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)), lambda t: F.coalesce(F.try_element_at(F.col("__fixes"), t), t))
+    woven = F.array_join(F.zip_with(F.split(text, pattern, -1), back, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return docs.join(found, key, "left").withColumn(column, F.when(F.col("__fixes").isNull(), text).otherwise(woven)).drop("__fixes").select(*docs.columns)
