@@ -32,10 +32,19 @@ QUOTES = "\"'`‘’‚‛“”„‟"
 _CYR, _NUM, _LET = "[А-Яа-яЁё]", "[0-9]", "[A-Za-z]"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c`` with ``c`` worked out once a row, however often ``f`` reads it, within lambdas too."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def weave(c: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
     """``c`` with every match of ``pattern`` replaced by ``f`` of it."""
-    found, rest = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    return F.array_join(F.zip_with(rest, F.transform(found, f), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def of(t: Column) -> Column:
+        found, rest = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        return F.array_join(F.zip_with(rest, F.transform(found, f), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return once(c, of)
 
 
 def to_cyrillic(c: Column) -> Column:
@@ -127,12 +136,15 @@ def script_majority(c: Column) -> Column:
     return F.when(cyr + lat < 3, None).when(cyr >= 3 * lat, "cyr").when(lat >= 3 * cyr, "lat")
 
 
+def _in_script(word: Column, majority: Column, prefer_latin: Column) -> Column:
+    kind = F.coalesce(F.nullif(word_script(word), F.lit("mixed")), F.when(prefer_latin, F.lit("lat")), majority)
+    return once(kind, lambda k: F.when(k == "cyr", to_cyrillic(word)).when(k == "lat", to_latin(word)).otherwise(word))
+
+
 def unify_word(word: Column, majority: Column, prefer_latin: Column) -> Column:
-    """Look-alikes of one word in the word's script; undecided words follow numbers, then the majority."""
-    kind = word_script(word)
-    kind = F.when(kind != "mixed", kind).when(prefer_latin, "lat").otherwise(F.coalesce(majority, F.lit("mixed")))
+    """Look-alikes of one word in the word's script; undecided words follow numbers, then the majority. Addresses and paths stay."""
     skip = word.rlike(r"(?U)https?://|www\.|[\w.-]+@|[A-Za-z]:[\\/]")
-    return F.when(skip, word).when(kind == "cyr", to_cyrillic(word)).when(kind == "lat", to_latin(word)).otherwise(word)
+    return F.when(skip, word).otherwise(_in_script(word, majority, prefer_latin))
 
 
 #: Noncharacters, which stand in no proper text: the start of a word, of a numeric word, and a word's end.
@@ -143,15 +155,17 @@ def unify_scripts(c: Column) -> Column:
     """``unify_word`` over all words. A digit beside the word, or beyond one of ``-_/.``, makes it numeric.
 
     Words are marked first, numeric ones by their surroundings, then turned in one pass. The three
-    noncharacters used as marks are removed from the text if it has them.
+    noncharacters used as marks are removed from a text that has them. Texts without Cyrillic stay as they are.
     """
     word = r"[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё'’\-]*+"
     marked = F.regexp_replace(F.translate(c, _WORD + _NUMERIC + _END, ""), word, f"{_WORD}$0{_END}")
     marked = F.regexp_replace(marked, rf"(?<=\p{{Nd}}|\p{{Nd}}[-_/.]){_WORD}", _NUMERIC)
     marked = F.regexp_replace(marked, rf"{_WORD}({word}{_END}(?=[-_/.]?\p{{Nd}}))", f"{_NUMERIC}$1")
-    majority = script_majority(c)
-    turn = lambda m: unify_word(F.substr(m, F.lit(2), F.length(m) - 2), majority, m.startswith(_NUMERIC))
-    return weave(marked, f"[{_WORD}{_NUMERIC}]{word}{_END}", turn)
+
+    def turned(majority: Column) -> Column:
+        return weave(marked, f"[{_WORD}{_NUMERIC}]{word}{_END}", lambda m: _in_script(F.substr(m, F.lit(2), F.length(m) - 2), majority, m.startswith(_NUMERIC)))
+
+    return F.when(c.rlike(f"[{CYRILLIC}{ONLY_CYRILLIC}]"), once(script_majority(c), turned)).otherwise(c)
 
 
 def script_runs(word: Column) -> Column:
