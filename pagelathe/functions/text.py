@@ -74,15 +74,27 @@ def is_ruler(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "").rlike(RULER)
 
 
+#: More than half signs: a line has two in a row, spaces aside, or is one sign.
+_SIGNS = r"(?U)[^\p{L}\p{Nd}\s]\s*[^\p{L}\p{Nd}\s]|^\s*[^\p{L}\p{Nd}\s]\s*$"
+#: Any sign, or a lone letter.
+_SOME_SIGN = r"(?U)[^\p{L}\p{Nd}\s]|^\s*\p{L}\s*$"
+
+
 def is_garbage_line(c: Column, strict: bool = False) -> Column:
-    """Rulers and walls of signs; if strict, lone letters and lines with two fifths of signs too."""
-    s = char_stats(c)
-    total = s["letters"] + s["digits"] + s["other"]
-    numbers = (s["letters"] == 0) & (s["other"] == 0)
-    loose = is_ruler(c) | ((total > 0) & ~numbers & (s["other"] * 10 >= total * 7))
-    if not strict:
-        return loose
-    return loose | ((total == 1) & (s["letters"] == 1)) | ((total >= 3) & (s["other"] * 5 >= total * 2))
+    """Rulers and walls of signs; if strict, lone letters and lines with two fifths of signs too.
+
+    One pattern passes by most lines of prose; signs are counted in the rest only, each line's once.
+    """
+
+    def counted(n: Column) -> Column:
+        total = n["letters"] + n["digits"] + n["other"]
+        loose = (total > 0) & ((n["letters"] > 0) | (n["other"] > 0)) & (n["other"] * 10 >= total * 7)
+        if not strict:
+            return loose
+        return loose | ((total == 1) & (n["letters"] == 1)) | ((total >= 3) & (n["other"] * 5 >= total * 2))
+
+    walls = F.get(F.transform(F.transform(F.array(F.regexp_replace(c, r"(?U)\s+", "")), char_stats), counted), F.lit(0))
+    return c.rlike(_SOME_SIGN if strict else _SIGNS) & (is_ruler(c) | walls)
 
 
 def filter_garbage_lines(c: Column, strictness: str = "lenient") -> Column:

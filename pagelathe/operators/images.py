@@ -89,6 +89,75 @@ def contrast(gray: np.ndarray, alpha: float = 1.0, beta: float = 0.0) -> np.ndar
     return np.clip(np.rint(gray.astype(float) * alpha + beta), 0, 255).astype(np.uint8)
 
 
+def clahe(gray: np.ndarray, clip: float = 2.0, tile: int = 8) -> np.ndarray:
+    """Histograms equalised by tile, bins cut at ``clip`` times the mean, maps blended between tile centres.
+
+    The excess of cut bins is dealt evenly over all bins. The page is padded to whole tiles.
+    """
+    clip, tile = max(0.1, clip), max(1, tile)
+    h, w = gray.shape
+    if not h or not w:
+        return gray
+    th, tw = -(-h // tile), -(-w // tile)
+    padded = np.pad(gray, ((0, th * tile - h), (0, tw * tile - w)), mode="symmetric" if min(h, w) > 1 else "edge")
+    tiles = padded.reshape(tile, th, tile, tw).swapaxes(1, 2).reshape(tile * tile, -1)
+    hist = np.stack([np.bincount(t, minlength=256) for t in tiles]).astype(float)
+    top = max(1.0, clip * th * tw / 256)
+    excess = np.maximum(hist - top, 0).sum(1, keepdims=True)
+    maps = (np.cumsum(np.minimum(hist, top) + excess / 256, axis=1) * 255 / (th * tw)).reshape(tile, tile, 256)
+
+    def between(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pos = (np.arange(n) + 0.5) / size - 0.5
+        low = np.floor(pos).astype(int)
+        return np.clip(low, 0, tile - 1), np.clip(low + 1, 0, tile - 1), pos - low
+
+    (y0, y1, fy), (x0, x1, fx) = between(h, th), between(w, tw)
+    out = np.empty_like(gray)
+    for y in range(h):  # one line at a time, so that memory is that of a line
+        a, b = (maps[r, x0, gray[y]] * (1 - fx) + maps[r, x1, gray[y]] * fx for r in (y0[y], y1[y]))
+        out[y] = np.clip(np.rint(a * (1 - fy[y]) + b * fy[y]), 0, 255)
+    return out
+
+
+def nonlocal_means(gray: np.ndarray, h: float = 10, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Each pixel as the mean of its search window, weighted by exp(-d / h^2), d the patches' mean squared difference.
+
+    One shift of the whole page after the other: memory is a few pages, whatever the window.
+    """
+    r = search // 2
+    x = np.pad(gray.astype(float), r, mode="reflect" if min(gray.shape) > r else "edge")
+    own = gray.astype(float)
+    total, weight = np.zeros(gray.shape), np.zeros(gray.shape)
+    for dy in range(search):
+        for dx in range(search):
+            other = x[dy : dy + gray.shape[0], dx : dx + gray.shape[1]]
+            w = np.exp(-np.maximum(_window_sums((own - other) ** 2, patch) / patch**2, 0) / max(h, 1) ** 2)
+            total += w * other
+            weight += w
+    return np.clip(np.rint(total / weight), 0, 255).astype(np.uint8)
+
+
+def turned(gray: np.ndarray, degrees: int) -> np.ndarray:
+    """Clockwise by the nearest multiple of 90 degrees, as an orientation report tells."""
+    return np.ascontiguousarray(np.rot90(gray, -round(degrees / 90) % 4))
+
+
+def odd(size: float, least: int = 1, most: int = 999) -> int:
+    """A kernel's size: odd, within bounds; raises otherwise."""
+    n = int(size)
+    if n != size or n % 2 == 0 or not least <= n <= most:
+        raise ValueError(f"a kernel's size must be odd and from {least} to {most}, not {size}")
+    return n
+
+
+def flattened(gray: np.ndarray, flatten: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Straightening of a page's curve is an outside function; without one, or if it fails, the page stays."""
+    try:
+        return gray if flatten is None else flatten(gray)
+    except Exception:  # noqa: BLE001  an outside function may raise anything; the page as it is serves
+        return gray
+
+
 def flatten_background(gray: np.ndarray, sigma: float = 25) -> np.ndarray:
     """The image over its blurred self, stretched to 0..255."""
     x = gray / np.maximum(gaussian(gray, sigma), 1)
@@ -156,7 +225,7 @@ def crop(gray: np.ndarray, left: int, top: int, width: int, height: int, pad: in
 
 STEPS: dict[str, Callable[..., np.ndarray]] = {
     "deskew": deskew, "lines": remove_lines, "background": flatten_background, "contrast": contrast, "median": median, "open": opened, "close": closed,
-    "otsu": otsu, "sauvola": sauvola, "adaptive": adaptive_mean,
+    "clahe": clahe, "nlm": nonlocal_means, "turn": turned, "dewarp": flattened, "gaussian": gaussian, "otsu": otsu, "sauvola": sauvola, "adaptive": adaptive_mean,
 }
 
 

@@ -16,12 +16,25 @@ def _side(df: DataFrame) -> DataFrame:
 
 
 def catalog_fix(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
-    """token, fixed: the token if the catalog has it, else its only neighbour there by one substitution or deletion."""
+    """token, fixed: the token if the catalog has it, else its only neighbour there by one digit's substitution or one deletion.
+
+    A substitution's two sides agree once the sign is blanked out, so both give their strings with each
+    sign blanked in turn, and tokens those with one sign less: some 20 keys a token, not 100 neighbours.
+    """
     t = tokens.select("token").distinct()
-    catalog = _side(catalog.select(F.col("value")).distinct())
-    near = t.select("token", F.explode(F.array_distinct(F.concat(F.array("token"), V.substitutions(F.col("token")), V.deletions(F.col("token"))))).alias("value"))
-    hits = near.join(catalog, "value").groupBy("token").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"), F.max(F.col("value") == F.col("token")).alias("own"))
-    fixed = F.when(F.col("own"), F.col("token")).when(F.col("n") == 1, F.col("value"))
+
+    def blanked(c: Column, which: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: which | F.substr(c, i, F.lit(1)).rlike("[0-9]"))
+        masks = F.transform(at, lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.lit("\x00"), F.substr(c, i + 1, F.length(c))))
+        return F.when(F.length(c) > 0, masks).otherwise(F.array().cast("array<string>"))
+
+    v, k = F.col("value"), F.col("token")
+    values = catalog.select("value").where("value is not null").distinct()
+    keyed = values.select("value", F.explode(F.concat(F.array(v), blanked(v, F.lit(False)))).alias("key"))
+    near = t.where("token is not null").select("token", F.explode(F.concat(F.array(k), V.deletions(k), blanked(k, F.lit(True)))).alias("key"))
+    # one pair may meet on several keys: least and greatest tell whether there is one value, however often it is met
+    hits = near.join(_side(keyed), "key").groupBy("token").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.bool_or(v == k).alias("own"))
+    fixed = F.when(F.col("own"), k).when(F.col("low") == F.col("high"), F.col("low"))
     return t.join(hits, "token", "left").select("token", fixed.alias("fixed"))
 
 

@@ -55,3 +55,50 @@ def test_process(spark):
     assert bytes(rows["a"]["data"]) == M.otsu(M.median(img)).tobytes() and rows["b"]["data"] is None
     first = M.process(df, [("median", {}), ("otsu", {})], stop="median").where("path = 'a'").collect()[0]
     assert bytes(first["data"]) == M.median(img).tobytes()
+
+
+def test_local_contrast():
+    ramp = np.tile(np.linspace(100, 140, 64).astype(np.uint8), (64, 1))
+    out = M.clahe(ramp, 4, 2)
+    assert out.shape == ramp.shape and np.ptp(out) > np.ptp(ramp)
+    whole = M.clahe(ramp, 1e9, 1)
+    hist = np.bincount(ramp.ravel(), minlength=256).cumsum() * 255 / ramp.size
+    assert (whole == np.rint(hist[ramp])).all()
+    assert M.clahe(np.full((5, 3), 9, np.uint8)).shape == (5, 3) and M.clahe(np.zeros((0, 0), np.uint8)).size == 0
+
+
+def test_nonlocal_means_match_brute_force():
+    img = np.random.default_rng(2).integers(0, 256, (9, 10)).astype(np.uint8)
+    h, patch, search = 60, 3, 5
+    x = np.pad(img.astype(float), 2, mode="reflect")
+    want = np.zeros(img.shape)
+    for y in range(9):
+        for z in range(10):
+            ws, vs = [], []
+            for dy in range(search):
+                for dx in range(search):
+                    diff = (img.astype(float) - x[dy : dy + 9, dx : dx + 10]) ** 2
+                    d = np.pad(diff, 1, mode="reflect")[y : y + 3, z : z + 3].mean()
+                    ws.append(np.exp(-d / h**2))
+                    vs.append(x[y + dy, z + dx])
+            want[y, z] = np.dot(ws, vs) / sum(ws)
+    assert (M.nonlocal_means(img, h, patch, search) == np.rint(want)).all()
+    assert (M.nonlocal_means(np.full((30, 30), 80, np.uint8)) == 80).all()
+
+
+def test_turn_and_dewarp():
+    img = page()
+    assert (M.turned(M.turned(img, 90), 270) == img).all() and M.turned(img, 90).shape == img.shape[::-1]
+    assert M.turned(img, 90)[0, -1] == img[0, 0]
+
+    def broken(x):
+        raise RuntimeError
+
+    assert M.flattened(img) is img and M.flattened(img, broken) is img and (M.flattened(img, M.otsu) == M.otsu(img)).all()
+    assert M.odd(5) == 5
+    for bad in (4, 0, 2.5):
+        try:
+            M.odd(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
