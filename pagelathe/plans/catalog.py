@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pagelathe.functions import repair as R
 from pagelathe.functions import text as T
 from pagelathe.functions import validators as V
+from pagelathe.operators import annotations as A
 from pagelathe.operators import decisions as D
 from pagelathe.operators import evaluation as E
 from pagelathe.operators import lookups as L
+from pagelathe.operators import reports as P
 from pagelathe.operators import waybills as B
 from pagelathe.operators import words as W
 from pagelathe.sources import files
@@ -351,6 +353,65 @@ _add("win08_next_pending", lambda s, d: S.next_pending(_table(s, d, "orders").se
 _add("str14_worth_storing", lambda s, d: S.worth_storing(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_returnflag").alias("text"), (F.col("l_quantity") * 2).alias("conf"))), "SELECT l_orderkey AS job FROM lineitem GROUP BY l_orderkey HAVING avg(l_quantity * 2) >= 50")
 _add("str15_signature", lambda s, d: _table(s, d, "documents").select("doc_id", F.sha1(F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"), F.lit("v10"))).alias("sig")), "SELECT doc_id, sha1(coalesce(source, '') || '|' || CAST(doc_id AS VARCHAR) || '|v10') AS sig FROM documents")
 
+# --- annotations ----------------------------------------------------------------------------
+def _annotated(s: SparkSession, d: str) -> DataFrame:
+    """An annotation for each order, its customer the shipper; valid tax numbers come of a rule over its key."""
+    o = _table(s, d, "orders").join(_table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    party = F.struct(F.lit("shipper").alias("role"), F.col("c_name").alias("name"), F.concat(F.lit("770708"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("inn"))
+    cargo = F.struct(F.col("o_orderpriority").alias("description"), F.col("o_custkey").alias("places_count"))
+    doc = F.struct(F.lit("TN").alias("type"), F.col("o_orderkey").cast("string").alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.array(party).alias("parties"), cargo.alias("cargo_header"))
+    return o.select(F.col("o_orderkey").cast("string").alias("stem"), F.to_json(F.struct(F.array(doc).alias("documents"))).alias("text"))
+
+
+_ANNOTATED = """o AS (SELECT *, '770708' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS inn FROM orders JOIN customer ON o_custkey = c_custkey),
+       ok AS (SELECT *, list_sum(list_transform([2, 4, 10, 3, 5, 9, 4, 6, 8], lambda w, i: w * CAST(inn[i] AS INT))) % 11 % 10 = CAST(inn[10] AS INT) AS good FROM o)"""
+_add("src17_identifiers", lambda s, d: A.identifiers(_annotated(s, d)), f"WITH {_ANNOTATED} SELECT DISTINCT 'name' AS kind, c_name AS value FROM ok UNION ALL SELECT DISTINCT 'inn', inn FROM ok WHERE good")
+_add("udf13_scalars", lambda s, d: A.scalars(_annotated(s, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values")), """WITH o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)
+       SELECT k AS key, count(*) AS n, count(DISTINCT v) AS n_values FROM (SELECT unnest(['type', 'number', 'date', 'role', 'name', 'inn', 'description']) AS k,
+       unnest(['TN', CAST(o_orderkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'shipper', c_name, lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0'), o_orderpriority]) AS v FROM o) GROUP BY k""")
+_add("udf14_organisations", lambda s, d: A.organisations(_annotated(s, d)).select("inn", "name", "source"), f"WITH {_ANNOTATED} SELECT inn, arg_min(c_name, CAST(o_orderkey AS VARCHAR)) AS name, min(CAST(o_orderkey AS VARCHAR)) AS source FROM ok WHERE good GROUP BY inn")
+_add("udf15_expectations", lambda s, d: A.expectations(_annotated(s, d)).select("stem", "field", F.explode("wanted").alias("part", "value")), f"""WITH {_ANNOTATED} SELECT CAST(o_orderkey AS VARCHAR) AS stem, x.f AS field, x.p AS part, x.v AS value FROM (SELECT o_orderkey, unnest([
+       {{'f': 'number', 'p': 'value', 'v': CAST(o_orderkey AS VARCHAR)}}, {{'f': 'date', 'p': 'value', 'v': strftime(o_orderdate, '%d.%m.%Y')}}, {{'f': 'shipper', 'p': 'role', 'v': 'shipper'}}, {{'f': 'shipper', 'p': 'name', 'v': c_name}},
+       {{'f': 'shipper', 'p': 'inn', 'v': inn}}, {{'f': 'cargo', 'p': 'value', 'v': o_orderpriority}}, {{'f': 'volume', 'p': 'places', 'v': CAST(o_custkey AS VARCHAR)}}]) AS x FROM ok)""")
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    read = {"number": F.col("o_orderkey").cast("string"), "date": F.date_format("o_orderdate", "dd.MM.yyyy"), "volume": F.concat(F.lit("мест "), F.col("o_custkey").cast("string")), "cargo": F.when(F.col("o_orderstatus") == "F", "none").otherwise(F.col("o_orderpriority"))}
+    parsed = _table(s, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(" ocred")).alias("stem"), F.lit(0).alias("row"), *[read.get(f, F.lit(B.MISSING)).alias(f) for f in B.FIELDS])
+    return A.totals(A.score(parsed, _annotated(s, d)))
+
+
+_add("udf16_field_scores", _scored, """WITH o AS (SELECT o.* FROM orders o JOIN customer ON o_custkey = c_custkey),
+       w AS (SELECT regexp_matches(o_orderpriority, '[A-Za-z]{4,}') AS telling, o_orderstatus <> 'F' AS same FROM o),
+       c AS (SELECT count(*) AS n, count(*) FILTER (telling AND same) AS good, count(*) FILTER (telling AND NOT same) AS bad, count(*) FILTER (NOT telling) AS vague FROM w)
+       SELECT f AS field, CASE WHEN f IN ('number', 'date', 'volume') THEN n WHEN f = 'cargo' THEN good ELSE 0 END AS n_ok, CASE f WHEN 'shipper' THEN n WHEN 'cargo' THEN bad ELSE 0 END AS n_fail,
+       CASE WHEN f IN ('number', 'date', 'volume', 'shipper') THEN 0 WHEN f = 'cargo' THEN vague ELSE n END AS n_skip,
+       CASE WHEN f IN ('number', 'date', 'volume') THEN 100 WHEN f = 'shipper' THEN 0 WHEN f = 'cargo' THEN CAST(floor(good * 100 / (good + bad)) AS BIGINT) END::BIGINT AS percent
+       FROM c, (SELECT unnest(['number', 'date', 'shipper', 'consignee', 'cargo', 'volume', 'driver', 'vehicle', 'reception']) AS f)""")
+_on_values("msc10_base_name", ["a ocred", "a-выход", "a_ocred", "ocred b", "a"], A.base_name, "regexp_replace(v, '( ocred|-ocred|_ocred|-выход|_выход)$', '')")
+_on_values("src13_reading_rank", ["a ocred", "a-выход", "a_ocred", "ocred b", "a"], A.reading_rank, "CASE WHEN regexp_matches(v, '[ _-]ocred$') THEN 0 WHEN regexp_matches(v, '[_-]выход$') THEN 1 ELSE 2 END")
+_on_values("jn13_plain_name", ["Моспроект-З", "«Весна 3», ООО", "Ёж (К.)"], A.plain_name, "regexp_replace(translate(lower(v), 'ёзоеархсукмтвн', 'e30eapxcykmtbh'), '[ ,.«»()-]', '', 'g')")
+
+# --- reports, jobs, cached results -----------------------------------------------------------
+_add("agg01_overall", lambda s, d: _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", P.overall([F.col("l_linenumber") * k % 21 / 20 for k in range(1, 10)]).alias("overall")), "SELECT l_orderkey, l_linenumber, round(list_sum(list_transform(range(1, 10), lambda k: l_linenumber * k % 21 / 20)) / 9, 2) AS overall FROM lineitem")
+_add("agg03_document_overall", lambda s, d: P.document_overall(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").alias("overall"))), "SELECT l_orderkey AS doc, round_even(avg(l_quantity), 3) AS overall FROM lineitem GROUP BY l_orderkey")
+_add("agg13_by_field", lambda s, d: P.by_field(_fix(s, d)), "SELECT l_returnflag AS field, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+_add("agg23_problem_fields", lambda s, d: _table(s, d, "orders").select("o_orderkey", F.array_join(P.problem_fields({"a": F.col("o_totalprice") / 300000, "b": F.lit(1.0)}, {"a": F.lit(""), "b": F.when(F.col("o_orderstatus") == "P", B.MISSING).otherwise("x")}), ",").alias("bad")), "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice / 300000 < 0.5 THEN 'a' END, CASE WHEN o_orderstatus = 'P' THEN 'b' END) AS bad FROM orders")
+_add("snk08_report_lines", lambda s, d: _table(s, d, "orders").select("o_orderkey", P.report_line(F.col("o_orderkey").cast("string"), F.lit(0.75), F.when(F.col("o_orderstatus") == "P", "ERROR: x").otherwise(""), F.lit("w"), F.lit("d"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))).alias("line")), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '[ERR ]' ELSE '[OK  ]' END || '  75% | ' || o_orderkey || chr(10) || CASE o_orderstatus WHEN 'P' THEN '       └─ ERROR: x' WHEN 'F' THEN '       ├─ w от d' || chr(10) || '       └─ Проверить: a, b' ELSE '       ├─ w от d' || chr(10) || '       └─ Все поля распознаны.' END AS line FROM orders")
+_add("win04_numbering", lambda s, d: P.numbered(_table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"), "l_returnflag"), F.col("l_returnflag") == "A").select("source"), "SELECT CASE WHEN n > 1 THEN s || '#' || k ELSE s END AS source FROM (SELECT CAST(l_orderkey AS VARCHAR) AS s, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE l_returnflag = 'A'")
+_add("win07_margin", lambda s, d: P.margin(_table(s, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice"), "SELECT o_custkey, max(CASE WHEN k = 1 THEN o_orderkey END) AS o_orderkey, max(CASE WHEN k = 1 THEN o_totalprice END) AS o_totalprice, max(CASE WHEN k = 1 THEN o_totalprice END) - max(CASE WHEN k = 2 THEN o_totalprice END) AS lead FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) GROUP BY o_custkey")
+_add("win10_first_pages", lambda s, d: _table(s, d, "conversations").where("turn < 2").select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE turn < 2")
+_add("set06_form_dates", lambda s, d: _table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("day")).where(~F.col("day").isin(*sorted(B.FORM_DATES))), "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders WHERE strftime(o_orderdate, '%d.%m.%Y') NOT IN (" + ", ".join(f"'{x}'" for x in sorted(B.FORM_DATES)) + ")")
+_add("src22_corpus_pairs", lambda s, d: P.paired(_table(s, d, "orders").select(F.col("o_custkey").alias("stem"), "o_orderkey"), _table(s, d, "customer").select(F.col("c_custkey").alias("stem"), "c_name"))[0], "SELECT o_custkey AS stem, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+_add("jn11_merged_maps", lambda s, d: _table(s, d, "orders").select("o_orderkey", F.array_join(F.map_values(P.merged_maps(F.create_map(F.lit("a"), F.col("o_orderstatus")), F.create_map(F.lit("a"), F.lit("z"), F.lit("b"), F.col("o_orderpriority")))), "|").alias("v")), "SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority AS v FROM orders")
+_add("msc04_languages", lambda s, d: _table(s, d, "orders").select("o_orderkey", P.languages(F.col("o_orderstatus"), F.array(F.lit("O"), F.lit("F"))).alias("langs")), "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'O+F' WHEN 'F' THEN 'F+O' ELSE o_orderstatus || '+O+F' END AS langs FROM orders")
+_wish = lambda: F.when(F.col("event_type") == "click", "pause").when(F.col("event_type") == "view", "resume").when(F.col("event_type") == "error", "cancel").otherwise("none")
+_add("msc17_set_status", lambda s, d: P.set_status(_table(s, d, "customer").select(F.col("c_custkey").alias("job"), F.lit("running").alias("status")), _table(s, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), _wish().alias("wish"))), "SELECT c_custkey AS job, CASE e WHEN 'click' THEN 'paused' WHEN 'view' THEN 'pending' WHEN 'error' THEN 'cancelled' ELSE 'running' END AS status FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS e FROM events GROUP BY 1) ON user_id = c_custkey")
+_add("str12_cache_lookup", lambda s, d: P.cache_lookup(_table(s, d, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_custkey").cast("string").alias("key")), _table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("result"))), "SELECT o_orderkey AS job, CAST(o_custkey AS VARCHAR) AS key, c_name AS result FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+_add("msc15_unique_names", lambda s, d: P.unique_names(_table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lower("c_mktsegment"), F.lit(".pdf")).alias("path")), _table(s, d, "nation").select(F.concat(F.lit("building ("), F.col("n_nationkey").cast("string"), F.lit(").pdf")).alias("path"))), """WITH u AS (SELECT CASE n_nationkey WHEN 0 THEN NULL ELSE n_nationkey END AS n FROM nation), a AS (SELECT c_custkey AS id, lower(c_mktsegment) AS r, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k FROM customer)
+       SELECT id, r || '.pdf' AS path, CASE WHEN k = 0 THEN r || '.pdf' WHEN r = 'building' THEN r || ' (' || (k + (SELECT max(n) FROM u)) || ').pdf' ELSE r || ' (' || k || ').pdf' END AS name FROM a""")
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
