@@ -75,7 +75,7 @@ def simhash_of(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs, empty):
+def test_simhash(docs, empty, monkeypatch):
     rows = corpus()
     fps = [simhash_of(t) for _, t in rows]
     up = list(range(len(rows)))
@@ -96,6 +96,9 @@ def test_simhash(docs, empty):
     want = Counter((d, f"{fps[i]:016x}", min(low[find(i)], default=None)) for i, (d, _) in enumerate(rows))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
     assert simhash.near_duplicates(empty).count() == 0
+    for hot in (1, 20):  # none, and some, of the fingerprints are broadcast
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
 
 
 def test_covering_finds_all_pairs():
