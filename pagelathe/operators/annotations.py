@@ -18,6 +18,7 @@ from pagelathe.functions import text as T
 from pagelathe.functions import validators as V
 from pagelathe.operators import lookups as L
 from pagelathe.operators.waybills import FIELDS, MISSING, partial_ratio
+from pagelathe.sources import files as sources
 
 #: Endings that mark a reading of a file, and their rank; files without one come last.
 READINGS = {" ocred": 0, "-ocred": 0, "_ocred": 0, "-выход": 1, "_выход": 1}
@@ -127,7 +128,7 @@ def _each(files: DataFrame, f: Callable[[object], Iterator[tuple]], schema: str)
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, text) of the JSON files of a folder, whole."""
     t = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
-    return t.select(F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]+?)\.json$", 1).alias("stem"), F.col("value").alias("text"))
+    return t.select(sources.stem("json").alias("stem"), F.col("value").alias("text"))
 
 
 def scalars(files: DataFrame) -> DataFrame:

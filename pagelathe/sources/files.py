@@ -17,11 +17,16 @@ def discover(spark: SparkSession, roots: list[str], recursive: bool = True) -> D
     return files.where("length > 0").select("path", "length", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf")).dropDuplicates(["path"])
 
 
+def stem(extension: str) -> Column:
+    """The read file's name without its ending; paths come percent-encoded."""
+    path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, rf"([^/]+?)\.{extension}$", 1)
+
+
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, stem, text): every text file whole."""
     t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    path = F.input_file_name()
-    return t.select(path.alias("path"), F.regexp_extract(path, r"([^/]+?)\.txt$", 1).alias("stem"), F.col("value").alias("text"))
+    return t.select(F.input_file_name().alias("path"), stem("txt").alias("stem"), F.col("value").alias("text"))
 
 
 def best_text(plain: Column, blocks: Column, layout: Column) -> Column:

@@ -30,9 +30,10 @@ def test_scans(spark, tmp_path):
     (tmp_path / "s" / "b.PDF").write_bytes(b"none")
     (tmp_path / "e.pdf").write_bytes(b"")
     (tmp_path / "a.txt").write_text("line\nnext")
+    (tmp_path / "s" / "c + d%20.txt").write_text("x")
     got = {r["path"].rsplit("/", 1)[1]: r["is_pdf"] for r in files.discover(spark, [str(tmp_path)]).collect()}
     assert got == {"a.pdf": True, "b.PDF": False}
-    assert [(r["stem"], r["text"]) for r in files.texts(spark, str(tmp_path)).collect()] == [("a", "line\nnext")]
+    assert {(r["stem"], r["text"]) for r in files.texts(spark, str(tmp_path)).collect()} == {("a", "line\nnext"), ("c + d%20", "x")}
     assert sorted(r["word"] for r in files.word_list(spark, str(tmp_path / "a.txt")).collect()) == ["line", "next"]
 
 
