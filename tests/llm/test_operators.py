@@ -336,6 +336,58 @@ def test_language_id(spark, docs, empty):
     assert {x.lang_pred for x in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def edited_copies():
+    """Texts of 5 to 300 words with copies of copies, each with more words edited, and some of other case and spacing."""
+    r = random.Random(11)
+    rows, at = [], 100
+    for n in (5, 9, 30, 80, 150, 300):
+        words = [f"w{r.randrange(5000)}" for _ in range(n)]
+        for edits in (0, 1, 1, 2, 3, 1, 2, 1):
+            words = list(words)
+            for _ in range(edits * n // 150 + (edits > 1)):
+                words[r.randrange(n)] = f"x{r.randrange(5000)}"
+            rows.append((at, " ".join(words)))
+            at -= 1
+        rows.append((at, "  ".join(words).upper()))
+        at -= 1
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, broadcast):
+    import corpus_pipeline as p
+    from pagelathe.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", broadcast)
+    rows = corpus() + edited_copies()
+
+    def shingles(t):
+        w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    bags, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    edited = 0
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                edited += a != b
+                up[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    want = Counter((d, t) for d, t in rows if d is None or d in low.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in p.near_duplicate_stage(spark, docs, "").collect()) == want
+    assert edited > 20 and p.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
