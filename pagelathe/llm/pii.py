@@ -18,17 +18,29 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _EDGE, _STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Lengths of bank account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_LANDS = "(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")" + _STOP
+#: A country's length first; else as many groups as there are, up to an account with a country's length.
+_IBAN = _LANDS + rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?! {_LANDS}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
 #: In order of preference where two could start at one place.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_-]{8,128}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _IBAN,
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "card": "",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 }
+_OTHER = "(?!(?:" + "|".join(f"(?:{KINDS[k]})" for k in ("email", "date", "ip", "ssn", "phone")) + ")" + _STOP + ")"
+#: All groups of digits up to another kind; _card finds the cards among them.
+KINDS["card"] = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){_OTHER}[0-9]++{_STOP}(?:[ -]{_OTHER}[0-9]++{_STOP})*+"
 PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")" + _STOP
 #: What any of the above has in it; texts without it are passed by.
 HINT = r"[0-9@]|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]"
@@ -153,11 +165,37 @@ def _ip(key: Column, m: Column) -> Column:
 
 
 def _card(key: Column, m: Column) -> Column:
-    d = F.regexp_replace(m, _DIGIT_DROP, "")
-    n = F.length(d)
-    body = F.substr(d, F.lit(1), n - 1)
-    new = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(key, "card", F.substr(d, F.lit(2), n - 2)))
-    return F.when(luhn(body) == F.substr(d, n, F.lit(1)), refill(m, F.concat(new, luhn(new)))).otherwise(m)
+    """Of groups of digits, from each on, the most that make a valid number; other groups stay."""
+    groups = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+    def span(gs: Column, i: Column, j: Column) -> Column:
+        return F.array_join(F.slice(gs, i + 1, j - i + 1), "")
+
+    def valid(text: Column) -> Column:
+        d = F.regexp_replace(text, _DIGIT_DROP, "")
+        n = F.length(d)
+        return F.when(n.between(13, 19), luhn(F.substr(d, F.lit(1), n - 1)) == F.substr(d, n, F.lit(1))).otherwise(False)
+
+    def moved(text: Column) -> Column:
+        d = F.regexp_replace(text, _DIGIT_DROP, "")
+        new = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
+        return refill(text, F.concat(new, luhn(new)))
+
+    def of(gs: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(i + 18, F.size(gs) - 1)), lambda j: valid(span(gs, i, j)))
+            last = F.when(i >= s["next"], F.array_max(ends))
+
+            def put(j: Column) -> Column:
+                piece = F.when(i < s["next"], F.lit("")).when(j.isNull(), F.get(gs, i)).otherwise(moved(span(gs, i, j)))
+                return F.struct(F.concat(s["out"], piece).alias("out"), F.greatest(s["next"], F.coalesce(j, i) + 1).alias("next"))
+
+            return F.get(F.transform(F.array(last), put), F.lit(0))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), start, step, lambda s: s["out"])
+
+    return F.get(F.transform(F.array(groups), of), F.lit(0))
 
 
 def _phone(key: Column, m: Column) -> Column:

@@ -307,6 +307,24 @@ def test_pii(spark):
     assert [r.text for r in rows if r.doc_id is None] == [got[2]] and got[9] == got[1]
 
 
+def test_pii_next_to_other_numbers(spark):
+    card, spaced, iban = "4111111111111111", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    forms = [
+        f"{spaced} 12/27", f"{card} 123", f"12 {card}", f"12 34 56 {spaced} 7", f"1234 {spaced}", f"{spaced} {card} 5", f"{card} 2022-02-28", f"386-555-3733 {card}",
+        f"{iban} 2024", f"AB12 {iban}", f"{iban} {iban}", " ".join(map(str, range(3000))), "12 34 56 78 90 12 34",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*forms, card, iban, "386-555-3733"])], "i int, text string")
+    got = {r.i: r.text for r in pii.pseudonymize(df, "k").collect()}
+    alone, account, phone = got[len(forms)], got[len(forms) + 1], got[len(forms) + 2]
+    assert alone != card and account != iban
+    masked = " ".join(alone[i : i + 4] for i in range(0, 16, 4))
+    want = [f"{masked} 12/27", f"{alone} 123", f"12 {alone}", f"12 34 56 {masked} 7", f"1234 {masked}", f"{masked} {alone} 5", None, f"{phone} {alone}", f"{account} 2024", f"AB12 {account}", f"{account} {account}"]
+    for i, w in enumerate(want):
+        assert w is None or got[i] == w, (forms[i], got[i], w)
+    assert got[6].startswith(f"{alone} ") and "2022-02-28" not in got[6]
+    assert len(got[11]) == len(forms[11]) and len(got[12]) == len(forms[12])
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
