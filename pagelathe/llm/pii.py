@@ -30,7 +30,7 @@ _IBAN = _LANDS + rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?! {_LANDS}) ?[A-Z0-9]{{4}}){{2,7}}
 #: In order of preference where two could start at one place.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_-]{8,128}",
+    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_-]{8,}",
     "iban": _IBAN,
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
@@ -43,7 +43,7 @@ _OTHER = "(?!(?:" + "|".join(f"(?:{KINDS[k]})" for k in ("email", "date", "ip",
 KINDS["card"] = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){_OTHER}[0-9]++{_STOP}(?:[ -]{_OTHER}[0-9]++{_STOP})*+"
 PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")" + _STOP
 #: What any of the above has in it; texts without it are passed by.
-HINT = r"[0-9@]|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]"
+HINT = r"[0-9@]|AKIA|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]"
 _DIGIT_DROP = r"[^0-9]"
 
 

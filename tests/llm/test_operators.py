@@ -325,6 +325,13 @@ def test_pii_next_to_other_numbers(spark):
     assert len(got[11]) == len(forms[11]) and len(got[12]) == len(forms[12])
 
 
+def test_pii_long_credentials(spark):
+    texts = ["token=" + "aB" * 100, "api_key: " + "x" * 5000 + " end", "key AKIA" + "ABCDEFGHIJKLMNOP" + " here"]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "k").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(got, texts, strict=True))
+    assert got[1].endswith(" end") and got[2].startswith("key AKIA") and got[2].endswith(" here")
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
