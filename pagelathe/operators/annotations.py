@@ -16,8 +16,10 @@ from pyspark.sql.types import DoubleType
 
 from pagelathe.functions import text as T
 from pagelathe.functions import validators as V
+from pagelathe.functions.similarity import partial_ratio
 from pagelathe.operators import lookups as L
-from pagelathe.operators.waybills import FIELDS, MISSING, partial_ratio
+from pagelathe.operators.waybills import FIELDS, MISSING
+from pagelathe.shipping import in_pandas, ship
 from pagelathe.sources import files as sources
 
 #: Endings that mark a reading of a file, and their rank; files without one come last.
@@ -122,7 +124,7 @@ def _each(files: DataFrame, f: Callable[[object], Iterator[tuple]], schema: str)
                 rows += [(stem, *r) for r in f(node)]
             yield pd.DataFrame(rows, columns=["stem", *names])
 
-    return files.select("stem", "text").mapInPandas(batch, f"stem string, {schema}")
+    return in_pandas(files.select("stem", "text"), batch, f"stem string, {schema}")
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,6 +210,7 @@ def check(rows: DataFrame) -> DataFrame:
     Names may differ by look-alikes and a few signs, drivers in all but the surname, cargo in all
     but one of its first three telling words; of a volume one part suffices, of a vehicle the plate.
     """
+    ship(rows.sparkSession)
     w = lambda k: F.try_element_at("wanted", F.lit(k))
     got, folded = T.strip(F.coalesce("got", F.lit(""))), F.col("__got")
     has_inn = F.coalesce(F.contains(got, w("inn")), F.lit(True))

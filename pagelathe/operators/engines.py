@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from pagelathe.shipping import in_pandas
+
 SCHEMA = "path string, page int, text string, confidence double, tier int, error string"
 
 
@@ -79,7 +81,7 @@ def recognise(pages: DataFrame, engine: Engine, tiers: list[dict]) -> DataFrame:
             out = pd.DataFrame(rows, columns=["path", "page", "text", "confidence", "tier", "error"])
             yield out.astype({"tier": "Int32"})
 
-    return pages.select("path", "page", "data").mapInPandas(batch, SCHEMA)
+    return in_pandas(pages.select("path", "page", "data"), batch, SCHEMA)
 
 
 def fill(rows: DataFrame, text: str, key: str, fields: list[str], missing: tuple[str, ...], filler: Callable[[str, list[str]], dict[str, str]] | None, below: float = 0.4) -> DataFrame:
@@ -100,4 +102,4 @@ def fill(rows: DataFrame, text: str, key: str, fields: list[str], missing: tuple
                         f.at[i, c], f.at[i, f"{c}_conf"] = answer[c].strip(), 0.6
             yield f
 
-    return rows.mapInPandas(batch, rows.schema)
+    return in_pandas(rows, batch, rows.schema)

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
+from pagelathe.shipping import in_pandas
+
 
 def to_gray(img: np.ndarray) -> np.ndarray:
     """Blue, green, red (and alpha) to grey."""
@@ -253,4 +255,4 @@ def process(images: DataFrame, steps: list[tuple[str, dict]], stop: str | None =
             yield pd.DataFrame(out, columns=["path", "height", "width", "data"])
 
     flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    return flat.mapInPandas(batch, "path string, height int, width int, data binary")
+    return in_pandas(flat, batch, "path string, height int, width int, data binary")

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.shipping import in_pandas
+
 Span = tuple[float, float, float, float, str]
 
 
@@ -52,4 +54,4 @@ def page_texts(spans: DataFrame) -> DataFrame:
             texts = [render([tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in spans], w) for w, spans in zip(f["width"], f["spans"], strict=True)]
             yield pd.DataFrame({"doc": f["doc"], "page": f["page"], "text": texts})
 
-    return pages.mapInPandas(batch, f"doc {spans.schema['doc'].dataType.simpleString()}, page {spans.schema['page'].dataType.simpleString()}, text string")
+    return in_pandas(pages, batch, f"doc {spans.schema['doc'].dataType.simpleString()}, page {spans.schema['page'].dataType.simpleString()}, text string")

@@ -1,28 +1,43 @@
-"""Makes this package importable by Python workers that do not have the repository on their path."""
+"""Makes this package importable by Python workers, whatever is on their own path."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors once for each application, unless PYTHONPATH has it."""
+    """Send the package to the executors, once for each application.
+
+    The driver's own path says nothing of theirs, so it is always sent. Every function that makes a
+    Python worker calls this.
+    """
     sc = spark.sparkContext
-    if str(_ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
-        return spark
-    # the driver's file server hands this file out; no executor reads the folder itself
-    target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{_ROOT.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(_ROOT.rglob("*.py")):
-            z.write(p, p.relative_to(_ROOT.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
+    if sc.applicationId not in _shipped:
+        # the driver's file server hands this file out; no executor reads the folder itself
+        target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{_ROOT.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(_ROOT.rglob("*.py")):
+                z.write(p, p.relative_to(_ROOT.parent))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
     return spark
+
+
+def in_arrow(df: DataFrame, rows: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(rows, schema)
+
+
+def in_pandas(df: DataFrame, rows: Callable, schema) -> DataFrame:
+    """``df.mapInPandas`` by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInPandas(rows, schema)

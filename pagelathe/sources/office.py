@@ -18,6 +18,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.shipping import in_pandas
+
 _SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _WORD_NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -165,7 +167,7 @@ def write_files(df: DataFrame, folder: str, make: str, extension: str) -> DataFr
                 paths.append(path)
             yield pd.DataFrame({"name": f["name"], "path": paths})
 
-    return df.select(F.col("name").cast("string").alias("name"), "items").mapInPandas(batch, "name string, path string")
+    return in_pandas(df.select(F.col("name").cast("string").alias("name"), "items"), batch, "name string, path string")
 
 
 def write_docx(pages: DataFrame, folder: str) -> DataFrame:
@@ -196,4 +198,4 @@ def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["path", "row", "cells"])
 
-    return files.select("path", "content").mapInPandas(batch, "path string, row int, cells array<string>")
+    return in_pandas(files.select("path", "content"), batch, "path string, row int, cells array<string>")

@@ -8,7 +8,8 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+# workers get the package from its operators, as on a cluster
+os.environ.pop("PYTHONPATH", None)
 
 
 @pytest.fixture(scope="session")
