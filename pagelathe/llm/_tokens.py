@@ -27,7 +27,7 @@ _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = LETTER
 _CLASS[0x20] = SPACE
 _CLASS[0x09:0x0E] = BLANK
 _CLASS[0xC3:0xC6] = _CLASS[0x80:0xC0] = LETTER
-_SLOTS, _MOST_PIECES = 1 << 21, 3_000_000
+_SLOTS, _MOST_PIECES, _MOST_IDS = 1 << 21, 3_000_000, 16_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -102,7 +102,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(_SLOTS, np.uint64)
+        # a piece is its 128-bit key (short pieces are their key); a slot that holds none has a key of no piece
+        self.keys = np.full((2, _SLOTS), (1 << 64) - 1, np.uint64)
         self.at = np.zeros(_SLOTS, np.int32)
         self.size = np.zeros(_SLOTS, np.int32)
         self.pool, self.used, self.pieces = np.zeros(1 << 16, np.int32), 0, 0
@@ -125,20 +126,26 @@ class Encoder:
         n = len(off) - 1
         start, fine = cut(buf, off)
         end = np.append(start[1:], len(buf))
-        h = T.hash_spans(buf, start, end)
-        h[h == 0] = 1
-        if self.pieces > _MOST_PIECES:
+        keys = np.stack(T.span_keys(buf, start, end))
+        h = T.hash_keys(*keys)
+        if self.pieces > _MOST_PIECES or self.used > _MOST_IDS:
             self._forget()
         slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
         at, size = self.at[slot], self.size[slot]
         of = np.searchsorted(off, start, "right") - 1
-        miss = np.flatnonzero((self.keys[slot] != h) & fine[of])
+        miss = np.flatnonzero((self.keys[:, slot] != keys).any(axis=0) & fine[of])
         if len(miss):
             _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             pick = miss[first]
+            # pieces of one hash and unequal keys are pieces of their own
+            other = np.flatnonzero((keys[:, miss] != keys[:, pick[back]]).any(axis=0))
+            back[other] = len(pick) + np.arange(len(other))
+            pick = np.concatenate((pick, miss[other]))
             view = buf.tobytes()
             a, s = self._learn([view[x:y] for x, y in zip(start[pick].tolist(), end[pick].tolist(), strict=True)])
-            self.keys[slot[pick]], self.at[slot[pick]], self.size[slot[pick]] = h[pick], a, s
+            for i, k in enumerate(keys):
+                self.keys[i, slot[pick]] = k[pick]
+            self.at[slot[pick]], self.size[slot[pick]] = a, s
             at[miss], size[miss] = a[back], s[back]
         size[~fine[of]] = 0
         ids = self.pool[T.ranges(at.astype(np.int64), size.astype(np.int64))]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
+from pagelathe.shipping import in_arrow
 
 BUCKETS = 1 << 16
 ORDERS = 3
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.
         return Model((), np.zeros((BUCKETS + 1, 0), np.float32))
     shares = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1 << 20, -(-per_language * (1 << 20) // n)))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < shares[F.col("lang")]).select("lang", "text")
-    counts = drawn.mapInArrow(_count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = in_arrow(drawn, _count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = tuple(sorted(sizes))
     table = np.zeros((BUCKETS, len(languages)))
     code = {x: i for i, x in enumerate(languages)}
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict_rows(docs.sparkSession.sparkContext.broadcast(model), names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return in_arrow(rows, _predict_rows(docs.sparkSession.sparkContext.broadcast(model), names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out() -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
 from pagelathe.llm import _tokens
+from pagelathe.shipping import in_arrow
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -137,4 +138,4 @@ def pack(docs: DataFrame, capacity: int = 1024, separator: int = 0, vocabulary:
     if capacity < 8 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two of at least 8")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_pack_rows(vocabulary or _tokens.vocabulary_path(), capacity, separator), SCHEMA)
+    return in_arrow(docs, _pack_rows(vocabulary or _tokens.vocabulary_path(), capacity, separator), SCHEMA)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
+from pagelathe.shipping import in_arrow
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 #: What rules may test, from the statistics.
@@ -42,16 +43,19 @@ def _sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[off])
 
 
-def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per key: whether it occurs more than once, and whether an equal one stands before it."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    same = k[1:] == k[:-1] if len(k) else np.zeros(0, bool)
-    again = np.zeros(len(k), bool)
+def _repeated(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place: whether its keys occur more than once, and whether equal ones stand before it."""
+    n = len(keys[0])
+    order = np.lexsort(keys)
+    same = np.ones(max(n - 1, 0), bool)
+    for k in keys:
+        k = k[order]
+        same &= k[1:] == k[:-1]
+    again = np.zeros(n, bool)
     again[1:] = same
     many = again.copy()
     many[:-1] |= same
-    out = np.empty((2, len(k)), bool)
+    out = np.empty((2, n), bool)
     out[0, order], out[1, order] = many, again
     return out[0], out[1]
 
@@ -70,18 +74,18 @@ def stats_of(buf: np.ndarray, off: np.ndarray, window: int = 5) -> list[np.ndarr
     of = T.text_index(first)
     pos = np.arange(len(starts)) - first[of]
     at = np.flatnonzero(pos + window <= n[of])
-    h = T.hash_spans(buf, starts, ends)
-    many, _ = _repeated(T.mix(T.hash_windows(h, at, window) + of[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    keys = T.span_keys(buf, starts, ends)
+    many, _ = _repeated(*(T.hash_windows(T.hash_keys(*keys, seed), at, window, seed) for seed in (0, 1)), of[at])
     repeat = T.covered(len(starts), at[many], window)
 
     newline = np.flatnonzero(buf == 0x0A)
     line_start = np.union1d(off[:-1][np.diff(off) > 0], newline[newline + 1 < len(buf)] + 1)
-    line_end = np.append(line_start[1:], len(buf))
+    line_end = np.append(line_start[1:], len(buf))[: len(line_start)]
     line_end -= (line_end > 0) & (buf[np.maximum(line_end - 1, 0)] == 0x0A) if len(line_end) else 0
     line_end = np.maximum(line_end, line_start)
     filled = np.unique(np.searchsorted(line_start, starts, "right") - 1)
     line_of = np.searchsorted(off, line_start[filled], "right") - 1
-    _, again = _repeated(T.mix(T.hash_spans(buf, line_start[filled], line_end[filled]) + line_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    _, again = _repeated(*T.span_keys(buf, line_start[filled], line_end[filled]), line_of)
     texts = len(off) - 1
     return [
         n,
@@ -105,7 +109,7 @@ def _stat_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, STATS...) of each row's whole text; null text counts as empty, all zero."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_stat_rows, "doc_id long, " + ", ".join(f"{c} long" for c in STATS))
+    return in_arrow(docs, _stat_rows, "doc_id long, " + ", ".join(f"{c} long" for c in STATS))
 
 
 @dataclass(frozen=True)

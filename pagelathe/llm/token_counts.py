@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
 from pagelathe.llm import _tokens
+from pagelathe.shipping import in_arrow
 
 RULES = ("first", "last", "most")
 SCHEMA = "doc_id long, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -83,4 +84,4 @@ def token_counts(docs: DataFrame, rule: str = "first", sections: str = "lines",
     if rule not in RULES or sections not in ("lines", "whole"):
         raise ValueError(f"rule must be one of {RULES}, sections lines or whole")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_rows(vocabulary or _tokens.vocabulary_path(), rule, sections == "lines"), SCHEMA)
+    return in_arrow(docs, _rows(vocabulary or _tokens.vocabulary_path(), rule, sections == "lines"), SCHEMA)
