@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
 from pagelathe.llm.graph import checkpointed, components
+from pagelathe.shipping import in_arrow
 
 RADIUS = 2
 #: A fingerprint is hot if more than one in so many rows has it; fewer than so many can be.
@@ -67,8 +67,7 @@ def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = 3) -> np.nd
     begin = stop - (ends - starts)
     lead = T.ranges(first[:-1], m)
     last = lead + np.repeat(np.minimum(shingle, np.maximum(n, 1)) - 1, m)
-    view, digest = body.tobytes(), xxhash.xxh64_intdigest
-    h = np.array([digest(view[a:b], 42) for a, b in zip(begin[lead].tolist(), stop[last].tolist(), strict=True)], np.uint64)
+    h = T.xxh64_spans(body, begin[lead], stop[last], 42)
     counts = _bit_counts(h, np.concatenate(([0], np.cumsum(m))))
     bits = 2 * counts > m[:, None]
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.int64, copy=False).view(np.int64)
@@ -86,7 +85,7 @@ def _fingerprint_rows(shingle: int, names: list[str]):
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): ``fp`` the signed 64-bit SimHash of the whole text; 0 for null or wordless texts."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_fingerprint_rows(shingle, ["doc_id", "fp"]), "doc_id long, fp long")
+    return in_arrow(docs, _fingerprint_rows(shingle, ["doc_id", "fp"]), "doc_id long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
