@@ -29,6 +29,7 @@ from pagelathe.shipping import in_arrow
 RADIUS = 2
 #: A fingerprint is hot if more than one in so many rows has it; fewer than so many can be.
 HOT = 1000
+SALTS = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The eight bits of a byte, one in each byte of a word.
@@ -132,7 +133,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     # 16 bytes a document, read several times: written once, not computed anew
     fps = checkpointed(fingerprints(docs, shingle))
     total = fps.count()
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    # every map task has a row of a hot fingerprint: those rows meet in SALTS tasks before they meet in one
+    parted = fps.groupBy("fp", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    nodes = checkpointed(parted.groupBy("fp").agg(F.min("low").alias("low"), F.sum("n").alias("n")))
     parts = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
     classed = nodes.join(parts, "fp", "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
     ids = classed.groupBy("component").agg(F.min("low").alias("component_id"))
