@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from pagelathe.llm import _text as T
-from pagelathe.llm import _tokens, langid, packing, quality, simhash, substring_dedup, token_counts
+from pagelathe.llm import _packed, _tokens, langid, packing, quality, simhash, substring_dedup, token_counts
 
 
 def block(texts):
@@ -83,3 +83,21 @@ def test_blocks_of_one_empty_text(spark):
     assert token_counts.token_counts(docs).first().n_tokens == 0 and packing.pack(docs).first().length == 1
     model = langid.fit(spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string"))
     assert langid.predict(docs, model).first().lang_pred == "und"
+
+
+def test_keys_of_partitions(spark):
+    keys = _packed.keys_of(37)
+    rows = spark.createDataFrame([(int(k),) for k in keys], "k int").selectExpr("pmod(hash(k), 37) AS p").collect()
+    assert [r.p for r in rows] == list(range(37))
+
+
+def test_small_cells(spark, monkeypatch):
+    """Many cells a partition give what one gives; so does a union that lays no partitions together."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(tuple, substring_dedup.substring_dedup(docs, with_text=False).collect()))
+    monkeypatch.setattr(_packed, "CELL_BYTES", 20_000)
+    monkeypatch.setattr(_packed, "PART_BYTES", 90_000)
+    assert sorted(map(tuple, substring_dedup.substring_dedup(docs, with_text=False).collect())) == want
+    monkeypatch.setattr(_packed, "df_conf", lambda *_: "false")
+    assert sorted(map(tuple, substring_dedup.substring_dedup(docs, with_text=False).collect())) == want
+    assert sum(r[2] for r in want) > 0
