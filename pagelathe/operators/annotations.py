@@ -18,7 +18,7 @@ from pagelathe.functions import text as T
 from pagelathe.functions import validators as V
 from pagelathe.functions.similarity import partial_ratio
 from pagelathe.operators import lookups as L
-from pagelathe.operators.waybills import FIELDS, MISSING
+from pagelathe.operators.forms import FIELDS, MISSING
 from pagelathe.shipping import in_pandas, ship
 from pagelathe.sources import files as sources
 
