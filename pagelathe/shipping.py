@@ -31,13 +31,43 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of rows that a worker gets at once, where the session does not say: ten thousand long texts are no batch.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
+
+
+def _give_back() -> None:
+    """Return freed memory: a worker lives on between tasks, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def _tidy(rows: Callable) -> Callable:
+    def run(it):  # noqa: ANN001, ANN202
+        yield from rows(it)
+        _give_back()
+
+    return run
+
+
 def in_arrow(df: DataFrame, rows: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` by a function of this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(rows, schema)
+    _ready(df.sparkSession)
+    return df.mapInArrow(_tidy(rows), schema)
 
 
 def in_pandas(df: DataFrame, rows: Callable, schema) -> DataFrame:
     """``df.mapInPandas`` by a function of this package."""
-    ship(df.sparkSession)
-    return df.mapInPandas(rows, schema)
+    _ready(df.sparkSession)
+    return df.mapInPandas(_tidy(rows), schema)
