@@ -16,6 +16,19 @@ def confident_errors(corrections: DataFrame, least: float = 0.8) -> DataFrame:
     return corrections.where((F.col("kind") == "fix") & (F.col("original_confidence") >= least))
 
 
+def char_errors(truth: Column, read: Column) -> Column:
+    """Edit distance over the truth's length, both with single spaces; 0 for two empty texts, 1 for one."""
+    a, b = (F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")) for c in (truth, read))
+    return F.when(F.length(a) == 0, F.when(F.length(b) == 0, 0.0).otherwise(1.0)).otherwise(F.round(F.levenshtein(a, b) / F.length(a), 4))
+
+
+def outcomes(scored: DataFrame) -> DataFrame:
+    """Per field of (field, ok), and in a row TOTAL: n_ok, n_fail, n_skip, and the whole percentage of those with an expectation."""
+    ok, fail = F.count_if(F.col("ok")), F.count_if(~F.col("ok"))
+    counts = scored.rollup("field").agg(ok.alias("n_ok"), fail.alias("n_fail"), F.count_if(F.col("ok").isNull()).alias("n_skip"), F.when(ok + fail > 0, F.floor(ok * 100 / (ok + fail))).alias("percent"), F.grouping("field").alias("__all"))
+    return counts.withColumn("field", F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col("field"))).drop("__all")
+
+
 def word_errors(truth: Column, read: Column) -> Column:
     """Edit distance over words divided by the truth's words; each row's distance is one fold, in memory of one row of the table."""
     a, b = (F.filter(F.split(F.trim(c), r"(?U)\s+"), lambda w: w != "") for c in (truth, read))

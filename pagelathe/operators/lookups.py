@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import validators as V
+from pagelathe.operators.forms import FORM_DATES
 
-#: A side is broadcast if it is known to have no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast if it is known to have no more bytes of text than this, 16 bytes a row and column included.
+BROADCAST_BYTES = 16 << 20
 
 
 def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES else df
 
 
 def catalog_fix(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -73,7 +75,53 @@ def diff_rows(snapshot: DataFrame, corrected: DataFrame, key: str, fields: list[
     c = corrected.select(key, *[F.col(f).alias(f"c_{f}") for f in fields])
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.coalesce(f, F.lit(""))).alias("original"), F.trim(F.coalesce(f"c_{f}", F.lit(""))).alias("corrected")) for f in fields])
     d = snapshot.join(c, key).select(key, F.explode(pairs).alias("p")).select(key, "p.*").where("original <> corrected")
-    return d.withColumn("kind", F.when(F.col("original") == "", "fill").when(F.col("corrected") == "", "clear").otherwise("fix"))
+    return d.withColumn("kind", kind_of(F.col("original"), F.col("corrected")))
+
+
+def kind_of(original: Column, corrected: Column) -> Column:
+    """What a correction does: fill an empty value, clear one, or fix it; null counts as empty."""
+    return F.when(F.coalesce(original, F.lit("")) == "", "fill").when(F.coalesce(corrected, F.lit("")) == "", "clear").otherwise("fix")
+
+
+def registry(rows: DataFrame, organisations: DataFrame) -> DataFrame:
+    """``rows`` (inn, ...) with what ``organisations`` (inn, ...) has of valid tax numbers; nulls for others."""
+    known = organisations.where(V.is_inn(F.col("inn"))).dropDuplicates(["inn"])
+    return rows.join(_side(known), "inn", "left").select(*rows.columns, *[c for c in organisations.columns if c != "inn"])
+
+
+def fill_from_engine(pages: DataFrame, engine: DataFrame) -> DataFrame:
+    """Pages (doc, page, text, conf) whose empty text or missing confidence comes from the engine's page of that number."""
+    e = engine.select("doc", "page", F.col("text").alias("__text"), F.col("conf").alias("__conf"))
+    joined = pages.join(e, ["doc", "page"], "left")
+    return joined.select("doc", "page", F.coalesce(F.nullif(F.col("text"), F.lit("")), "__text").alias("text"), F.coalesce("conf", "__conf").alias("conf"))
+
+
+def ordered_distinct(df: DataFrame, key: str, pos: str) -> DataFrame:
+    """Each key once, at its first place."""
+    return df.groupBy(key).agg(F.min(pos).alias(pos))
+
+
+def only_known(candidates: Column, known: Column) -> Column:
+    """The one candidate that is known; null if none or several are."""
+    both = F.array_intersect(candidates, known)
+    return F.when(F.size(both) == 1, F.get(both, F.lit(0)))
+
+
+def recent(uses: DataFrame, owner: str, value: str, order: str, most: int = 10) -> DataFrame:
+    """(owner, recent): each owner's distinct values, the last used first, at most ``most``."""
+    last = uses.groupBy(owner, value).agg(F.max(order).alias("__last"))
+    top = last.withColumn("__k", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("__last")))).where(F.col("__k") <= most)
+    return top.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("__k", value)))[value].alias("recent"))
+
+
+def first_pages(pages: DataFrame, most: int | None) -> DataFrame:
+    """Pages up to number ``most``; all without one."""
+    return pages if most is None else pages.where(F.col("page") <= most)
+
+
+def own_date(day: Column) -> Column:
+    """A date, but null for those printed on the form itself."""
+    return F.when(~day.isin(*sorted(FORM_DATES)), day)
 
 
 def evict(entries: DataFrame, max_bytes: int) -> DataFrame:

@@ -118,3 +118,18 @@ def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     past = asked.join(skips, "path").where(F.col("from_k") <= F.col("k")).groupBy("id").agg(F.count(F.lit(1)).alias("past"))
     n = F.col("k") + F.coalesce("past", F.lit(0))
     return asked.join(past, "id", "left").select("id", "path", F.when(n == 0, F.col("path")).otherwise(F.concat("root", F.lit(" ("), n.cast("string"), F.lit(")"), "ending")).alias("name"))
+
+
+def average_confidence(pages: DataFrame) -> DataFrame:
+    """(job, mean_conf): the mean of a job's page confidences over 0, or 0."""
+    return pages.groupBy("job").agg(F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0)).alias("mean_conf"))
+
+
+def cache_key(content: Column, profile: Column, version: str) -> Column:
+    """Names a result by what it came of: 16 digits of the content's digest, 16 of the profile's, the version."""
+    return F.concat_ws("--", F.left(F.sha2(content, 256), F.lit(16)), F.left(F.sha2(profile, 256), F.lit(16)), F.lit(version))
+
+
+def signature(path: Column, size: Column, changed: Column, version: str) -> Column:
+    """Names a file by its path, size and time of change in whole seconds."""
+    return F.sha1(F.concat_ws("|", path, size.cast("string"), F.unix_seconds(changed.cast("timestamp")).cast("string"), F.lit(version)))

@@ -96,3 +96,8 @@ def report(words: DataFrame, threshold: float) -> DataFrame:
     """Kept and dropped words of each page, and of all under a null page."""
     kept = F.count_if(F.col("conf") >= threshold)
     return real(words).rollup("page").agg(F.count(F.lit(1)).alias("n_words"), kept.alias("n_kept"), F.avg("conf").alias("mean_conf"))
+
+
+def swapped_confidence(conf: Column, swapped: Column, floor: float = 80.0) -> Column:
+    """A word whose script was swapped is at least ``floor`` sure."""
+    return F.when(swapped, F.greatest(conf, F.lit(floor))).otherwise(conf)

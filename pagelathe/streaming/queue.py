@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def latest(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -21,11 +25,31 @@ def recover(states: DataFrame) -> DataFrame:
     return states.where("status <> 'completed'").withColumn("status", F.lit("pending"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over what is there now; its result as a table of the session."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors share: in the session's checkpoint folder, or, where it names none and is local, our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame, key: str, mode: str = "update") -> DataFrame:
+    """Run a streaming query over what is there now; its result, the last row of each ``key``.
+
+    Each micro-batch writes its rows as files of its own, again if it runs again; nothing comes to the driver.
+    """
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rest = F.struct("batch", *[c for c in stream.columns if c != key])
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/rows")
+    last = rows.groupBy(key).agg(F.max(rest).alias("m"))
+    return last.select(*[F.col(key) if c == key else F.col(f"m.{c}").alias(c) for c in stream.columns])
 
 
 def progress(events: DataFrame) -> DataFrame:
