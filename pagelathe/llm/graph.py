@@ -9,13 +9,41 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder that the session names; one of our own only where it names none."""
+    """``df.checkpoint()`` in the folder that the session names.
+
+    Where it names none, a local session gets a folder of its own; on a cluster, whose executors could
+    not read that, it is an error.
+    """
     spark: SparkSession = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``col``, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: A key is hot if over one in so many rows has it; fewer than so many can be.
+HOT = 1000
+
+
+def by_count(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (key, n, ...), one a key, ``n`` the number of rows that have it.
+
+    Rows of hot keys meet a broadcast of fewer than HOT facts and stay where they are; only the
+    others' rows move, so no key is one task's burden.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col("n") * HOT > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("n") * HOT <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node reachable over ``edges`` (a, b), undirected.
 
