@@ -27,7 +27,7 @@ _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = LETTER
 _CLASS[0x20] = SPACE
 _CLASS[0x09:0x0E] = BLANK
 _CLASS[0xC3:0xC6] = _CLASS[0x80:0xC0] = LETTER
-_SLOTS, _MOST_PIECES, _MOST_IDS = 1 << 21, 3_000_000, 16_000_000
+_SLOTS, _MOST_PIECES, _MOST_IDS = 1 << 20, 1_500_000, 8_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

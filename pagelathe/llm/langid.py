@@ -16,15 +16,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pagelathe.llm import _text as T
+from pagelathe.llm.graph import quoted
 from pagelathe.shipping import in_arrow
 
 BUCKETS = 1 << 16
+#: Texts of so many bytes are scored at once, at some 80 bytes of arrays a byte.
+BLOCK_BYTES = 1 << 18
 ORDERS = 3
 #: At most about so many documents of each language are learned from.
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 64
 UNDETERMINED = "und"
 
 
@@ -74,7 +78,8 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    weights: np.ndarray  # (BUCKETS + 1, languages) float32; the last row is zero
+    weights: np.ndarray  # (BUCKETS + 1, languages) float32: log probabilities; the last row is zero
+    prior: np.ndarray  # (languages) log share of the learned rows
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: index of the language, its share of a tempered posterior, number of letters."""
@@ -85,7 +90,7 @@ class Model:
             per = np.zeros((len(b), len(self.languages)), np.float32)
             for k in range(ORDERS):
                 per += self.weights[b[:, k]]
-            total[some] = np.add.reduceat(per, start[:-1][some], axis=0, dtype=np.float64)
+            total[some] = np.add.reduceat(per, start[:-1][some], axis=0, dtype=np.float64) + self.prior
         # grams of a text are not independent: log odds are divided by the root of their number
         odds = (total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(letters, 1))[:, None]
         p = np.exp(odds)
@@ -100,7 +105,7 @@ def _count_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.asarray(langs.indices)
         names = langs.dictionary.to_pylist()
         sums = np.zeros((len(names), BUCKETS + 1), np.int64)
-        for i, j, buf, off in T.text_blocks(batch.column(1)):
+        for i, j, buf, off in T.text_blocks(batch.column(1), BLOCK_BYTES):
             b, start, _ = _grams(buf, off)
             of = np.repeat(code[i:j], np.diff(start))
             for k in range(len(names)):
@@ -114,14 +119,15 @@ def _count_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.5) -> Model:
     """Learn from rows (doc_id, text, lang) with text and lang, at most about ``per_language`` of each language.
 
-    Rows are drawn by a hash of doc_id. No labelled row: a model of no language.
+    Rows are drawn by a hash of doc_id; priors are the languages' shares of all rows. No labelled row: a model
+    of no language. At most MAX_LANGUAGES x BUCKETS counts come to the driver.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not sizes:
-        return Model((), np.zeros((BUCKETS + 1, 0), np.float32))
+        return Model((), np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     shares = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1 << 20, -(-per_language * (1 << 20) // n)))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < shares[F.col("lang")]).select("lang", "text")
     counts = in_arrow(drawn, _count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -134,22 +140,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.
     table = np.log((table + smoothing) / (table.sum(axis=0) + smoothing * seen.sum()))
     # a bucket that no language has says nothing
     table[~seen] = 0
-    return Model(languages, np.vstack((table, np.zeros((1, len(languages))))).astype(np.float32))
+    prior = np.array([sizes[x] for x in languages], float)
+    return Model(languages, np.vstack((table, np.zeros((1, len(languages))))).astype(np.float32), np.log(prior / prior.sum()))
 
 
-def _predict_rows(model, outputs: tuple[str, str]):
+def _predict_rows(model, names: list[str], text: int, kept: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         known = np.array([*m.languages, UNDETERMINED], object)
         for batch in it:
-            for i, j, buf, off in T.text_blocks(batch.column(batch.num_columns - 1)):
+            for i, j, buf, off in T.text_blocks(batch.column(text), BLOCK_BYTES):
                 if m.languages:
                     best, score, letters = m.score(buf, off)
                     best, score = np.where(letters > 0, best, len(m.languages)), np.where(letters > 0, score, 0.0)
                 else:
                     best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
-                rest = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(known[best].tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], *outputs])
+                rest = [batch.column(k).slice(i, j - i) for k in range(kept)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(known[best].tolist(), pa.string()), pa.array(score)], names=names)
 
     return run
 
@@ -158,11 +165,17 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """``keep`` columns of each row, lang_pred and score (0 to 1), under ``names``.
 
     Reads ``text`` alone. Null text, or text without a letter: ``und`` and score 0. Null ids and
-    repeated rows are kept; without a learned language all rows are ``und``.
+    repeated rows are kept; without a learned language all rows are ``und``. Kept columns may have any
+    names but those of the two results.
     """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return in_arrow(rows, _predict_rows(docs.sparkSession.sparkContext.broadcast(model), names), f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    columns = [F.col(quoted(k)) for k in keep]
+    if "text" in keep and docs.schema["text"].dataType == StringType():
+        rows, text = docs.select(*columns), keep.index("text")
+    else:
+        rows, text = docs.select(*columns, F.col("text").cast("string")), len(keep)
+    fields = [*rows.schema.fields[: len(keep)], StructField(names[0], StringType()), StructField(names[1], DoubleType())]
+    run = _predict_rows(docs.sparkSession.sparkContext.broadcast(model), [x.name for x in fields], text, len(keep))
+    return in_arrow(rows, run, StructType(fields))
 
 
 def held_out() -> Column:
