@@ -1,17 +1,19 @@
 """Harmonic packing of token sequences.
 
-A document's ids, closed by one separator id, are cut to whole sequences of
-``capacity`` and a rest; of the rest, pieces of capacity/2, /4 and /8 leave as its
-bits say, and what is left is shorter than capacity/8. A piece of length q belongs
-to class k = capacity // q, and a bin of class k takes exactly k pieces, so a
-worker fills bins without knowing of any other. At the end of a task the open bins
-(under k pieces of each class) are cut to whole sequences and, last, to sequences
-of powers of two, which need no padding. No shuffle.
+A document's ids, closed by one separator id, are its length q. A document of up to ``capacity`` ids
+belongs to class k = capacity // q, and a bin of class k takes exactly k documents of that class, whole; a
+worker fills bins without knowing of any other. A bin of k documents is at least k / (k + 1) full. Documents
+longer than a bin have to be cut anyway, so they are what fills the rest: a worker keeps the ids
+of long documents in a reservoir, gives each filled bin the ids that it lacks, and what the
+reservoir holds beyond its bound leaves as whole sequences. Bins that wait for ids are bounded,
+too: beyond, and at a task's end, their documents and those of open bins are laid end to end and cut to
+whole sequences, the last to powers of two, which need no padding. No shuffle.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,100 +30,132 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+#: Ids that a worker's reservoir holds, and bins that wait for ids, at most (4 bytes an id).
+RESERVOIR, WAITING = 1 << 20, 1 << 10
+
+
+class _Piece:
+    """Ids of one document: doc, whether its id is null, start, ids, doc_tokens."""
+
+    __slots__ = ("doc", "none", "start", "ids", "total")
+
+    def __init__(self, doc, none, start, ids, total):
+        self.doc, self.none, self.start, self.ids, self.total = doc, none, start, ids, total
+
+    def split(self, n: int) -> _Piece:
+        """The first ``n`` ids; the rest stays."""
+        head = _Piece(self.doc, self.none, self.start, self.ids[:n], self.total)
+        self.start, self.ids = self.start + n, self.ids[n:]
+        return head
+
+
 class _Bins:
     def __init__(self, capacity: int, task: int):
         self.capacity, self.next = capacity, task << 40
-        # by class: pieces as (doc, is null, start, length, doc_tokens, ids)
-        self.open: dict[int, list[tuple]] = {}
-
-    def sequences(self, n: int) -> np.ndarray:
-        self.next += n
-        return np.arange(self.next - n, self.next)
-
-    def cut(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, start and length of each piece, for texts of n ids."""
-        c = self.capacity
-        full, rest = n // c, n % c
-        of = [np.repeat(np.arange(len(n)), full)]
-        start = [T.ranges(np.zeros(len(n), np.int64), full) * c]
-        size = [np.full(int(full.sum()), c)]
-        at = full * c
-        for part in (c // 2, c // 4, c // 8):
-            has = np.flatnonzero(rest & part) if part else np.zeros(0, np.int64)
-            of.append(has)
-            start.append(at[has])
-            size.append(np.full(len(has), part))
-            at[has] += part
-            rest = rest & ~part
-        has = np.flatnonzero(rest)
-        return np.concatenate([*of, has]), np.concatenate([*start, at[has]]), np.concatenate([*size, rest[has]])
-
-    def add(self, doc: np.ndarray, none: np.ndarray, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-        n = np.diff(first)
-        of, start, size = self.cut(n)
-        kind = self.capacity // size
-        order = np.argsort(kind, kind="stable")
-        of, start, size, kind = of[order], start[order], size[order], kind[order]
-        view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-        begin = (first[of] + start) * 4
-        spans = zip(begin.tolist(), (begin + size * 4).tolist(), strict=True)
-        crc = np.array([zlib.crc32(view[a:b]) for a, b in spans], np.int64)
-        for k in np.unique(kind).tolist():
-            a, b = np.searchsorted(kind, [k, k + 1])
-            cols = [doc[of[a:b]], none[of[a:b]], start[a:b], size[a:b], crc[a:b], n[of[a:b]]]
-            held = self.open.pop(k, [])
-            if held:
-                cols = [np.concatenate(([h[i] for h in held], c)) for i, c in enumerate(cols)]
-            m = len(cols[0]) // k * k
-            for i in range(m, len(cols[0])):
-                if i < len(held):
-                    keep = held[i]
+        self.open: dict[int, list[_Piece]] = {}
+        self.waiting: deque[tuple[list[_Piece], int]] = deque()
+        self.reservoir: deque[_Piece] = deque()
+        self.held = 0
+        self.rows: list[tuple] = []
+
+    def emit(self, pieces: list[_Piece]) -> None:
+        at = 0
+        for p in pieces:
+            n = len(p.ids)
+            self.rows.append((p.doc, p.none, p.start, n, zlib.crc32(p.ids), p.total, self.next, at))
+            at += n
+        self.next += 1
+
+    def draw(self, n: int) -> list[_Piece]:
+        """``n`` ids of the reservoir."""
+        self.held -= n
+        out = []
+        while n:
+            first = self.reservoir[0]
+            if len(first.ids) <= n:
+                self.reservoir.popleft()
+                n -= len(first.ids)
+                out.append(first)
+            else:
+                out.append(first.split(n))
+                n = 0
+        return out
+
+    def add(self, p: _Piece) -> None:
+        q = len(p.ids)
+        if q > self.capacity:
+            self.reservoir.append(p)
+            self.held += q
+        else:
+            k = self.capacity // q
+            group = self.open.setdefault(k, [])
+            group.append(p)
+            if len(group) == k:
+                del self.open[k]
+                lacks = self.capacity - sum(len(x.ids) for x in group)
+                if lacks:
+                    self.waiting.append((group, lacks))
                 else:
-                    j = a + i - len(held)
-                    keep = (*(c[i] for c in cols), ids[first[of[j]] + start[j] : first[of[j]] + start[j] + size[j]].copy())
-                self.open.setdefault(k, []).append(keep)
-            if m:
-                s = cols[3][:m].reshape(-1, k)
-                yield *(c[:m] for c in cols), np.repeat(self.sequences(m // k), k), (np.cumsum(s, axis=1) - s).ravel()
-
-    def close(self) -> Iterator[tuple]:
-        """Cut what the open bins hold into whole sequences and at last into powers of two."""
-        held = [p for k in sorted(self.open) for p in self.open[k]]
-        total = sum(int(p[3]) for p in held)
-        bounds = [self.capacity] * (total // self.capacity)
+                    self.emit(group)
+        while self.waiting and self.held >= self.waiting[0][1]:
+            group, lacks = self.waiting.popleft()
+            self.emit(group + self.draw(lacks))
+        while self.held > RESERVOIR:
+            self.emit(self.draw(self.capacity))
+        if len(self.waiting) > WAITING:
+            self.flow([x for group, _ in self.waiting for x in group], whole=True)
+            self.waiting.clear()
+
+    def flow(self, pieces: list[_Piece], whole: bool) -> None:
+        """Pieces end to end, cut to whole sequences; what is left to powers of two, or (``whole``) to the reservoir."""
+        todo, total = deque(pieces), sum(len(x.ids) for x in pieces)
+        sizes = [self.capacity] * (total // self.capacity)
         rest = total % self.capacity
-        bounds += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        rows, room, used, seq, left = [], 0, 0, -1, iter(bounds)
-        for doc, none, start, size, _, n, ids in held:
-            at = 0
-            while at < size:
-                if not room:
-                    room, used, seq = next(left), 0, int(self.sequences(1)[0])
-                m = min(room, int(size) - at)
-                rows.append((doc, none, start + at, m, zlib.crc32(ids[at : at + m].astype("<u4").tobytes()), n, seq, used))
-                at, room, used = at + m, room - m, used + m
+        if not whole:
+            sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        self.reservoir, kept = todo, self.reservoir
+        held, self.held = self.held, total
+        for n in sizes:
+            self.emit(self.draw(n))
+        self.reservoir, self.held = kept + todo, held + self.held
+
+    def taken(self) -> tuple | None:
+        rows, self.rows = self.rows, []
+        return tuple(np.array(c) for c in zip(*rows, strict=True)) if rows else None
+
+    def close(self) -> None:
+        """What is left: the reservoir first fills what it can, then everything flows."""
+        left = [x for group, _ in self.waiting for x in group] + [x for k in sorted(self.open) for x in self.open[k]]
+        rest, self.reservoir, self.held = list(self.reservoir), deque(), 0
+        self.waiting.clear()
         self.open = {}
-        if rows:
-            yield tuple(np.array(c) for c in zip(*rows, strict=True))
+        self.flow(left + rest, whole=False)
 
 
 def _pack_rows(path: str, capacity: int, separator: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, bins = _tokens.encoder(path), _Bins(capacity, TaskContext.get().partitionId())
 
-        def rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            for doc, none, *rest in found:
+        def rows() -> Iterator[pa.RecordBatch]:
+            found = bins.taken()
+            if found:
+                doc, none, *rest = found
                 cols = [pa.array(doc.astype(np.int64), mask=none.astype(bool)), *(pa.array(np.asarray(c, np.int64)) for c in rest)]
                 yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
         for batch in it:
-            ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
-            none = np.asarray(batch.column(0).is_null())
-            for i, j, buf, off in T.text_blocks(batch.column(1)):
+            ids = batch.column(0).fill_null(0).to_pylist()
+            none = batch.column(0).is_null().to_pylist()
+            for i, _, buf, off in T.text_blocks(batch.column(1)):
                 tokens, first = encode(buf, off)
-                closed = np.insert(tokens, first[1:], separator)
-                yield from rows(bins.add(ids[i:j], none[i:j], closed, first + np.arange(len(first))))
-        yield from rows(bins.close())
+                closed = np.insert(tokens, first[1:], separator).astype("<u4")
+                cuts = (first + np.arange(len(first))).tolist()
+                for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    # a copy, as what waits would keep the whole block
+                    bins.add(_Piece(ids[i + n], none[i + n], 0, closed[a:b].copy(), b - a))
+                yield from rows()
+        bins.close()
+        yield from rows()
 
     return run
 

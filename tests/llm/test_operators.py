@@ -135,46 +135,114 @@ def test_tokens_equal_the_tokenizer():
         assert ids[first[i] : first[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_token_counts(docs, empty):
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(docs, empty, rule):
     tok = _tokens.encoder(_tokens.vocabulary_path()).tokenizer
-    got = Counter()
-    for r in token_counts.token_counts(docs).collect():
-        got[r.doc_id, r.doc_tokens] += r.n_tokens
+    enc = _tokens.encoder(_tokens.vocabulary_path())
     want = Counter()
     for d, t in corpus():
-        n = len(tok.encode(t or "", add_special_tokens=False).ids)
-        want[d, n] += n
-    assert got == want
+        t = t or ""
+        ids = tok.encode(t, add_special_tokens=False).ids
+        lines = t.splitlines(keepends=True) if not re.search(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", t) else re.findall(r"[^\n]*\n|[^\n]+", t)
+        lines = lines or [""]
+        home = [k for k, x in enumerate(lines) for _ in x.encode()]  # each byte's line
+        counts, crossing, at = Counter(), Counter(), 0
+        for n in enc.lengths[ids].tolist():
+            span = home[at : at + n]
+            at += n
+            most = max(sorted(set(span)), key=lambda k: (span.count(k), -k))
+            k = {"first": span[0], "last": span[-1], "most": most}[rule]
+            counts[k] += 1
+            crossing[k] += span[0] != span[-1]
+        start = 0
+        for k, x in enumerate(lines):
+            want[d, k, start, start + len(x), counts[k], crossing[k], len(ids)] += 1
+            start += len(x)
+    assert Counter(map(tuple, token_counts.token_counts(docs, rule).collect())) == want
     assert token_counts.token_counts(empty).count() == 0
     spans, cuts = (np.array([0, 3, 6]), np.array([3, 6, 9])), np.array([0, 4, 5])
     assert [token_counts.attribute(*spans, cuts, k)[0].tolist() for k in token_counts.RULES] == [[0, 0, 2], [0, 2, 2], [0, 0, 2]]
 
 
-@pytest.mark.parametrize("capacity", [16, 1024])
-def test_packing(docs, empty, capacity):
-    tok = _tokens.encoder(_tokens.vocabulary_path()).tokenizer
-    want = [(d, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for d, t in corpus()]
-    rows = packing.pack(docs, capacity).collect()
-    seqs = defaultdict(list)
+def whole(rows, want, capacity):
+    """Pieces cover each document's ids once, sequences are gapless; returns padding and the documents that are cut."""
+    seqs, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         seqs[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id, r.doc_tokens].append((r.start, r.length, r.ids_crc32))
     waste = 0
     for v in seqs.values():
         at = 0
         for off, n in sorted(v):
-            assert off == at
+            assert off == at and n > 0
             at += n
         assert at <= capacity
         waste += 0 if at & (at - 1) == 0 else capacity - at
-    assert waste <= 0.1 * sum(len(x) for _, x in want)
-    pieces = Counter((r.doc_id, r.doc_tokens, r.start, r.ids_crc32) for r in rows)
-    assert sum(r.length for r in rows) == sum(len(x) for _, x in want)
-    for r in rows:
-        assert any(d == r.doc_id and len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for d, x in want)
-    assert pieces
+    # rows of one id and length: their pieces, laid end to end from 0, spell one of the texts each
+    todo = Counter((d, len(x), x.tobytes()) for d, x in want)
+    cut = 0
+    for (d, total), got in pieces.items():
+        texts = [(x, n) for (i, m, x), n in todo.items() if i == d and m == total]
+        spans = Counter(got)
+        for x, n in texts:
+            for _ in range(n):
+                at = parts = 0
+                while at < total:
+                    fit = next(p for p in sorted(spans) if p[0] == at and spans[p] and zlib.crc32(x[4 * at : 4 * (at + p[1])]) == p[2])
+                    spans[fit] -= 1
+                    at, parts = at + fit[1], parts + 1
+                cut += parts > 1 and total <= capacity
+        assert not +spans
+    assert sum(n for _, n, _ in (k for v in pieces.values() for k in v)) == sum(len(x) for _, x in want)
+    return waste, cut
+
+
+@pytest.mark.parametrize("capacity", [16, 1024])
+def test_packing(docs, empty, capacity):
+    tok = _tokens.encoder(_tokens.vocabulary_path()).tokenizer
+    want = [(d, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for d, t in corpus()]
+    waste, _ = whole(packing.pack(docs, capacity).collect(), want, capacity)
+    assert waste == 0
     assert packing.pack(empty).count() == 0
 
 
+def test_bins_of_a_class(monkeypatch):
+    """With long documents about, short ones stay whole, k of class k to a bin; without, nothing is padded either."""
+    r = np.random.default_rng(3)
+
+    def packed(sizes):
+        bins = packing._Bins(64, 0)
+        ids = [r.integers(0, 9, n).astype("<u4") for n in sizes]
+        for i, x in enumerate(ids):
+            bins.add(packing._Piece(i, False, 0, x, len(x)))
+        bins.close()
+        rows = [packing_row(*x) for x in zip(*(c.tolist() for c in bins.taken()), strict=True)]
+        assert len(bins.reservoir) == 0 and bins.held == 0
+        return rows, list(enumerate(ids))
+
+    sizes = [int(n) for n in r.integers(1, 65, 900)] + [int(n) for n in r.integers(65, 900, 150)]
+    r.shuffle(sizes)
+    rows, want = packed(sizes)
+    waste, cut = whole(rows, want, 64)
+    assert waste == 0 and cut <= 45
+    by_seq = defaultdict(list)
+    for x in rows:
+        by_seq[x.sequence_id].append(x)
+    pure = [{64 // x.doc_tokens for x in v if x.doc_tokens <= 64} for v in by_seq.values()]
+    assert sum(len(k) <= 1 for k in pure) >= 0.95 * len(pure)
+    monkeypatch.setattr(packing, "WAITING", 3)
+    monkeypatch.setattr(packing, "RESERVOIR", 100)
+    for sizes in ([33] * 200, [1] * 1000, [64, 64], [65], [700] * 20, []):
+        if sizes:
+            assert whole(*packed(sizes), 64)[0] == 0
+
+
+def packing_row(doc, none, start, length, crc, total, seq, offset):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(doc_id=None if none else doc, start=start, length=length, ids_crc32=crc, doc_tokens=total, sequence_id=seq, offset=offset)
+
+
 def test_url_filters(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("com", "/", "allow"), (None, "/", "block")]
     urls = ["http://example.com/en/x?q", "https://WWW.Example.com/en/", "http://a.b.net/es/1", "http://anet/es/1", "http://x.com", "http://x.com/a#b", None, "", "no scheme", "http://x.com?a://b.net/es/", "http://example.com/english", "a://b://c.net/es/"]
@@ -404,13 +472,13 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, broadcast):
                 edited += a != b
                 up[find(i)] = find(j)
     low = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            low[find(i)] = min(d, low.get(find(i), d))
-    want = Counter((d, t) for d, t in rows if d is None or d in low.values())
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert Counter(tuple(r) for r in p.near_duplicate_stage(spark, docs, "").collect()) == want
-    assert edited > 20 and p.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+    for i, (d, t) in enumerate(rows):
+        low[find(i)] = min((d is None, d or 0, t), low.get(find(i), (d is None, d or 0, t)), key=lambda x: x[:2])
+    want = Counter((None if none else d, t) for none, d, t in low.values())
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, id long, m long, mark0 int, `a.b` int").repartition(3)
+    out = p.stages.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns and Counter(tuple(r)[:2] for r in out.collect()) == want
+    assert edited > 20 and p.stages.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_pipeline(spark, tmp_path):
@@ -431,5 +499,5 @@ def test_pipeline(spark, tmp_path):
     assert 50 in kept["near_dedup"] and 51 not in kept["near_dedup"] and {39, 42} & set(kept["near_dedup"]) == {39}
     assert 39 not in kept["decontamination"] and 40 in kept["decontamination"]
     assert len(kept["pii"]) == len(kept["decontamination"])
-    assert {r.doc_id for r in p.packing_stage(spark, docs, str(tmp_path)).collect()} == set(kept["pii"])
+    assert {r.doc_id for r in p.stages.packing_stage(spark, docs, str(tmp_path)).collect()} == set(kept["pii"])
     assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == set(kept["pii"])
