@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelathe.functions import text as T
+
 
 def better_script(word: Column, conf: Column, rus: Column, rus_conf: Column, eng: Column, eng_conf: Column, lead: float = 5) -> Column:
     """The Russian or English reading that leads the other by ``lead``; one alone must lead the word itself so."""
@@ -80,3 +82,55 @@ def percent(scalar: Column, parts: Column) -> Column:
     """A confidence as 0 to 100: the scalar, else the mean of the parts."""
     mean = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)
     return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.coalesce(scalar, F.when(F.size(parts) > 0, mean), F.lit(0.0)) * 100).cast("int")))
+
+
+def low_rows(rows: DataFrame, below: float = 0.4) -> DataFrame:
+    """Parsed rows that a model should look at again."""
+    return rows.where(F.col("overall") < below)
+
+
+def documents_have_text(pages: DataFrame) -> DataFrame:
+    """(doc, has_text): whether any page of (doc, page, text) is not blank."""
+    return pages.groupBy("doc").agg(F.bool_or(F.trim(F.coalesce("text", F.lit(""))) != "").alias("has_text"))
+
+
+def page_workers(pages: Column, cpus: Column, memory_mb: Column, most: int = 10, each_mb: int = 500) -> Column:
+    """Pages read at once: as many as there are pages, cores and memory for, one at least. Unknown memory sets no bound."""
+    by_memory = F.greatest(F.lit(1), F.floor(memory_mb / each_mb).cast("int"))
+    return F.greatest(F.lit(1), F.least(F.greatest(pages, F.lit(1)), cpus, F.lit(most), F.coalesce(by_memory, F.lit(most))))
+
+
+def narrowed_languages(languages: Column, detected: Column) -> Column:
+    """The detected language alone if it is one of several, else the languages as they are."""
+    return F.when(detected.isNotNull() & (F.size(languages) > 1) & F.array_contains(languages, detected), F.array(detected)).otherwise(languages)
+
+
+def config_lines(params: Column) -> Column:
+    """A recogniser's parameters as lines ``key value``; keys that are no names and values of several lines are left out, null if none is left."""
+    fit = F.map_filter(params, lambda k, v: k.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & ~v.rlike(r"[\n\r\x{00}]"))
+    lines = F.transform(F.map_entries(fit), lambda e: F.concat(e["key"], F.lit(" "), e["value"]))
+    return F.when(F.size(fit) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n")))
+
+
+def engine_options(config: DataFrame) -> DataFrame:
+    """A recogniser's options from settings (input, output, languages, oem, psm, optimize, skip_text, timeout, whitelist, blacklist, params)."""
+    return config.select("input", "output", F.array_join("languages", "+").alias("language"), *[F.col(c).cast("int").alias(c) for c in ("oem", "psm", "optimize")], "skip_text", F.col("timeout").cast("double").alias("timeout"), "whitelist", "blacklist", config_lines(F.col("params")).alias("config"))
+
+
+def crop_config(config: Column, mode: int = 6) -> Column:
+    """A recogniser's options with the segmentation mode of one block."""
+    plain = F.trim(F.regexp_replace(config, r"\s*--psm\s+\d+", ""))
+    return F.trim(F.concat(plain, F.lit(f" --psm {mode}")))
+
+
+def bypassed(pages: DataFrame) -> DataFrame:
+    """Pages (doc, page, text) of documents whose every page has a substantial text layer: kept as they are, at confidence 100."""
+    whole = pages.groupBy("doc").agg(F.bool_and(T.is_substantial_page(F.coalesce("text", F.lit("")))).alias("whole")).where("whole").select("doc")
+    return pages.join(whole, "doc", "left_semi").select("doc", "page", "text", F.lit(100.0).alias("mean_conf"))
+
+
+def cached_pages(jobs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pages of jobs (job, key) as entries (key, pages array) hold them, what they lack by default; jobs without an entry have none."""
+    held = jobs.join(entries, "key").select("job", F.posexplode("pages").alias("place", "p"))
+    zero = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(c)
+    return held.select("job", F.coalesce("p.page", F.col("place") + 1).alias("page"), F.coalesce("p.text", F.lit("")).alias("text"), zero("mean_conf"), zero("seconds"), zero("skew"), F.col("p.error").alias("error"))

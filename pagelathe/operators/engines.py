@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagelathe.shipping import in_pandas
 
@@ -103,3 +104,21 @@ def fill(rows: DataFrame, text: str, key: str, fields: list[str], missing: tuple
             yield f
 
     return in_pandas(rows, batch, rows.schema)
+
+
+#: Settings of the three further tries at a page that the first cannot read, in order.
+TIERS = (
+    {"input": "raw", "steps": ("sauvola", "clahe_3", "background", "denoise"), "psm": 6},
+    {"input": "raster", "dpi": 200, "gray": True, "psm": 6, "optimize": 0},
+    {"input": "raster", "dpi": 150, "gray": True, "psm": 11, "optimize": 0},
+)
+
+
+def recognise_documents(pages: DataFrame, engine: Engine, first: dict) -> DataFrame:
+    """``recognise`` with ``first`` and then TIERS, and in ``failed`` whether no page of the document could be read.
+
+    A page that fails keeps its error beside the others; only a document without any page read has failed.
+    """
+    read = recognise(pages, engine, [first, *TIERS])
+    all_failed = read.groupBy("path").agg(F.bool_and(F.col("error").isNotNull()).alias("failed"))
+    return read.join(all_failed, "path")

@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelathe.functions import text as T
+from pagelathe.operators import decisions as D
+from pagelathe.operators import lookups as L
+
 
 def real(words: DataFrame) -> DataFrame:
     return words.where("conf >= 0 and word is not null and trim(word) <> ''")
@@ -101,3 +105,88 @@ def report(words: DataFrame, threshold: float) -> DataFrame:
 def swapped_confidence(conf: Column, swapped: Column, floor: float = 80.0) -> Column:
     """A word whose script was swapped is at least ``floor`` sure."""
     return F.when(swapped, F.greatest(conf, F.lit(floor))).otherwise(conf)
+
+
+def block_confidence(words: DataFrame) -> DataFrame:
+    """(page, block, mean_conf, n_words) over real words."""
+    return real(words).groupBy("page", "block").agg(F.avg("conf").alias("mean_conf"), F.count(F.lit(1)).alias("n_words"))
+
+
+def rescored(words: DataFrame, threshold: float) -> DataFrame:
+    """Per page all and kept words, and the mean confidence of each; 0 where none is kept."""
+    kept = F.col("conf") >= threshold
+    means = [F.avg("conf").alias("mean_all"), F.coalesce(F.avg(F.when(kept, F.col("conf"))), F.lit(0.0)).alias("mean_kept")]
+    return real(words).groupBy("page").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(kept).alias("n_kept"), *means)
+
+
+def image_rescuable(word: Column, conf: Column, low: float = 30, high: float = 70) -> Column:
+    """Worth reading again from its image: of middling confidence, two signs long, with a letter or digit."""
+    return conf.between(low, high) & (F.length(word) >= 2) & word.rlike(r"[\p{L}\p{N}]")
+
+
+def upscale_rescue(words: DataFrame, again: DataFrame, below: float = 80, lift: float = 10) -> DataFrame:
+    """Words under ``below`` that a reading of the enlarged image (page, word_num, new, new_conf) betters by ``lift``."""
+    w = words.join(again.select("page", "word_num", "new", "new_conf"), ["page", "word_num"], "left")
+    better = D.accept_lift(F.col("word"), F.col("conf"), F.col("new"), F.col("new_conf"), lift)
+    return _with(w, words.columns, F.when(F.col("conf") < below, better).otherwise(F.struct("word", "conf")))
+
+
+def _with(joined: DataFrame, columns: list[str], chosen: Column) -> DataFrame:
+    """``columns`` of ``joined`` with word and conf from the struct ``chosen``."""
+    out = joined.withColumn("__c", chosen)
+    return out.select(*[F.col(f"__c.{c}").alias(c) if c in ("word", "conf") else F.col(c) for c in columns])
+
+
+def contains(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Rows of ``words`` whose word an entry of (entry) equals, letters of either case."""
+    return words.join(dictionary.select(F.lower("entry").alias("__e")).distinct(), F.lower("word") == F.col("__e"), "left_semi")
+
+
+def dictionary_rescue(words: DataFrame, dictionary: DataFrame, floor: float = 85) -> DataFrame:
+    """Rescuable words by (entry, pos): members stay, others become their nearest entry; both are ``floor`` sure at least."""
+    band = T.is_rescuable(F.col("word"), F.col("conf"))
+    tokens = words.where(band).select("word").distinct()
+    members = contains(tokens, dictionary).select("word", F.col("word").alias("match"))
+    fixed = L.closest_word(tokens.join(members, "word", "left_anti"), dictionary).select("word", "match")
+    found = members.unionByName(fixed)
+    chosen = F.when(band & F.col("match").isNotNull(), F.struct(F.col("match").alias("word"), F.greatest("conf", F.lit(float(floor))).alias("conf"))).otherwise(F.struct("word", "conf"))
+    return _with(words.join(found, "word", "left"), words.columns, chosen)
+
+
+def overlay(words: DataFrame, threshold: float) -> DataFrame:
+    """Boxes of words at or over ``threshold`` with their colour, from red at 0 to green at 100."""
+    f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") / 100))
+    colour = [F.floor(a * (1 - f) + b * f).cast("int").alias(n) for n, a, b in (("red", 239, 34), ("green", 68, 197), ("blue", 68, 94))]
+    return words.where(F.col("conf") >= threshold).select("page", "word_num", "left", "top", "width", "height", *colour)
+
+
+def chain(words: DataFrame, scripts: DataFrame | None = None, sharpened: DataFrame | None = None, enlarged: DataFrame | None = None, blocks: DataFrame | None = None, dictionary: DataFrame | None = None, base: float = 60, adaptive: bool = True) -> dict[str, DataFrame]:
+    """The word table of recognised pages through all its repairs, each if its second reading is given.
+
+    ``scripts`` (page, word_num, rus, rus_conf, eng, eng_conf), ``sharpened`` and ``enlarged`` (page, word_num, new,
+    new_conf), ``blocks`` (page, block, word_num, word, conf), ``dictionary`` (entry, pos). Gives ``words``, and per page
+    ``pages`` (page, mean_conf, n_words, threshold, text, low), and ``handwritten`` blocks. A page without kept words has null text.
+    """
+    w = words
+    if scripts is not None:
+        s = w.join(scripts, ["page", "word_num"], "left").withColumn("__b", D.better_script(F.col("word"), F.col("conf"), F.col("rus"), F.col("rus_conf"), F.col("eng"), F.col("eng_conf")))
+        swapped = ~F.col("__b.word").eqNullSafe(F.col("word"))
+        w = _with(s, words.columns, F.struct(F.col("__b.word").alias("word"), F.when(swapped, swapped_confidence(F.col("__b.conf"), swapped)).otherwise(F.col("conf")).alias("conf")))
+    if sharpened is not None:
+        s = w.join(sharpened.select("page", "word_num", "new", "new_conf"), ["page", "word_num"], "left")
+        w = _with(s, words.columns, F.when(image_rescuable(F.col("word"), F.col("conf")), D.accept_lift(F.col("word"), F.col("conf"), F.col("new"), F.col("new_conf"))).otherwise(F.struct("word", "conf")))
+    if enlarged is not None:
+        w = upscale_rescue(w, enlarged)
+    if blocks is not None:
+        poor = rescue_candidates(w).select("page", "block")
+        slots = D.replace_slots(w.join(poor, ["page", "block"], "left_semi"), blocks.join(poor, ["page", "block"], "left_semi"))
+        s = w.join(slots.select("page", "block", "word_num", F.col("word").alias("__w"), F.col("conf").alias("__v")), ["page", "block", "word_num"], "left")
+        w = _with(s, words.columns, F.struct(F.coalesce("__w", "word").alias("word"), F.coalesce("__v", "conf").alias("conf")))
+    if dictionary is not None:
+        w = dictionary_rescue(w, dictionary)
+    means = page_confidence(w).withColumn("threshold", adaptive_threshold(F.col("mean_conf"), base) if adaptive else F.lit(float(base)))
+    judged = w.join(means.select("page", "threshold"), "page")
+    text = rebuild_text(judged.where(F.col("conf") >= F.col("threshold")).select(*words.columns), 0)
+    low = low_words(judged.where(F.col("conf") < F.col("threshold")).select(*words.columns), 101)
+    pages = means.join(text, "page", "left").join(low, "page", "left")
+    return {"words": w, "pages": pages.select("page", "mean_conf", "n_words", "threshold", "text", "low"), "handwritten": handwritten(w)}

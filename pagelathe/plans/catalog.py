@@ -489,8 +489,11 @@ _add("msc15_unique_names", lambda s, d: P.unique_names(_table(s, d, "customer").
 
 
 def queries() -> dict[str, Query]:
+    from pagelathe.plans import catalog_more  # noqa: F401  it adds its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,3 +83,94 @@ def worth_storing(pages: DataFrame, least: float = 50) -> DataFrame:
     text = F.max(F.length(F.trim(F.coalesce("text", F.lit(""))))) > 0
     g = pages.groupBy("job").agg(text.alias("some"), F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0)).alias("mean"))
     return g.where((F.col("some") | (F.col("mean") > 0)) & ((F.col("mean") == 0) | (F.col("mean") >= least))).select("job")
+
+
+def add(events: DataFrame, items: DataFrame) -> DataFrame:
+    """The log of events (job, seq, event) with ``items`` (job) added after the last one, in order of job."""
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("job"))
+    fresh = items.select("job", place.alias("k")).join(F.broadcast(last)).select("job", (F.col("last") + F.col("k")).cast("long").alias("seq"), F.lit("added").alias("event"))
+    return events.select("job", "seq", "event").unionByName(fresh)
+
+
+def unresolved(states: DataFrame, done: tuple[str, ...] = ("completed", "failed", "cancelled")) -> DataFrame:
+    """One row: how many jobs (job, status) have not ended."""
+    return states.agg(F.count_if(~F.col("status").isin(*done)).alias("n"))
+
+
+def find(items: DataFrame, needle: str) -> DataFrame:
+    """Items whose file's name (path) contains ``needle``, letters of either case; all for an empty one."""
+    name = F.lower(F.substring_index("path", "/", -1))
+    return items.where(F.contains(name, F.lower(F.lit(needle))))
+
+
+def save_states(items: DataFrame, folder: str) -> None:
+    """Items (job, ...) as JSON, a folder a job, each replaced whole: what a later run finds pending."""
+    spark = items.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        items.repartition("job").write.mode("overwrite").partitionBy("job").json(folder)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def subscribe(stream: DataFrame, listeners: list, checkpoint: str):  # noqa: ANN201
+    """Start a stream whose micro-batches go to each listener (rows, batch number); one that raises ends it, as its batch is not done."""
+
+    def tell(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            for listener in listeners:
+                listener(rows, batch)
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def autosave(stream: DataFrame, folder: str, checkpoint: str):  # noqa: ANN201
+    """Start a stream of pages (doc, page, text, error) that keeps each micro-batch's as files; a batch that runs again replaces its own."""
+    return subscribe(stream, [lambda rows, batch: rows.write.mode("overwrite").json(f"{folder}/batch={batch}")], checkpoint)
+
+
+class Jobs:
+    """Functions of a session on threads of their own; each under a tag, by which what it started in Spark can be stopped."""
+
+    def __init__(self, spark: SparkSession, most: int = 4):
+        self.spark, self.pool, self.futures = spark, ThreadPoolExecutor(most), {}
+
+    def submit(self, name: str, work, on_complete=None, on_error=None) -> Future:  # noqa: ANN001
+        """``work(spark)`` under ``name``; tried once more if it raises."""
+
+        def run():  # noqa: ANN202
+            self.spark.addTag(name)
+            try:
+                try:
+                    out = work(self.spark)
+                except Exception:  # noqa: BLE001  whatever a job raises, it has a second try
+                    out = work(self.spark)
+            except Exception as e:
+                if on_error:
+                    on_error(name, e)
+                raise
+            finally:
+                self.spark.removeTag(name)
+            if on_complete:
+                on_complete(name, out)
+            return out
+
+        self.futures[name] = self.pool.submit(run)
+        return self.futures[name]
+
+    def cancel(self, name: str) -> bool:
+        """Whether a job that had not started was taken off, or one that runs was told to stop."""
+        f = self.futures.get(name)
+        if f is None or f.done():
+            return False
+        if not f.cancel():
+            self.spark.interruptTag(name)
+        return True
+
+    def active(self) -> int:
+        return sum(not f.done() for f in self.futures.values())
