@@ -227,7 +227,8 @@ def crop(gray: np.ndarray, left: int, top: int, width: int, height: int, pad: in
 
 STEPS: dict[str, Callable[..., np.ndarray]] = {
     "deskew": deskew, "lines": remove_lines, "background": flatten_background, "contrast": contrast, "median": median, "open": opened, "close": closed,
-    "clahe": clahe, "nlm": nonlocal_means, "turn": turned, "dewarp": flattened, "gaussian": gaussian, "otsu": otsu, "sauvola": sauvola, "adaptive": adaptive_mean,
+    "clahe": clahe, "nlm": nonlocal_means, "turn": turned, "dewarp": flattened, "gaussian": lambda gray, sigma: np.rint(gaussian(gray, sigma)).astype(np.uint8), "otsu": otsu, "sauvola": sauvola, "adaptive": adaptive_mean,
+    "rotate": rotate, "crop": crop,
 }
 
 
@@ -256,3 +257,16 @@ def process(images: DataFrame, steps: list[tuple[str, dict]], stop: str | None =
 
     flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     return in_pandas(flat, batch, "path string, height int, width int, data binary")
+
+
+def skews(images: DataFrame, most: float = 15) -> DataFrame:
+    """(path, skew): the turn, in degrees, that makes each image's rows of ink sharpest."""
+
+    def batch(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            angles = [skew(to_gray(np.frombuffer(data, np.uint8).reshape(h, w, n)), most) if data else 0.0 for _, h, w, n, data in f.itertuples(index=False)]
+            yield pd.DataFrame({"path": f["origin"], "skew": angles})
+
+    return in_pandas(images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data"), batch, "path string, skew double")

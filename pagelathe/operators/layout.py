@@ -42,16 +42,36 @@ def render(spans: list[Span], width: float) -> str:
     return "\n\n".join(t for t in ("\n".join(x for x in side if x) for side in sides) if t)
 
 
-def page_texts(spans: DataFrame) -> DataFrame:
-    """(doc, page, text) of spans (doc, page, page_width, x0, y0, x1, y1, text); blank spans are passed by."""
+def _by_page(spans: DataFrame, rows, columns: str) -> DataFrame:  # noqa: ANN001
+    """``rows`` of (spans, width) of each page, after its doc and page."""
     row = F.struct("x0", "y0", "x1", "y1", "text")
     pages = spans.groupBy("doc", "page").agg(F.max("page_width").alias("width"), F.sort_array(F.collect_list(row)).alias("spans"))
+    names = ["doc", "page", *(c.split()[0] for c in columns.split(", "))]
 
     def batch(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for f in frames:
-            texts = [render([tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in spans], w) for w, spans in zip(f["width"], f["spans"], strict=True)]
-            yield pd.DataFrame({"doc": f["doc"], "page": f["page"], "text": texts})
+            out = []
+            for doc, page, width, items in zip(f["doc"], f["page"], f["width"], f["spans"], strict=True):
+                found = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in items]
+                out += [(doc, page, *r) for r in rows(found, width)]
+            yield pd.DataFrame(out, columns=names)
+
+    keys = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in ("doc", "page"))
+    return in_pandas(pages, batch, f"{keys}, {columns}")
+
+
+def page_texts(spans: DataFrame) -> DataFrame:
+    """(doc, page, text) of spans (doc, page, page_width, x0, y0, x1, y1, text); blank spans are passed by."""
+    return _by_page(spans, lambda found, width: [(render(found, width),)], "text string")
+
+
+def line_numbers(spans: DataFrame) -> DataFrame:
+    """(doc, page, line, place, text): each span's line on its page and place in the line, from 1."""
+    return _by_page(spans, lambda found, _: [(i, k, s[4]) for i, x in enumerate(lines_of(found), 1) for k, s in enumerate(x, 1)], "line int, place int, text string")
+
 
-    return in_pandas(pages, batch, f"doc {spans.schema['doc'].dataType.simpleString()}, page {spans.schema['page'].dataType.simpleString()}, text string")
+def column_counts(spans: DataFrame) -> DataFrame:
+    """(doc, page, two): whether most of a page's lines part at its middle."""
+    return _by_page(spans, lambda found, width: [(is_two_column(lines_of(found), width),)], "two boolean")

@@ -489,7 +489,7 @@ _add("msc15_unique_names", lambda s, d: P.unique_names(_table(s, d, "customer").
 
 
 def queries() -> dict[str, Query]:
-    from pagelathe.plans import catalog_more  # noqa: F401  it adds its queries here
+    from pagelathe.plans import catalog_more, catalog_pages  # noqa: F401  they add their queries here
 
     return dict(_QUERIES)
 

@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import repair as R
+from pagelathe.shipping import in_arrow
 
 #: The fields of a logged correction.
 CORRECTION = "source string, field string, original string, corrected string, original_confidence double, kind string, timestamp string, excel_row int, context string"
 
 
 def discover(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
-    """(path, length, is_pdf) of the PDF files under ``roots``, each once, empty ones left out. ``is_pdf`` reads the header only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[pP][dD][fF]").load(roots)
-    return files.where("length > 0").select("path", "length", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf")).dropDuplicates(["path"])
+    """(path, length, is_pdf) of the PDF files under ``roots``, each once, empty ones left out.
+
+    Files are listed without their content; ``is_pdf`` is their first five bytes, read through the file system
+    that the path names, so a file's size does not matter.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[pP][dD][fF]").load(roots)
+    listed = found.where("length > 0").select("path", "length").dropDuplicates(["path"])
+
+    def heads(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_head(p) == b"%PDF-" for p in b.column(0).to_pylist()])], names=["path", "length", "is_pdf"])
+
+    return in_arrow(listed, heads, "path string, length long, is_pdf boolean")
+
+
+def _head(path: str, n: int = 5) -> bytes:
+    from pyarrow import fs
+
+    try:
+        system, place = fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
+        with system.open_input_file(place) as f:
+            return f.read(n)
+    except (OSError, ValueError):
+        return b""
 
 
 def stem(extension: str) -> Column:

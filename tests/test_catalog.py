@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Patterns that look around and stateful rules: held against brute force or fixtures in test_repair.py and test_waybills.py.
-WITHOUT_SQL = {"nrm02_confusables", "nrm06_normalize_cyrillic", "nrm07_collapse", "pst06_russian", "pst07_english", "pst09_unify_scripts", "pst14_entities", "ext21_waybills_in_documents", "pst16_universal"}
+WITHOUT_SQL = {"nrm02_confusables", "nrm06_normalize_cyrillic", "nrm07_collapse", "pst06_russian", "pst07_english", "pst09_unify_scripts", "pst14_entities", "ext21_waybills_in_documents", "pst16_universal", "img06_clahe", "img04_gaussian", "img04_nonlocal_means"}
 
 
 def test_every_other_query_has_sql():
