@@ -27,10 +27,13 @@ IBAN_LENGTHS = {
 _LANDS = "(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")" + _STOP
 #: A country's length first; else as many groups as there are, up to an account with a country's length.
 _IBAN = _LANDS + rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?! {_LANDS}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+#: Names that a credential follows, in any case.
+_NAMES = "(?i:password|passwd|secret|token|api_key)"
 #: In order of preference where two could start at one place.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_-]{8,}",
+    # at most 64 signs before and 253 after the @, as addresses have: no search runs over a whole text from every place
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,63}",
+    "secret": rf"AKIA[0-9A-Z]{{16}}|{_NAMES}\s{{0,3}}[=:]\s{{0,3}}\"?[A-Za-z0-9_-]{{8,}}",
     "iban": _IBAN,
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
@@ -43,7 +46,7 @@ _OTHER = "(?!(?:" + "|".join(f"(?:{KINDS[k]})" for k in ("email", "date", "ip",
 KINDS["card"] = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){_OTHER}[0-9]++{_STOP}(?:[ -]{_OTHER}[0-9]++{_STOP})*+"
 PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")" + _STOP
 #: What any of the above has in it; texts without it are passed by.
-HINT = r"[0-9@]|AKIA|(?:password|passwd|secret|token|api_key)\s{0,3}[=:]"
+HINT = rf"[0-9@]|AKIA|{_NAMES}\s{{0,3}}[=:]"
 _DIGIT_DROP = r"[^0-9]"
 
 
@@ -147,12 +150,16 @@ SSN_AREAS, SSN_REST = 898, 99 * 9_999
 
 
 def _email(key: Column, m: Column) -> Column:
-    at = F.instr(m, "@")
-    return F.concat(permute_signs(key, "email", F.substr(m, F.lit(1), at - 1)), F.substr(m, at, F.length(m)))
+    """Both sides by themselves, so that equal domains stay linked; the last label stays."""
+    name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+    # a short name alone would have few pseudonyms: it is permuted under a key of its domain's
+    return F.concat(permute_signs(F.concat(key, F.lit("@"), domain), "email", name), F.lit("@"), permute_signs(key, "domain", host), F.lit("."), last)
 
 
 def _secret(key: Column, m: Column) -> Column:
-    head = F.regexp_extract(m, r"^(?:AKIA|[a-z_]+\s{0,3}[=:]\s{0,3}\"?)", 0)
+    head = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_]+\s{0,3}[=:]\s{0,3}\"?)", 0)
     return F.concat(head, permute_signs(key, "secret", F.substr(m, F.length(head) + 1, F.length(m))))
 
 
@@ -164,38 +171,54 @@ def _ip(key: Column, m: Column) -> Column:
     return F.when(ok, F.concat_ws(".", *parts)).otherwise(m)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _card(key: Column, m: Column) -> Column:
-    """Of groups of digits, from each on, the most that make a valid number; other groups stay."""
-    groups = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    """Of groups of digits, from each on, the most that make a valid number; other groups stay.
 
-    def span(gs: Column, i: Column, j: Column) -> Column:
-        return F.array_join(F.slice(gs, i + 1, j - i + 1), "")
+    Every group looks at the 19 groups from it on and no more, so long lists of numbers cost their length.
+    """
+    text = lambda gs, at, n: F.array_join(F.slice(gs, at + 1, n), "")
+    digits = lambda t: F.regexp_replace(t, _DIGIT_DROP, "")
 
-    def valid(text: Column) -> Column:
-        d = F.regexp_replace(text, _DIGIT_DROP, "")
-        n = F.length(d)
-        return F.when(n.between(13, 19), luhn(F.substr(d, F.lit(1), n - 1)) == F.substr(d, n, F.lit(1))).otherwise(False)
+    def longest(rest: Column) -> Column:
+        """Digits of the longest valid number that ``rest`` begins with and that ends with a group."""
+        number = lambda k: F.substr(digits(rest), F.lit(1), F.lit(k))
+        fits = lambda k: rest.rlike(rf"^(?:[ -]?[0-9]){{{k}}}(?![0-9])") & (luhn(F.left(number(k), F.lit(k - 1))) == F.right(number(k), F.lit(1)))
+        return F.coalesce(*[F.when(fits(k), F.lit(k)) for k in range(19, 12, -1)])
 
-    def moved(text: Column) -> Column:
-        d = F.regexp_replace(text, _DIGIT_DROP, "")
+    def moved(t: Column) -> Column:
+        d = digits(t)
         new = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
-        return refill(text, F.concat(new, luhn(new)))
+        return refill(t, F.concat(new, luhn(new)))
+
+    def numbers(gs: Column) -> Column:
+        """Where numbers start and how many groups they have."""
 
-    def of(gs: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
-            ends = F.filter(F.sequence(i, F.least(i + 18, F.size(gs) - 1)), lambda j: valid(span(gs, i, j)))
-            last = F.when(i >= s["next"], F.array_max(ends))
+            def put(k: Column) -> Column:
+                n = F.size(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(gs) - i)), lambda n: F.length(digits(text(gs, i, n))) <= k))
+                more = F.concat(s["found"], F.array(F.struct(i.alias("at"), n.alias("n"))))
+                return F.when(k.isNull(), s).otherwise(F.struct((i + n).alias("next"), more.alias("found")))
 
-            def put(j: Column) -> Column:
-                piece = F.when(i < s["next"], F.lit("")).when(j.isNull(), F.get(gs, i)).otherwise(moved(span(gs, i, j)))
-                return F.struct(F.concat(s["out"], piece).alias("out"), F.greatest(s["next"], F.coalesce(j, i) + 1).alias("next"))
+            return _once(F.when(i >= s["next"], _once(text(gs, i, F.lit(19)), longest)), put)
 
-            return F.get(F.transform(F.array(last), put), F.lit(0))
+        start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<at:int,n:int>>)").alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), start, step, lambda s: s["found"])
 
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), start, step, lambda s: s["out"])
+    def woven(gs: Column) -> Column:
+        def of(found: Column) -> Column:
+            end = lambda x: F.when(x < 0, F.lit(0)).otherwise(F.get(found, x)["at"] + F.get(found, x)["n"])
+            pieces = F.transform(found, lambda p, x: F.concat(text(gs, end(x - 1), p["at"] - end(x - 1)), moved(text(gs, p["at"], p["n"]))))
+            last = end(F.size(found) - 1)
+            return F.when(F.size(found) == 0, m).otherwise(F.concat(F.array_join(pieces, ""), text(gs, last, F.size(gs) - last)))
 
-    return F.get(F.transform(F.array(groups), of), F.lit(0))
+        return _once(numbers(gs), of)
+
+    return _once(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), woven)
 
 
 def _phone(key: Column, m: Column) -> Column:
@@ -257,10 +280,13 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with personal data in ``column`` replaced; all other columns and rows unchanged.
 
     The same value gives the same pseudonym in every document under one ``key``. Numbers that do not
-    validate, and everything else, stay as they are. Null text stays null, empty stays empty. No shuffle.
+    validate, and everything else, stay as they are; so does an address of over 64 signs before its @. Null
+    text stays null, empty stays empty; the time is linear in a text's length. No shuffle.
     """
     k, text = F.lit(key), F.col(column)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    between = F.split(text, PATTERN, -1)
-    woven = F.zip_with(between, F.transform(found, lambda m: pseudonym(k, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return docs.withColumn(column, F.when(text.rlike(HINT) & text.rlike(PATTERN), F.array_join(woven, "")).otherwise(text))
+
+    def woven(found: Column) -> Column:
+        out = F.zip_with(F.split(text, PATTERN, -1), F.transform(found, lambda m: pseudonym(k, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(F.size(found) == 0, text).otherwise(F.array_join(out, ""))
+
+    return docs.withColumn(column, F.when(text.rlike(HINT), _once(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), woven)).otherwise(text))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import xxhash
 
 from pagelathe.llm import _text as T
-from pagelathe.llm import _packed, _tokens, langid, packing, quality, simhash, substring_dedup, token_counts
+from pagelathe.llm import _packed, _tokens, langid, packing, pii, quality, queries, simhash, substring_dedup, token_counts, url_filter
 
 
 def block(texts):
@@ -101,3 +102,19 @@ def test_small_cells(spark, monkeypatch):
     monkeypatch.setattr(_packed, "df_conf", lambda *_: "false")
     assert sorted(map(tuple, substring_dedup.substring_dedup(docs, with_text=False).collect())) == want
     assert sum(r[2] for r in want) > 0
+
+
+def test_long_texts_of_native_operators(spark):
+    """Runs that a careless pattern searches again from every sign, in seconds."""
+    texts = ["a-" * 500_000 + "1", "x@" + "a-" * 300_000, "1 " * 30_000, "12 34 " * 10_000 + "4111 1111 1111 1111 " + "5 " * 9_000, "token=" * 50_000 + "abcdefgh1", "a.b_" * 200_000 + "@x.com", "+1 " * 50_000, "DE89 " * 40_000]
+    t = time.time()
+    got = pii.pseudonymize(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string"), "k").collect()
+    assert time.time() - t < 60
+    out = {r.i: r.text for r in got}
+    assert [out[i] == texts[i] for i in (0, 1, 2)] == [True] * 3 and "4111 1111 1111 1111" not in out[3] and len(out[3]) == len(texts[3])
+    assert out[4] != texts[4] and out[5].endswith(".com") and not out[5].endswith("@x.com")
+    t = time.time()
+    pages = spark.createDataFrame([(0, "http://" + "a." * 50_000 + "example.com/en/x"), (1, "http://" + "." * 50_000), (2, "http://x.net/es/" + "y" * 1_000_000)], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    assert {r.page_id: r.rule for r in url_filter.filter_urls(pages, rules).collect()} == {0: "example.com/en/", 1: None, 2: "net/es/"}
+    assert time.time() - t < 30
