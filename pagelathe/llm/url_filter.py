@@ -1,9 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules by short hash prefixes.
 
-Distinct (host, path) pairs are expanded to every host suffix and to every path prefix of
-a length that some rule has; an expression meets rules through the first 32 bits of its SHA-256,
+Distinct (host, path) pairs are expanded to the host suffixes and path prefixes of the
+lengths (in labels, and in signs) that some rule has; an expression meets rules through the first 32 bits of its SHA-256,
 full digests confirm, and precedence picks among the rules that fit. Verdicts return to
-the rows by url, so rows with one url, or one host, are never gathered.
+the rows by (host, path): those of pairs that many rows have meet a broadcast, so no url is one task's burden.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are broadcast up to so many rows (under 200 bytes each); beyond, the join shuffles.
-BROADCAST_RULES = 50_000
+from pagelathe.llm.graph import HOT
+
+#: Rules of so many bytes are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,27 +48,34 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """
     rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null")
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
-    rules = rules.select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("n_host"), F.length("path").alias("n_path"), _digest(F.col("host"), F.col("path")).alias("digest"))
+    rules = rules.select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("n_host"), F.length("path").alias("n_path"), (F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))) + 1).alias("n_labels"), _digest(F.col("host"), F.col("path")).alias("digest"))
     rules = rules.withColumn("short", _short(F.col("digest")))
-    # as many distinct lengths as rules' paths have: a few hundred numbers at most, as urls are bounded
-    facts = rules.agg(F.collect_set("n_path").alias("lengths"), F.count(F.lit(1)).alias("n")).first()
-    lengths, n_rules = sorted(facts["lengths"]), facts["n"]
-    side = F.broadcast(rules) if n_rules <= BROADCAST_RULES else rules
+    # as many distinct lengths as rules' hosts and paths have: a few hundred numbers at most, as urls are bounded
+    facts = rules.agg(F.collect_set("n_path").alias("paths"), F.collect_set("n_labels").alias("labels"), F.sum(F.octet_length("rule") + 100).alias("size")).first()
+    lengths, labels = sorted(facts["paths"]), sorted(facts["labels"])
+    side = F.broadcast(rules) if (facts["size"] or 0) <= BROADCAST_BYTES else rules
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    pairs = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # the same url from many map tasks meets in a few tasks before it meets in one
+    pairs = rows.groupBy("host", "path", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    # a host of fewer labels than the rules have is passed by
+    has = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))) + 1
+    suffixes = F.array_compact(F.array(*[F.when(has >= n, F.substring_index("host", ".", -n)) for n in labels] or [F.lit(None).cast("string")]))
     prefixes = F.filter(F.array(*[F.lit(n) for n in lengths] or [F.lit(-1)]), lambda n: (n >= 0) & (n <= F.length("path")))
     grown = pairs.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("sizes"))
-    grown = grown.select("host", "path", "suffix", F.explode("sizes").alias("n"))
-    digest = _digest(F.col("suffix"), F.col("path").substr(F.lit(1), F.col("n")))
+    grown = grown.select("host", "path", "suffix", F.explode("sizes").alias("size"))
+    digest = _digest(F.col("suffix"), F.col("path").substr(F.lit(1), F.col("size")))
     grown = grown.select("host", "path", digest.alias("full")).withColumn("short", _short(F.col("full")))
     met = grown.join(side, "short").where("full = digest")
     rank = F.struct((F.col("n_host") + F.col("n_path")).alias("n"), "n_host", "verdict", "rule")
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.verdict")
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # pairs of over one in HOT rows, with a rule or without: fewer than HOT, so they are broadcast
+    hot = F.broadcast(pairs.where(F.col("n") * HOT > rows.count()).select("host", "path").join(best, ["host", "path"], "left"))
+    rest = rows.join(hot.select("host", "path"), ["host", "path"], "left_anti").join(best, ["host", "path"], "left")
+    out = rows.join(hot, ["host", "path"]).select(*rest.columns).unionByName(rest)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 __all__ = ["filter_urls", "host_of", "path_of"]
