@@ -1,6 +1,6 @@
 """Quality rules: statistics of whole texts and a learned decision list over them.
 
-Sequential covering in the manner of IREP: a conjunction of thresholds grows on two
+What the base test rejects is not learned from. Sequential covering in the manner of IREP: a conjunction of thresholds grows on two
 thirds of the labelled rows by information gain, is pruned on the last third, and is kept
 if it is precise there; the rows that it covers leave and the next rule is learned from
 the rest. The list becomes one ordered Spark conditional expression.
@@ -190,15 +190,25 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, le
     return rules
 
 
+#: What fails before any rule is asked.
+BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules for rows labelled 0, from at most ``sample_rows`` labelled documents, drawn by a hash of the id."""
+    """Rules for rows labelled 0 that the base test lets pass, from at most ``sample_rows`` labelled documents.
+
+    Documents are drawn by a hash of the id; of a document labelled twice the lower label counts, of several
+    texts of one id the one with the least statistics. So the same tables give the same rules. Null ids and labels are left out.
+    """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"))
     total = ids.count()
     keep = min(1.0, 0.95 * sample_rows / max(total, 1))
-    drawn = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1).limit(sample_rows)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    drawn = ids.where(place < int(keep * (1 << 20)) + 1).orderBy(place, "doc_id").limit(sample_rows)
     # at most sample_rows of 12 bytes are broadcast, and as many rows of numbers come back
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    seen = text_stats(texts).join(F.broadcast(drawn), "doc_id").orderBy("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id", "left_semi")
+    one = text_stats(texts).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "s.*").where(f"not ({BASE_FAILED})")
+    seen = one.join(F.broadcast(drawn), "doc_id").orderBy("doc_id")
     got = seen.select("y", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()]).toPandas()
     order = np.random.default_rng(7).permutation(len(got))
     return learn({n: got[n].to_numpy()[order] for n in FEATURES}, (got["y"].to_numpy() == 0)[order])
@@ -220,5 +230,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     counts zero, base_failed. Null doc_id and repeated rows are judged like others.
     """
     s = text_stats(docs)
-    s = s.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).withColumn("rule", verdict(rules))
+    s = s.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", verdict(rules))
     return s.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
