@@ -175,7 +175,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         rows, text = docs.select(*columns, F.col("text").cast("string")), len(keep)
     fields = [*rows.schema.fields[: len(keep)], StructField(names[0], StringType()), StructField(names[1], DoubleType())]
     run = _predict_rows(docs.sparkSession.sparkContext.broadcast(model), [x.name for x in fields], text, len(keep))
-    return in_arrow(rows, run, StructType(fields))
+    # by place, as columns on their way to Python are looked up by name, dots and all
+    return in_arrow(rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]), run, StructType(fields))
 
 
 def held_out() -> Column:
