@@ -1,12 +1,17 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-An item is contained in a document if at least ``threshold`` of its distinct word
-shingles occur there. Items are partitioned by size; the sketch of an item is the s smallest
-hashes of its shingles, with s from the upper size u of its partition:
-s = floor((1 - threshold) u) + 1. A document that contains the item misses at most s - 1 of
-its shingles, so it has one of the sketch: no containment is missed, however long the
-document. Documents' shingle hashes meet the sketches in one equi-join, and candidates are verified
-by exact containment of the shingles themselves.
+An item is contained in a document if at least ``threshold`` of its distinct word shingles occur there. Items
+are partitioned by size. The MinHash sketch of an item is the s smallest hashes of its shingles, with s from the
+upper size u of its partition: s = floor((1 - threshold) u) + 1. A document that contains the item misses at most
+s - 1 of its shingles, so it has one of the sketch: no containment is missed, however long the document.
+Documents' shingle hashes meet the sketches in one equi-join, and candidates are verified by exact containment of
+the shingles themselves.
+
+What MinHash does here is to choose, in the order of the hashes, which shingles of an item are asked for. Documents have no
+signatures of their own: a signature of a whole document of 20,000 shingles agrees with an item of 30 in one value in
+700, and signatures of all item-sized windows of all documents would be most of the work and still miss some. Items of fewer
+words than a shingle are partitions of their own, by length: their whole sequence is looked for among the
+documents' windows of that many words.
 """
 
 from __future__ import annotations
@@ -28,25 +33,36 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def _windows(w: Column, k: int, one) -> Column:
-    """``one`` of each k-word window; of the whole sequence if it is shorter; nothing if there is no word."""
+def _windows(w: Column, ks: list[int], one) -> Column:
+    """``one`` of each window of k words, for each k; nothing where there are fewer words."""
+
+    def long(ws: Column, k: int) -> Column:
+        return F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: one([F.get(ws, i + j) for j in range(k)])))
 
     def of(ws: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: one([F.get(ws, i + j) for j in range(k)]))
-        short = F.array(one([F.coalesce(F.get(ws, F.lit(j)), F.lit("")) for j in range(k)]))
-        return F.when(F.size(ws) >= k, many).when(F.size(ws) > 0, short).otherwise(F.slice(short, 1, 0))
+        each = [long(ws, k) for k in ks]
+        none = F.slice(F.array(one([F.lit("")] * ks[0])), 1, 0)
+        return F.concat(*[F.coalesce(x, none) for x in each])
 
     # the words are a lambda's argument: wherever the optimizer moves this, they are split once a row
     return F.get(F.transform(F.array(w), of), F.lit(0))
 
 
-def shingle_hashes(w: Column, k: int = SHINGLE) -> Column:
-    return _windows(w, k, lambda parts: F.xxhash64(*parts))
+def _of_item(w: Column, k: int, make) -> Column:
+    """``make`` of an item's windows: of k words, or of as many as it has."""
+    out = F.when(F.size(w) >= k, make(w, [k]))
+    for n in range(1, k):
+        out = out.when(F.size(w) == n, make(w, [n]))
+    return out.otherwise(F.slice(make(w, [k]), 1, 0))
+
+
+def shingle_hashes(w: Column, ks: list[int]) -> Column:
+    return _windows(w, ks, lambda parts: F.xxhash64(*parts))
 
 
-def shingles(w: Column, k: int = SHINGLE) -> Column:
-    """Distinct shingles as text; a shorter sequence's ends in spaces, so it equals no other's."""
-    return F.array_distinct(_windows(w, k, lambda parts: F.concat_ws(" ", *parts)))
+def shingles(w: Column, ks: list[int]) -> Column:
+    """Distinct shingles as text."""
+    return F.array_distinct(_windows(w, ks, lambda parts: F.concat_ws(" ", *parts)))
 
 
 def _small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
@@ -68,7 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
     doc_id, text_hash (XXH64 of the text: with doc_id it names the row), item_id, n_item (distinct
     shingles), n_found, containment. Words are lower-cased runs of letters and digits; a text of fewer
-    words than a shingle is one shingle. Null, empty and wordless texts and items match nothing. Items
+    words than a shingle has none, an item of fewer is its whole sequence. Null, empty and wordless texts and items match nothing. Items
     that share an id are items of their own by text. Null ids are kept. Whole documents are searched.
     """
     if not 0 < threshold <= 1:
@@ -76,13 +92,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text")).where("item_text is not null").distinct()
     items = items.withColumn("key", F.xxhash64(F.coalesce(F.col("item_id"), F.lit(-1)), "item_text"))
     bags = items.select("item_id", "key", words(F.col("item_text")).alias("w"))
-    bags = bags.select("item_id", "key", shingles(F.col("w"), shingle).alias("shingles"), F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("hashes"))
+    short = bags.where(F.size("w").between(1, shingle - 1)).select(F.size("w").alias("n")).distinct()
+    ks = [shingle, *sorted(r["n"] for r in short.collect())]  # at most as many as a shingle has words
+    bags = bags.select("item_id", "key", _of_item(F.col("w"), shingle, shingles).alias("shingles"), F.array_distinct(_of_item(F.col("w"), shingle, shingle_hashes)).alias("hashes"))
     sketch = _sketches(bags.select(F.col("key").alias("item_id"), "hashes"), threshold).withColumnRenamed("item_id", "key")
     sketch, small = _small(sketch, BROADCAST_ROWS)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    found = rows.select("doc_id", "text_hash", shingle_hashes(words(F.col("text")), shingle).alias("hs"))
+    found = rows.select("doc_id", "text_hash", shingle_hashes(words(F.col("text")), ks).alias("hs"))
     # explode() would infer a filter on its array and have all shingles made twice
     found = found.select("doc_id", "text_hash", F.size("hs").alias("n_doc"), F.explode_outer("hs").alias("h"))
     if small:
@@ -101,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     held = rows.dropDuplicates(["doc_id", "text_hash"]) if not few else rows
     pairs = held.alias("d").join(side.alias("c"), same).select("d.doc_id", "d.text_hash", "c.key", words(F.col("d.text")).alias("w"))
     pairs = pairs.join(F.broadcast(bag) if total <= BROADCAST_CHARS else bag, "key")
-    common = F.size(F.array_intersect("shingles", shingles(F.col("w"), shingle)))
+    common = F.size(F.array_intersect("shingles", shingles(F.col("w"), ks)))
     pairs = pairs.select("doc_id", "text_hash", "item_id", F.size("shingles").cast("long").alias("n_item"), common.cast("long").alias("n_found"))
     pairs = pairs.where(F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9)).distinct()
     return pairs.withColumn("containment", F.col("n_found") / F.col("n_item"))

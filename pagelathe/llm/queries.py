@@ -76,8 +76,7 @@ def queries() -> dict:
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-_SHINGLES = """CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
-     ELSE [array_to_string(ws, ' ') || repeat(' ', 5 - len(ws))] END"""
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(ws) - {k} + 2, 1)), lambda i: array_to_string(ws[i:i + {k} - 1], ' ')))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -110,8 +109,9 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": f"""
             WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents WHERE text IS NOT NULL),
             b AS (SELECT item_id, {_TERMS} AS ws FROM benchmark WHERE text IS NOT NULL),
-            ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d WHERE len(ws) > 0),
-            bs AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM b WHERE len(ws) > 0),
+            k AS (SELECT 5 AS k UNION SELECT len(ws) FROM b WHERE len(ws) BETWEEN 1 AND 4),
+            ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest({_SHINGLES.format(k="k")}) AS s FROM d, k)),
+            bs AS (SELECT item_id, unnest({_SHINGLES.format(k="least(len(ws), 5)")}) AS s FROM b WHERE len(ws) > 0),
             n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
             f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
             SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE n_found >= ceil(0.8 * n_item - 1e-9)""",
