@@ -125,9 +125,20 @@ def own_date(day: Column) -> Column:
 
 
 def evict(entries: DataFrame, max_bytes: int) -> DataFrame:
-    """Entries (key, size, mtime) beyond the newest that fit ``max_bytes``, per cache ``bucket``."""
-    newest = Window.partitionBy("bucket").orderBy(F.desc("mtime"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("upto", F.sum("size").over(newest)).where(F.col("upto") > max_bytes).drop("upto")
+    """Entries (key, size, mtime) beyond the newest that fit ``max_bytes``, per cache ``bucket``; entries without a time are the oldest.
+
+    Sizes are added up by day first. Days that fit, and days beyond, need no order within; only the day in which
+    the bytes run out is ordered entry by entry.
+    """
+    day = F.coalesce(F.to_date("mtime"), F.lit("0001-01-01").cast("date"))
+    dated = entries.withColumn("__day", day)
+    days = dated.groupBy("bucket", "__day").agg(F.sum("size").alias("__own"))
+    newest = Window.partitionBy("bucket").orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("__upto", F.sum("__own").over(newest)).where(F.col("__upto") > max_bytes)
+    placed = dated.join(days, ["bucket", "__day"]).withColumn("__before", F.col("__upto") - F.col("__own"))
+    within = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("mtime"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    last = placed.where(F.col("__before") <= max_bytes).withColumn("__at", F.col("__before") + F.sum("size").over(within)).where(F.col("__at") > max_bytes)
+    return placed.where(F.col("__before") > max_bytes).select(*entries.columns).unionByName(last.select(*entries.columns))
 
 
 def islands(pages: DataFrame) -> DataFrame:
