@@ -32,6 +32,15 @@ def quoted(name: str) -> str:
 HOT = 1000
 
 
+SALTS = 32
+
+
+def salted(rows: DataFrame, key: str, least: dict[str, Column]) -> DataFrame:
+    """(key, minima ``least``, n rows) of each key. Every task has a partial row of a hot key: those meet in SALTS tasks before they meet in one."""
+    parted = rows.groupBy(key, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(*[c.alias(a) for a, c in least.items()], F.count(F.lit(1)).alias("n"))
+    return parted.groupBy(key).agg(*[F.min(a).alias(a) for a in least], F.sum("n").alias("n"))
+
+
 def by_count(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with ``facts`` (key, n, ...), one a key, ``n`` the number of rows that have it.
 
@@ -78,5 +87,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for step in reversed(steps[:-1]):
         later = out.toDF("rep", "last")
         out = step.join(later, "rep", "left").select("node", F.coalesce("last", "rep").alias("rep"))
-    least = out.groupBy("rep").agg(F.min("node").alias("component"))
-    return out.join(least, "rep").select("node", "component")
+    least = salted(out, "rep", {"component": F.min("node")})
+    return by_count(out, checkpointed(least), "rep").select("node", "component")

@@ -23,13 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
-from pagelathe.llm.graph import checkpointed, components
+from pagelathe.llm.graph import by_count, checkpointed, components, salted
 from pagelathe.shipping import in_arrow
 
 RADIUS = 2
-#: A fingerprint is hot if more than one in so many rows has it; fewer than so many can be.
-HOT = 1000
-SALTS = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The eight bits of a byte, one in each byte of a word.
@@ -132,17 +129,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     """
     # 16 bytes a document, read several times: written once, not computed anew
     fps = checkpointed(fingerprints(docs, shingle))
-    total = fps.count()
-    # every map task has a row of a hot fingerprint: those rows meet in SALTS tasks before they meet in one
-    parted = fps.groupBy("fp", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    nodes = checkpointed(parted.groupBy("fp").agg(F.min("low").alias("low"), F.sum("n").alias("n")))
+    nodes = checkpointed(salted(fps, "fp", {"low": F.min("doc_id")}))
     parts = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
     classed = nodes.join(parts, "fp", "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
     ids = classed.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = checkpointed(classed.join(ids, "component").select("fp", "component_id", "n"))
-    # a fingerprint of over one in HOT rows would be one task's burden: there are fewer than HOT of them,
-    # so they are broadcast, and only the others' rows move
-    hot = F.broadcast(by_fp.where(F.col("n") * HOT > total).drop("n"))
-    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(by_fp.where(F.col("n") * HOT <= total).drop("n"), "fp")
-    out = fps.join(hot, "fp").unionByName(rest)
+    out = by_count(fps, by_fp, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
