@@ -260,3 +260,13 @@ def format_plate(c: Column) -> Column:
     s, l = F.replace(F.upper(c), F.lit(" "), F.lit("")), f"[{V.PLATE_CYRILLIC}]"  # noqa: E741
     car, trailer = rf"^({l})([0-9]{{3}})({l}{{2}})([0-9]{{2,3}})$", rf"^({l}{{2}})([0-9]{{4}})([0-9]{{2,3}})$"
     return F.when(s.rlike(car), F.regexp_replace(s, car, "$1 $2 $3 $4")).when(s.rlike(trailer), F.regexp_replace(s, trailer, "$1 $2 $3")).otherwise(c)
+
+
+def split_low_words(c: Column, words: Column) -> Column:
+    """A text as (span, low): words of the list apart from what is between them, in order; empty spans are left out."""
+    quoted = F.transform(F.array_sort(F.array_distinct(words), lambda a, b: F.length(b) - F.length(a)), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)(?:"), F.array_join(quoted, "|"), F.lit(r")(?!\w)"))
+    part = lambda t, low: F.struct(t.alias("span"), F.lit(low).alias("low"))
+    pairs = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, pattern, F.lit(0)), lambda a, b: F.array(part(a, False), part(F.coalesce(b, F.lit("")), True)))
+    whole = F.when(F.coalesce(F.size(words), F.lit(0)) <= 0, F.array(part(c, False))).otherwise(F.flatten(pairs))
+    return F.filter(whole, lambda x: x["span"] != "")

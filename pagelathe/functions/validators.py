@@ -124,3 +124,9 @@ def iso_to_ru(c: Column) -> Column:
 
 def ru_to_iso(c: Column) -> Column:
     return F.date_format(F.try_to_timestamp(c, F.lit("dd.MM.yyyy")), "yyyy-MM-dd")
+
+
+def check_digit(c: Column, weights: tuple[int, ...]) -> Column:
+    """The digit that closes a number whose first digits have ``weights``: their sum modulo 11, modulo 10."""
+    total = sum((_digit(c, i) * w for i, w in enumerate(weights)), F.lit(0))
+    return F.pmod(F.pmod(total, F.lit(11)), F.lit(10)).cast("int")

@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from pagelathe.operators import decisions as D
 from pagelathe.shipping import in_pandas
 
 
@@ -184,6 +186,12 @@ def remove_lines(gray: np.ndarray, least: int = 50) -> np.ndarray:
     return np.where(_runs(dark, least) | _runs(dark.T, least).T, 255, gray).astype(np.uint8)
 
 
+def line_mask(gray: np.ndarray, horizontal: bool = True, least: int = 50) -> np.ndarray:
+    """White where dark stretches of at least ``least`` pixels lie or stand, black elsewhere."""
+    dark = gray < 128
+    return np.where(_runs(dark, least) if horizontal else _runs(dark.T, least).T, 255, 0).astype(np.uint8)
+
+
 def rotate(gray: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
     """Counter-clockwise about the centre on a canvas that holds all of it; linear interpolation."""
     a, (h, w) = np.deg2rad(degrees), gray.shape
@@ -228,7 +236,7 @@ def crop(gray: np.ndarray, left: int, top: int, width: int, height: int, pad: in
 STEPS: dict[str, Callable[..., np.ndarray]] = {
     "deskew": deskew, "lines": remove_lines, "background": flatten_background, "contrast": contrast, "median": median, "open": opened, "close": closed,
     "clahe": clahe, "nlm": nonlocal_means, "turn": turned, "dewarp": flattened, "gaussian": lambda gray, sigma: np.rint(gaussian(gray, sigma)).astype(np.uint8), "otsu": otsu, "sauvola": sauvola, "adaptive": adaptive_mean,
-    "rotate": rotate, "crop": crop,
+    "rotate": rotate, "crop": crop, "line_mask": line_mask,
 }
 
 
@@ -270,3 +278,22 @@ def skews(images: DataFrame, most: float = 15) -> DataFrame:
             yield pd.DataFrame({"path": f["origin"], "skew": angles})
 
     return in_pandas(images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data"), batch, "path string, skew double")
+
+
+def upright(images: DataFrame, reports: DataFrame, least: float = 1.0) -> DataFrame:
+    """(path, height, width, data) of images turned as their orientation reports (path, osd) ask for; others stay as they are."""
+    turns = reports.select("path", F.coalesce(D.rotation(F.col("osd"), least), F.lit(0)).alias("turn"))
+    flat = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data").join(turns, "path", "left")
+
+    def batch(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for path, h, w, n, data, turn in f.itertuples(index=False):
+                gray = to_gray(np.frombuffer(data or b"", np.uint8).reshape(h, w, n))
+                gray = turned(gray, 0 if turn is None or turn != turn else int(turn))
+                out.append((path, *gray.shape, gray.tobytes()))
+            yield pd.DataFrame(out, columns=["path", "height", "width", "data"])
+
+    return in_pandas(flat, batch, "path string, height int, width int, data binary")

@@ -133,3 +133,8 @@ def cache_key(content: Column, profile: Column, version: str) -> Column:
 def signature(path: Column, size: Column, changed: Column, version: str) -> Column:
     """Names a file by its path, size and time of change in whole seconds."""
     return F.sha1(F.concat_ws("|", path, size.cast("string"), F.unix_seconds(changed.cast("timestamp")).cast("string"), F.lit(version)))
+
+
+def confidence_colour(percent: Column) -> Column:
+    """The colour of a cell: red under 50, yellow under 70, else green."""
+    return F.when(percent < 50, "red").when(percent < 70, "yellow").otherwise("green")

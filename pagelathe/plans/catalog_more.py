@@ -269,3 +269,86 @@ def _jobs(s: SparkSession, d: str) -> DataFrame:
 
 _add("str17_jobs", _jobs, "SELECT 'orders' AS job, count(*) AS n, 0::INT AS active FROM orders UNION ALL SELECT 'customer', count(*), 0 FROM customer")
 _add("str13_cache_store", lambda s, d: P.cache_store(_table(s, d, "customer").selectExpr("'b' AS bucket", "c_custkey AS key", "10L AS size", "CAST(c_custkey AS TIMESTAMP) AS mtime"), _table(s, d, "nation").selectExpr("'b' AS bucket", "CAST(n_nationkey AS BIGINT) AS key", "10L AS size", "CAST(1000000000 + n_nationkey AS TIMESTAMP) AS mtime"), 500).select("key", "size"), "SELECT key, 10::BIGINT AS size FROM (SELECT key, row_number() OVER (ORDER BY m DESC, key) AS k FROM (SELECT key, max(m) AS m FROM (SELECT c_custkey AS key, c_custkey AS m FROM customer UNION ALL SELECT n_nationkey, 1000000000 + n_nationkey FROM nation) GROUP BY key)) WHERE k <= 50")
+
+
+# --- steps of the waybills' fields ---------------------------------------------------------------------
+def _step(name: str, which: str, text: str, sql: str) -> None:
+    _add(name, lambda s, d: B.step(_table(s, d, "orders").selectExpr("o_orderkey AS source", f"{text} AS text"), which), f"SELECT {_SOURCE}, {sql} AS out FROM orders")
+
+
+_NAME, _INN = "split_part(o_orderpriority, '-', 2) || CAST(o_custkey AS STRING)", "'7707083893'"
+_step("ext10_party_lines", "party_lines", f"'является экспедитором' || chr(10) || 'ООО Склад ' || {_NAME} || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Подпись' ELSE 'г. Тверь, склад' END || chr(10) || 'конец строки'", f"'ООО Склад ' || {_NAME} || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ', г. Тверь, склад, конец строки' END")
+_step("ext11_party_after_word", "party_after_word", f"'Грузоотправитель: ООО ' || {_NAME} || ' грузополучатель АО' || chr(10) || 'дальше'", f"'ООО ' || {_NAME}")
+_step("ext12_from_legal_form", "from_legal_form", f"'склад, ' || CASE WHEN o_orderkey % 2 = 0 THEN 'ПАО СБЕРБАНК, ' ELSE '' END || 'ООО ' || {_NAME}", f"'ООО ' || {_NAME}")
+_step("ext13_through_tax_number", "through_tax_number", f"{_NAME} || CASE o_orderkey % 3 WHEN 0 THEN ', ИНН ' WHEN 1 THEN ' Инн. ' ELSE ', ' END || {_INN} || ', КПП 770701001'", f"{_NAME} || CASE o_orderkey % 3 WHEN 0 THEN ', ИНН ' WHEN 1 THEN ' Инн. ' ELSE ', ' END || {_INN}")
+_step("ext14_before_money", "before_money", f"{_NAME} || CASE o_orderkey % 3 WHEN 0 THEN ', КПП 1' WHEN 1 THEN ', инн ' || {_INN} ELSE '' END", _NAME)
+_step("ext15_clean_cargo", "clean_cargo", f"{_NAME} || CASE o_orderkey % 3 WHEN 0 THEN ', 12 шт.' WHEN 1 THEN ' упаковка поддон' ELSE ', кол-во мест 7' END", _NAME)
+_step("ext16_cargo_name", "cargo_name", f"CASE o_orderkey % 3 WHEN 0 THEN 'Наименование: ' || {_NAME} WHEN 1 THEN 'Наименование:' || chr(10) || 'Нетто 12345' || chr(10) || 'плита ' || {_NAME} ELSE 'кирпич ' || {_NAME} END || chr(10) || 'Упаковка: поддон'", f"CASE o_orderkey % 3 WHEN 0 THEN {_NAME} WHEN 1 THEN 'плита ' || {_NAME} ELSE 'кирпич ' || {_NAME} END")
+_step("ext17_compact_plate", "plate", f"'МАН ' || substr('АВЕКМНОРСТУХ', CAST(1 + o_orderkey % 12 AS INT), 1) || ' ' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || ' BC 77'", "substr('АВЕКМНОРСТУХ', CAST(1 + o_orderkey % 12 AS INT), 1) || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || 'ВС77'")
+_step("ext18_reception_lines", "reception_lines", f"'адрес погрузки' || chr(10) || 'ООО ' || {_NAME} || chr(10) || 'г. Тула' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'ИНН ' || {_INN} ELSE 'улица' END || chr(10) || 'дом' || chr(10) || 'этаж'", f"'ООО ' || {_NAME} || ', г. Тула, ' || CASE WHEN o_orderkey % 2 = 0 THEN 'ИНН ' || {_INN} ELSE 'улица, дом' END")
+_step("ext19_reception_value", "reception_value", f"'ООО ' || {_NAME} || chr(10) || CASE o_orderkey % 2 WHEN 0 THEN 'Ин, ' || {_INN} || ', КПП 1' ELSE 'г. Тула, да' END", f"'ООО ' || {_NAME} || CASE o_orderkey % 2 WHEN 0 THEN ', ИНН ' || {_INN} ELSE ', г. Тула' END")
+_step("msc08_first_tax_number", "first_tax_number", f"'7707083894 и ' || CASE WHEN o_orderkey % 2 = 0 THEN {_INN} || ' 500100732259' ELSE '77070838931' END", f"CASE WHEN o_orderkey % 2 = 0 THEN {_INN} END")
+_step("jn06_nearest_role", "nearest_role", "CASE o_orderkey % 4 WHEN 0 THEN 'Перевозчнк' WHEN 1 THEN 'Грузополучатeль' WHEN 2 THEN 'Продовец товара' ELSE 'абвгдежз' END", "CASE o_orderkey % 4 WHEN 0 THEN 'carrier' WHEN 1 THEN 'consignee' WHEN 2 THEN 'shipper' END")
+_add("flt09_service_lines", lambda s, d: _table(s, d, "orders").selectExpr("o_orderkey AS source", f"{_SERVICE} AS text").join(B.lines_of_value(_table(s, d, "orders").selectExpr("o_orderkey AS source", f"{_SERVICE} AS text")).select(F.col("source").cast("long").alias("source")), "source", "left_anti").select("source"), "SELECT o_orderkey AS source FROM orders WHERE o_orderkey % 5 <> 2")
+_add("flt12_noise_rows", lambda s, d: B.parse(_table(s, d, "orders").selectExpr("o_orderkey AS source", f"{C._WAYBILL} || chr(10) || 'Транспортная накладная' || chr(10) || repeat('подписи сторон ', 20) AS text"), "2024-06-01").select("source"), "SELECT CAST(o_orderkey AS VARCHAR) || '#1' AS source FROM orders")
+_add("spl01_documents", lambda s, d: B.documents(_table(s, d, "orders").selectExpr("o_orderkey AS source", f"CASE o_orderkey % 3 WHEN 0 THEN {C._WAYBILL} WHEN 1 THEN {C._WAYBILL} || chr(10) || {C._WAYBILL} ELSE 'Счет-фактура ' || repeat('товар ', 20) || chr(12) || {C._WAYBILL} END AS text".replace("chr(12)", "'\f'"))).select("source", "place", F.length("document").alias("n")), f"SELECT {_SOURCE}, CAST(k AS INT) AS place, length({C._WAYBILL}) AS n FROM (SELECT *, unnest(range(1, CASE WHEN o_orderkey % 3 = 1 THEN 3 ELSE 2 END)) AS k FROM orders)")
+_add("set05_title_families", lambda s, d: B.titles(_table(s, d, "orders").selectExpr("o_orderkey AS source", "CASE WHEN o_orderkey % 2 = 0 THEN '3. Груз' ELSE 'Груз: ' || o_orderpriority END || chr(10) || 'Перевозчик' AS text")).select("source", "line", "role"), f"SELECT {_SOURCE}, 1::INT AS line, 'cargo' AS role FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 2, 'carrier' FROM orders")
+_add("udf05_kinds", lambda s, d: B.from_pages(C._waybills(s, d).select(F.col("source").alias("doc"), F.lit(1).alias("page"), "text"), "2024-06-01", kind="other").select("source").unionByName(_table(s, d, "region").select(F.col("r_name").alias("source"))), "SELECT r_name AS source FROM region")
+
+# --- smaller ones ------------------------------------------------------------------------------------------
+_over("val14_fix_ogrn", "customer", "('1027700132' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '5')", V.fix_ogrn, f"CASE WHEN len({{n}}) = 1 AND NOT {{own}} THEN {{n}}[1] END".replace("{n}", "list_distinct(list_filter(list_concat({subs}, {dels}), lambda x: {ok}))").replace("{own}", "false").replace("{subs}", C._subs).replace("{dels}", C._dels).replace("{ok}", "CASE WHEN length(x) = 13 THEN CAST(x[1:12] AS BIGINT) % 11 % 10 = CAST(x[13] AS INT) WHEN length(x) = 15 THEN CAST(x[1:14] AS BIGINT) % 13 % 10 = CAST(x[15] AS INT) ELSE false END"))
+_over("msc09_check_digit", "orders", "CAST(770000000 + o_orderkey AS STRING)", lambda c: V.check_digit(c, V.INN10), "CAST(list_sum(list_transform([2, 4, 10, 3, 5, 9, 4, 6, 8], lambda w, i: w * CAST(v[i] AS INT))) % 11 % 10 AS INT)")
+_on_words("wrd09_whole_text", lambda w: W.rebuild_text(w, 0), "SELECT page, string_agg(t, chr(10) ORDER BY block, par, line) AS text FROM (SELECT page, block, par, line, string_agg(word, ' ' ORDER BY word_num, word) AS t FROM w GROUP BY page, block, par, line) GROUP BY page")
+_add("wrd13_edit_distance", lambda s, d: _table(s, d, "part").select("p_partkey", F.levenshtein("p_name", F.lower("p_type")).alias("n")), "SELECT p_partkey, CAST(levenshtein(p_name, lower(p_type)) AS INT) AS n FROM part")
+_over("udf01_rules", "part", "(p_name || ' a.b ' || p_brand)", lambda c: R.apply_rules(c, [R.Rule("a.b", "dot", is_regex=False), R.Rule(r"(\w+)#(\d+)", r"\2-\1"), R.Rule("ring", "x", enabled=False)]), r"regexp_replace(replace(v, 'a.b', 'dot'), '(\w+)#(\d+)', '\2-\1', 'g')")
+_add("pst18_low_spans", lambda s, d: _table(s, d, "part").select("p_partkey", F.posexplode(R.split_low_words(F.concat("p_name", F.lit(" — "), F.lower("p_type")), F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("promo")))).alias("place", "x")).select("p_partkey", "place", "x.*"), """WITH s AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, substr(p_name, length(split_part(p_name, ' ', 1)) + 1) || ' — ' AS b, lower(p_type) AS c FROM part)
+    SELECT p_partkey, 0::INT AS place, a AS span, true AS low FROM s UNION ALL SELECT p_partkey, 1, CASE WHEN c IN ('promo', a) THEN b ELSE b || c END, false FROM s UNION ALL SELECT p_partkey, 2, c, true FROM s WHERE c IN ('promo', a)""")
+_add("pst19_clipboard_text", lambda s, d: files.export_text(_turns(s, d).withColumn("error", F.lit(None).cast("string"))), rf"SELECT doc, regexp_replace(string_agg('--- Page ' || page || ' ---' || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY page, text), '\s+$', '') || chr(10) AS text FROM ({_TURNS}) GROUP BY doc")
+_add("msc03_progress_percent", lambda s, d: S.progress(_table(s, d, "events").selectExpr("user_id AS job", "event_id AS seq", "CAST(floor(value) AS BIGINT) AS current", "CASE WHEN user_id % 2 = 0 THEN 0L ELSE 200L END AS total")), "SELECT user_id AS job, CASE WHEN user_id % 2 = 0 THEN 0.0 ELSE least(100.0, 100.0 * arg_max(floor(value), event_id) / 200) END::DOUBLE AS pct FROM events GROUP BY user_id")
+_add("str16_latest_progress", lambda s, d: S.latest(_table(s, d, "events").select("user_id", "event_id", F.struct(F.col("value").alias("current"), F.col("event_type").alias("stage")).alias("at")), "user_id", ["event_id"], "at").select("user_id", "at.*"), "SELECT user_id, arg_max(value, event_id) AS current, arg_max(event_type, event_id) AS stage FROM events GROUP BY user_id")
+_wishes = lambda s, d, wish: P.set_status(_table(s, d, "customer").selectExpr("c_custkey AS job", "CASE WHEN c_custkey % 2 = 0 THEN 'paused' ELSE 'running' END AS status"), _table(s, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS job", "1L AS seq", f"'{wish}' AS wish"))
+_add("msc18_resume", lambda s, d: _wishes(s, d, "resume"), "SELECT c_custkey AS job, CASE WHEN n_nationkey IS NOT NULL THEN 'pending' WHEN c_custkey % 2 = 0 THEN 'paused' ELSE 'running' END AS status FROM customer LEFT JOIN nation ON n_nationkey = c_custkey")
+_add("msc19_cancel", lambda s, d: _wishes(s, d, "cancel"), "SELECT c_custkey AS job, CASE WHEN n_nationkey IS NOT NULL THEN 'cancelled' WHEN c_custkey % 2 = 0 THEN 'paused' ELSE 'running' END AS status FROM customer LEFT JOIN nation ON n_nationkey = c_custkey")
+_add("msc07_confidence_colour", lambda s, d: _table(s, d, "part").select("p_partkey", P.confidence_colour(F.col("p_size") * 2).alias("colour")), "SELECT p_partkey, CASE WHEN p_size * 2 < 50 THEN 'red' WHEN p_size * 2 < 70 THEN 'yellow' ELSE 'green' END AS colour FROM part")
+_add("msc11_first_waybill", lambda s, d: A.expectations(_table(s, d, "orders").selectExpr("CAST(o_orderkey AS STRING) AS stem", """'{"documents": [{"type": "UPD", "number": "0"}, {"type": "TN", "number": "' || CAST(o_custkey AS STRING) || '"}, {"type": "TN", "number": "9"}]}' AS text""")).where("field = 'number'").select("stem", F.col("wanted")["value"].alias("number")), "SELECT CAST(o_orderkey AS VARCHAR) AS stem, CAST(o_custkey AS VARCHAR) AS number FROM orders")
+_add("msc05_rendered_pages", lambda s, d: layout.page_texts(_table(s, d, "nation").select(F.col("n_regionkey").alias("doc"), F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), F.lit(10.0).alias("x0"), (F.col("n_nationkey") * 12.0).alias("y0"), F.lit(90.0).alias("x1"), (F.col("n_nationkey") * 12.0 + 9).alias("y1"), F.col("n_name").alias("text"))).select("doc", "text"), "SELECT n_regionkey AS doc, string_agg(n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+
+
+def _stopped(s: SparkSession, d: str) -> DataFrame:
+    """A job that waits behind another is taken off; the one that runs goes on."""
+    jobs = S.Jobs(s, 1)
+    first = jobs.submit("first", lambda x: _table(x, d, "lineitem").count())
+    jobs.submit("second", lambda x: 0)
+    told = [("second", jobs.cancel("second")), ("first", first.result() > 0), ("first again", jobs.cancel("first"))]
+    return s.createDataFrame(told, "job string, told boolean")
+
+
+_add("str18_cancelled_job", _stopped, "SELECT * FROM (VALUES ('second', true), ('first', true), ('first again', false)) AS t(job, told)")
+
+
+def _dictionary(s: SparkSession, d: str) -> DataFrame:
+    none = files.dictionary(s, f"{S.shared_folder(s)}/none") is None and files.dictionary(s, None) is None
+    return files.dictionary(s, _text_files(s, d)).select("entry", F.lit(none).alias("none"))
+
+
+_add("src20_dictionary", _dictionary, "SELECT n_name AS entry, true AS none FROM nation")
+
+
+def _sheets(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{S.shared_folder(s)}/sheets"
+    rows = snapshots.sheet(_parsed(s, d)).withColumn("book", F.lit("all").cast("string")).withColumn("book", F.col("source").cast("long") % 7)
+    office.write_xlsx(rows, "book", ["source", "number", "date"], folder).count()
+    return office.read_workbooks(s, folder).where("row > 0").select(F.col("cells")[0].alias("source"), F.col("cells")[1].alias("number"), F.col("cells")[2].alias("date"))
+
+
+_add("snk06_sheets_of_rows", _sheets, f"SELECT {_SOURCE}, {_FORMULA['number']} AS number, {_FORMULA['date']} AS date FROM orders")
+
+
+def _sheets_of_pages(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{S.shared_folder(s)}/pages"
+    office.write_xlsx(_table(s, d, "nation").selectExpr("n_regionkey", "CAST(n_nationkey AS STRING) AS page", "n_name AS text"), "n_regionkey", ["page", "text"], folder).count()
+    return office.read_workbooks(s, folder).where("row > 0").select(F.regexp_extract("path", r"([^/]+)\.xlsx$", 1).alias("doc"), F.col("cells")[1].alias("text"))
+
+
+_add("snk04_sheets_of_pages", _sheets_of_pages, "SELECT CAST(n_regionkey AS VARCHAR) AS doc, n_name AS text FROM nation")
+_add("snk11_appended_corrections", _correction_log, C._SQL["src15_correction_log"])

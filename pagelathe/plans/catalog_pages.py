@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.operators import annotations as A
+from pagelathe.operators import decisions as D
 from pagelathe.operators import engines, layout
 from pagelathe.operators import images as I
 from pagelathe.operators import lookups as L
@@ -195,3 +196,55 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 
 _add("src23_listed_profiles", _stored, "SELECT * FROM (VALUES (0::INT, 'a', 'builtin', 'dark'), (1, 'b', 'own', 'dark'), (2, '0', 'own', 'dark')) AS t(pos, name, place, theme)")
 _add("udf07_typed_settings", lambda s, d: profiles.typed(_table(s, d, "part").selectExpr("p_partkey", "to_json(named_struct('psm', p_size, 'mode', p_type, 'x', 1)) AS json"), "json", {"psm": ("int", 3, None), "mode": ("string", "ECONOMY", ["ECONOMY", "PROMO"]), "dpi": ("int", 300, None)}), "SELECT p_partkey, p_size AS psm, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type ELSE 'ECONOMY' END AS mode, 300::INT AS dpi FROM part")
+
+
+# --- more of files and images ---------------------------------------------------------------------------------
+def _mixed_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of one page each; one that is empty, one that only has the ending, and a text."""
+    folder = f"{S.shared_folder(s)}/mixed"
+    pdf.write(_table(s, d, "region").selectExpr("r_name AS doc", "1 AS page", "r_name AS text"), folder).count()
+    for name, content in (("fake.PDF", b"plain"), ("empty.pdf", b""), ("a.txt", b"%PDF-")):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content)
+    return files.discover(s, [folder])
+
+
+_file_name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+_REAL = "SELECT replace(r_name, ' ', '_') || '.pdf' AS name, true AS is_pdf FROM region"
+_add("src02_pdf_files", lambda s, d: _mixed_files(s, d).where("is_pdf").select(_file_name), f"SELECT name FROM ({_REAL})")
+_add("src03_valid_paths", lambda s, d: _mixed_files(s, d).select(_file_name, (F.col("length") > 0).alias("filled")), f"SELECT name, true AS filled FROM ({_REAL}) UNION ALL SELECT 'fake.PDF', true")
+_add("src04_headers", lambda s, d: _mixed_files(s, d).select(_file_name, "is_pdf"), f"{_REAL} UNION ALL SELECT 'fake.PDF', false")
+
+
+def _scanned(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{S.shared_folder(s)}/scans"
+    pages = I.process(_images(s, d, "any"), []).select((F.col("path").cast("long") % 5).alias("doc"), F.col("path").cast("long").alias("page"), "height", "width", "data")
+    pdf.assemble(pages, folder).count()
+    return pdf.rasters(s, folder)
+
+
+_add("src11_rasters", lambda s, d: _scanned(s, d).select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("doc"), "page", "height", "width", F.hex("data").alias("data")), f"WITH {_px('any')} SELECT CAST(CAST(path AS BIGINT) % 5 AS VARCHAR) AS doc, CAST(row_number() OVER (PARTITION BY CAST(path AS BIGINT) % 5 ORDER BY CAST(path AS BIGINT)) AS INT) AS page, height, width, data FROM ({_shown('v')})")
+
+
+def _archived(s: SparkSession, d: str) -> DataFrame:
+    path = f"{S.shared_folder(s)}"
+    profiles.store(path, [])
+    profiles.archive(f"{path}/all.zip", {"recent": 10}, [{"name": r["r_name"]} for r in _table(s, d, "region").collect()])
+    settings, own = profiles.unarchived(f"{path}/all.zip")
+    return s.createDataFrame([(p["name"], p["schema_version"], settings["recent"]) for p in own], "name string, version int, recent int")
+
+
+_add("snk16_archive", _archived, "SELECT r_name AS name, 11::INT AS version, 10::INT AS recent FROM region")
+_image("img18_line_mask", "line", [("line_mask", {"horizontal": True, "least": 5})], "CASE WHEN y = 2 THEN 255 ELSE 0 END")
+_PX["cross"] = "CASE WHEN y = 2 OR x = 3 THEN 0 ELSE 255 END"
+_image("set04_lines_of_both_ways", "cross", [("lines", {"least": 5})], "255")
+_add("img10_detected_angle", lambda s, d: I.skews(_images(s, d, "cross"), 5), "SELECT CAST(p_partkey AS VARCHAR) AS path, 0.0::DOUBLE AS skew FROM part")
+_OSD = "CASE p_partkey % 3 WHEN 0 THEN 'Rotate: 180' || chr(10) || 'Orientation confidence: 4.5' WHEN 1 THEN 'Rotate: 180' || chr(10) || 'Orientation confidence: 0.5' ELSE '' END"
+_add("img13_upright", lambda s, d: I.upright(_images(s, d, "any"), _table(s, d, "part").selectExpr("CAST(p_partkey AS STRING) AS path", f"{_OSD} AS osd")).select("path", "height", "width", F.hex("data").alias("data")), f"WITH {_px('any')} {_shown('v', y='CASE WHEN id % 3 = 0 THEN -y ELSE y END', x='CASE WHEN id % 3 = 0 THEN -x ELSE x END')}")
+_add("img16_dominant_script", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(D.narrowed_languages(F.array(F.lit("rus"), F.lit("eng")), D.script_language(F.concat(F.lit("Script: "), F.when(F.col("p_partkey") % 2 == 0, "Latin").otherwise("Cyrillic"), F.lit("\nScript confidence: "), (F.col("p_size") % 4).cast("string")))), "+").alias("langs")), "SELECT p_partkey, CASE WHEN p_size % 4 < 2 THEN 'rus+eng' WHEN p_partkey % 2 = 0 THEN 'eng' ELSE 'rus' END AS langs FROM part")
+_over_part = lambda f: lambda s, d: _table(s, d, "part").select("p_partkey", f(F.col("p_size")).alias("k"))
+_add("val23_odd_kernels", _over_part(lambda c: D.scaled_kernel(c, F.lit(300))), "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN p_size + 1 ELSE p_size END AS INT) AS k FROM part")
+_add("udf03_engines", lambda s, d: s.createDataFrame([(k, engines.get(k).name, engines.get(k).available()[0]) for k in ("fixed", "echo")], "kind string, name string, ready boolean"), "SELECT * FROM (VALUES ('fixed', 'fixed', true), ('echo', 'echo', true)) AS t(kind, name, ready)")
+_add("udf04_engine_reads", lambda s, d: engines.recognise(_scans(s, d), engines.get("echo"), [{"input": "raw"}]).select("path", "page", "text", "confidence"), "SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(o_orderkey AS INT) AS page, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus || '-' || o_orderpriority END AS text, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE 90.0 END::DOUBLE AS confidence FROM orders")
+for _i, _n in enumerate(("msc20_first_retry", "msc21_second_retry", "msc22_last_retry")):
+    _add(_n, lambda s, d, i=_i: engines.recognise(_scans(s, d), engines.get("echo"), [{}] * (i + 1) + [engines.TIERS[i]]).select("path", "page", "text", "tier"), f"SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(o_orderkey AS INT) AS page, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus || '-' || o_orderpriority END AS text, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN {_i + 1} ELSE 0 END::INT AS tier FROM orders")

@@ -109,3 +109,16 @@ def human_bytes(size: Column) -> Column:
 def output_path(path: Column, suffix: str = "_ocr", extension: str | None = None) -> Column:
     """``<stem>_ocr<ext>`` beside the input."""
     return F.regexp_replace(path, r"(?s)^(.*?)(\.[^./]+)?$", f"$1{suffix}{extension}" if extension else f"$1{suffix}$2")
+
+
+def dictionary(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """(entry, pos) of a list of words, each once at its first place; None without a list."""
+    if path is None:
+        return None
+    try:
+        lines = spark.read.text(path).select(F.trim("value").alias("entry"), F.monotonically_increasing_id().alias("pos")).where("entry <> ''")
+    except Exception as e:  # noqa: BLE001  Spark names missing paths in several ways
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return lines.groupBy("entry").agg(F.min("pos").alias("pos"))

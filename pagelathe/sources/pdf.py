@@ -306,6 +306,47 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return in_pandas(docs, batch, "doc string, path string")
 
 
+def assemble(images: DataFrame, folder: str, dpi: int = 300) -> DataFrame:
+    """A file for each ``doc`` of (doc, page, height, width, data), grey bytes: (doc, path). A pixel is 72 / ``dpi`` points."""
+    os.makedirs(folder, exist_ok=True)
+    docs = images.groupBy(F.col("doc").cast("string").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("page", "height", "width", "data"))).alias("pages"))
+
+    def batch(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            paths = []
+            for doc, items in zip(f["doc"], f["pages"], strict=True):
+                path = os.path.join(folder, re.sub(r"[^\w.\-]", "_", doc) + ".pdf")
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as out:
+                    out.write(pdf([Page(x["width"] * 72 / dpi, x["height"] * 72 / dpi, image=(x["width"], x["height"], bytes(x["data"]))) for x in items]))
+                os.replace(part, path)
+                paths.append(path)
+            yield pd.DataFrame({"doc": f["doc"], "path": paths})
+
+    return in_pandas(docs, batch, "doc string, path string")
+
+
+def rasters(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, page, height, width, data) of pages that are one grey image, as scans are; others have null data."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(folder)
+
+    def batch(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    rows += [(path, i, p.image[1], p.image[0], p.image[2]) if p.image else (path, i, 0, 0, None) for i, p in enumerate(pages_of(content), 1)]
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "page", "height", "width", "data"])
+
+    return in_pandas(found.select("path", "content"), batch, "path string, page int, height int, width int, data binary")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(path, page, width, height, has_text, spans, error): a row a page; of a file that cannot be read one row, with the kind of error."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(folder)
