@@ -213,13 +213,13 @@ _TURNS = "SELECT conv_id AS doc, turn AS page, CASE WHEN role = 'user' THEN text
 _add("ocr04_documents_have_text", lambda s, d: D.documents_have_text(_turns(s, d)), f"SELECT doc, bool_or(trim(coalesce(text, '')) <> '') AS has_text FROM ({_TURNS}) GROUP BY doc")
 _add("ocr05_page_workers", lambda s, d: _table(s, d, "part").select("p_partkey", D.page_workers(F.col("p_size"), F.lit(16), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey") * 40)).alias("n")), "SELECT p_partkey, CAST(greatest(1, least(greatest(p_size, 1), 16, 10, coalesce(greatest(1, floor(CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 40 END / 500)), 10))) AS INT) AS n FROM part")
 _add("ocr06_narrowed_languages", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(D.narrowed_languages(F.array(F.lit("rus"), F.lit("eng")), F.when(F.col("p_size") < 20, "rus").when(F.col("p_size") < 30, "deu")), "+").alias("langs")), "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'rus' ELSE 'rus+eng' END AS langs FROM part")
-_params = F.create_map(F.lit("a_b"), F.col("p_name"), F.lit("1x"), F.lit("y"), F.lit("c"), F.when(F.col("p_size") < 20, F.lit("1\n2")).otherwise(F.col("p_brand")))
-_add("ocr08_config_lines", lambda s, d: _table(s, d, "part").select("p_partkey", D.config_lines(_params).alias("lines")), "SELECT p_partkey, 'a_b ' || p_name || chr(10) || CASE WHEN p_size < 20 THEN '' ELSE 'c ' || p_brand || chr(10) END AS lines FROM part")
-_add("ocr09_engine_options", lambda s, d: D.engine_options(_table(s, d, "part").select(F.col("p_name").alias("input"), F.col("p_brand").alias("output"), F.array(F.lit("rus"), F.lit("eng")).alias("languages"), F.lit(1).alias("oem"), F.col("p_size").alias("psm"), F.lit(0).alias("optimize"), F.lit(True).alias("skip_text"), F.lit(180).alias("timeout"), F.lit("").alias("whitelist"), F.lit("").alias("blacklist"), _params.alias("params"))).select("input", "output", "language", "psm", "timeout", "skip_text"), "SELECT p_name AS input, p_brand AS output, 'rus+eng' AS language, p_size AS psm, 180.0::DOUBLE AS timeout, true AS skip_text FROM part")
+_params = lambda: F.create_map(F.lit("a_b"), F.col("p_name"), F.lit("1x"), F.lit("y"), F.lit("c"), F.when(F.col("p_size") < 20, F.lit("1\n2")).otherwise(F.col("p_brand")))
+_add("ocr08_config_lines", lambda s, d: _table(s, d, "part").select("p_partkey", D.config_lines(_params()).alias("lines")), "SELECT p_partkey, 'a_b ' || p_name || chr(10) || CASE WHEN p_size < 20 THEN '' ELSE 'c ' || p_brand || chr(10) END AS lines FROM part")
+_add("ocr09_engine_options", lambda s, d: D.engine_options(_table(s, d, "part").select(F.col("p_name").alias("input"), F.col("p_brand").alias("output"), F.array(F.lit("rus"), F.lit("eng")).alias("languages"), F.lit(1).alias("oem"), F.col("p_size").alias("psm"), F.lit(0).alias("optimize"), F.lit(True).alias("skip_text"), F.lit(180).alias("timeout"), F.lit("").alias("whitelist"), F.lit("").alias("blacklist"), _params().alias("params"))).select("input", "output", "language", "psm", "timeout", "skip_text"), "SELECT p_name AS input, p_brand AS output, 'rus+eng' AS language, p_size AS psm, 180.0::DOUBLE AS timeout, true AS skip_text FROM part")
 _add("ocr10_bypassed_pages", lambda s, d: D.bypassed(_table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text")).select("doc", "page", "mean_conf"), r"SELECT conv_id AS doc, turn AS page, 100.0::DOUBLE AS mean_conf FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING bool_and(length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) >= 50 AND len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]{2,}')) >= 3))")
 _over("msc23_crop_config", "part", "(CASE WHEN p_partkey % 2 = 0 THEN '--oem 1 --psm ' || CAST(p_size AS STRING) ELSE '--oem 1' END || ' -l ' || p_name)", D.crop_config, "'--oem 1 -l ' || substr(v, strpos(v, ' -l ') + 4) || ' --psm 6'")
-_cached = F.array(F.struct(F.lit(None).cast("int").alias("page"), F.col("c_name").alias("text"), F.col("c_acctbal").alias("mean_conf"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("double").alias("skew"), F.lit(None).cast("string").alias("error")), F.struct(F.lit(7).alias("page"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("mean_conf"), F.lit(1.0).alias("seconds"), F.lit(None).cast("double").alias("skew"), F.lit("x").alias("error")))
-_add("msc24_cached_pages", lambda s, d: D.cached_pages(_table(s, d, "orders").selectExpr("o_orderkey AS job", "o_custkey AS key"), _table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), _cached.alias("pages"))), "WITH j AS (SELECT o_orderkey AS job, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 2 = 0) SELECT job, 1::INT AS page, c_name AS text, c_acctbal AS mean_conf, 0.0::DOUBLE AS seconds, 0.0::DOUBLE AS skew, NULL::VARCHAR AS error FROM j UNION ALL SELECT job, 7, '', 0.0, 1.0, 0.0, 'x' FROM j")
+_cached = lambda: F.array(F.struct(F.lit(None).cast("int").alias("page"), F.col("c_name").alias("text"), F.col("c_acctbal").alias("mean_conf"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("double").alias("skew"), F.lit(None).cast("string").alias("error")), F.struct(F.lit(7).alias("page"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("mean_conf"), F.lit(1.0).alias("seconds"), F.lit(None).cast("double").alias("skew"), F.lit("x").alias("error")))
+_add("msc24_cached_pages", lambda s, d: D.cached_pages(_table(s, d, "orders").selectExpr("o_orderkey AS job", "o_custkey AS key"), _table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), _cached().alias("pages"))), "WITH j AS (SELECT o_orderkey AS job, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 2 = 0) SELECT job, 1::INT AS page, c_name AS text, c_acctbal AS mean_conf, 0.0::DOUBLE AS seconds, 0.0::DOUBLE AS skew, NULL::VARCHAR AS error FROM j UNION ALL SELECT job, 7, '', 0.0, 1.0, 0.0, 'x' FROM j")
 _add("msc25_advice", lambda s, d: _table(s, d, "part").select("p_partkey", D.advice(F.col("p_size") * 2, F.lit(3), F.col("p_partkey") % 4).alias("out")), "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'error' WHEN p_size * 2 > 0 AND p_size * 2 < 60 THEN 'other profile' ELSE 'ok' END AS out FROM part")
 _add("agg22_percent", lambda s, d: _table(s, d, "part").select("p_partkey", D.percent(F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") / 40), F.when(F.col("p_partkey") % 3 == 1, F.array(F.lit(0.5), F.lit(0.25))).otherwise(F.array().cast("array<double>"))).alias("pct")), "SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN least(100, round_even(p_size / 40 * 100, 0)) WHEN 1 THEN 38 ELSE 0 END AS INT) AS pct FROM part")
 

@@ -34,16 +34,16 @@ def _pdfs(s: SparkSession, d: str) -> DataFrame:
     return pdf.read(s, folder)
 
 
-_name = F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("doc")
+_name = lambda: F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("doc")
 _NUMBERED = f"SELECT split_part(p_brand, '#', 2) AS doc, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS page, {_READ_TEXT} AS text FROM part"
 _TEXTS = f"SELECT doc, string_agg(text, chr(12) ORDER BY page) AS text FROM ({_NUMBERED}) GROUP BY doc"
-_add("src05_pages", lambda s, d: _pdfs(s, d).select(_name, "page", "has_text", "error"), f"SELECT doc, page, text <> '' AS has_text, NULL::VARCHAR AS error FROM ({_NUMBERED})")
-_add("src07_plain_readings", lambda s, d: _pdfs(s, d).select(_name, "page", pdf.plain(F.col("spans")).alias("text")), _NUMBERED)
-_add("src08_block_readings", lambda s, d: _pdfs(s, d).select(_name, "page", pdf.blocks(F.col("spans")).alias("text")), f"SELECT doc, page, replace(text, chr(10), chr(10) || chr(10)) AS text FROM ({_NUMBERED})")
+_add("src05_pages", lambda s, d: _pdfs(s, d).select(_name(), "page", "has_text", "error"), f"SELECT doc, page, text <> '' AS has_text, NULL::VARCHAR AS error FROM ({_NUMBERED})")
+_add("src07_plain_readings", lambda s, d: _pdfs(s, d).select(_name(), "page", pdf.plain(F.col("spans")).alias("text")), _NUMBERED)
+_add("src08_block_readings", lambda s, d: _pdfs(s, d).select(_name(), "page", pdf.blocks(F.col("spans")).alias("text")), f"SELECT doc, page, replace(text, chr(10), chr(10) || chr(10)) AS text FROM ({_NUMBERED})")
 _add("src09_layout_readings", lambda s, d: layout.page_texts(pdf.spans(_pdfs(s, d))).select(F.regexp_extract("doc", r"([^/]+)\.pdf$", 1).alias("doc"), "page", "text"), f"SELECT * FROM ({_NUMBERED}) WHERE text <> ''")
-_add("src06_best_of_three", lambda s, d: pdf.best_texts(_pdfs(s, d)).select(_name, "text"), _TEXTS)
-_add("src10_raw_texts", lambda s, d: pdf.raw_texts(_pdfs(s, d)).select(_name, F.length("text").alias("n")), rf"SELECT doc, length(regexp_replace(regexp_replace(text, '\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS n FROM ({_TEXTS})")
-_add("src12_sidecars", lambda s, d: pdf.with_sidecars(pdf.best_texts(_pdfs(s, d)), s.createDataFrame([("1", "beside")], "stem string, text string")).select(_name, "text"), f"SELECT doc, CASE WHEN doc = '1' THEN 'beside' ELSE text END AS text FROM ({_TEXTS})")
+_add("src06_best_of_three", lambda s, d: pdf.best_texts(_pdfs(s, d)).select(_name(), "text"), _TEXTS)
+_add("src10_raw_texts", lambda s, d: pdf.raw_texts(_pdfs(s, d)).select(_name(), F.length("text").alias("n")), rf"SELECT doc, length(regexp_replace(regexp_replace(text, '\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS n FROM ({_TEXTS})")
+_add("src12_sidecars", lambda s, d: pdf.with_sidecars(pdf.best_texts(_pdfs(s, d)), s.createDataFrame([("1", "beside")], "stem string, text string")).select(_name(), "text"), f"SELECT doc, CASE WHEN doc = '1' THEN 'beside' ELSE text END AS text FROM ({_TEXTS})")
 _add("lay01_spans", lambda s, d: pdf.spans(_pdfs(s, d)).select(F.regexp_extract("doc", r"([^/]+)\.pdf$", 1).alias("doc"), "page", F.round("x0").alias("x0"), F.round("y0").alias("y0"), "text"), f"SELECT doc, page, 40.0::DOUBLE AS x0, 40.0 + 14 * y AS y0, line AS text FROM (SELECT split_part(p_brand, '#', 2) AS doc, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS page, p_partkey, p_name, p_type, p_brand FROM part), LATERAL (VALUES (0, translate(p_name, 'aeop', 'аеор')), (1, p_type), (3, p_brand)) AS t(y, line) WHERE p_partkey % 7 > 0")
 
 
@@ -54,14 +54,14 @@ def _found(s: SparkSession, d: str) -> DataFrame:
     return files.discover(s, [folder])
 
 
-_add("src01_discover", lambda s, d: _found(s, d).select(_name, "is_pdf"), "SELECT DISTINCT split_part(p_brand, '#', 2) AS doc, true AS is_pdf FROM part")
+_add("src01_discover", lambda s, d: _found(s, d).select(_name(), "is_pdf"), "SELECT DISTINCT split_part(p_brand, '#', 2) AS doc, true AS is_pdf FROM part")
 
 
 def _copied(s: SparkSession, d: str) -> DataFrame:
     target = f"{S.shared_folder(s)}/copies"
     read = _pdfs(s, d).select("path").distinct()
     pdf.copy(read.select("path", F.concat(F.lit(target + "/"), F.regexp_extract("path", "[^/]+$", 0)).alias("target"))).count()
-    return pdf.best_texts(pdf.read(s, target)).select(_name, "text")
+    return pdf.best_texts(pdf.read(s, target)).select(_name(), "text")
 
 
 _add("snk05_copied_files", _copied, _TEXTS)
@@ -209,11 +209,11 @@ def _mixed_files(s: SparkSession, d: str) -> DataFrame:
     return files.discover(s, [folder])
 
 
-_file_name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+_file_name = lambda: F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
 _REAL = "SELECT replace(r_name, ' ', '_') || '.pdf' AS name, true AS is_pdf FROM region"
-_add("src02_pdf_files", lambda s, d: _mixed_files(s, d).where("is_pdf").select(_file_name), f"SELECT name FROM ({_REAL})")
-_add("src03_valid_paths", lambda s, d: _mixed_files(s, d).select(_file_name, (F.col("length") > 0).alias("filled")), f"SELECT name, true AS filled FROM ({_REAL}) UNION ALL SELECT 'fake.PDF', true")
-_add("src04_headers", lambda s, d: _mixed_files(s, d).select(_file_name, "is_pdf"), f"{_REAL} UNION ALL SELECT 'fake.PDF', false")
+_add("src02_pdf_files", lambda s, d: _mixed_files(s, d).where("is_pdf").select(_file_name()), f"SELECT name FROM ({_REAL})")
+_add("src03_valid_paths", lambda s, d: _mixed_files(s, d).select(_file_name(), (F.col("length") > 0).alias("filled")), f"SELECT name, true AS filled FROM ({_REAL}) UNION ALL SELECT 'fake.PDF', true")
+_add("src04_headers", lambda s, d: _mixed_files(s, d).select(_file_name(), "is_pdf"), f"{_REAL} UNION ALL SELECT 'fake.PDF', false")
 
 
 def _scanned(s: SparkSession, d: str) -> DataFrame:

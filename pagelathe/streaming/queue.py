@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -31,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return f"{(base or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = re.sub(r"^file:/+", "/", base or tempfile.gettempdir())
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, key: str, mode: str = "update") -> DataFrame:

@@ -32,3 +32,9 @@ def test_workers_need_no_path(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600, check=False)
     assert done.returncode == 0, done.stderr[-3000:]
     assert len(done.stdout.split()) >= 6
+
+
+def test_queries_are_listed_without_a_session():
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as e; print(len(e.queries()) > 250, set(e.oracle_sql()) <= set(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=False)
+    assert done.stdout.split() == ["True", "True"], done.stderr[-2000:]
