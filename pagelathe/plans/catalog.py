@@ -60,7 +60,7 @@ _MIX = f"(CASE p_partkey % 7 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN
 def _over(name: str, table: str, value: str, f, sql: str) -> None:
     """A function of a string ``v`` that both engines make of ``table``'s columns, as a column ``out``."""
     key = _KEY[table]
-    _add(name, lambda s, d: _table(s, d, table).selectExpr(key, f"{value} AS v").select(key, f(F.col("v")).alias("out")), f"SELECT {key}, {sql} AS out FROM (SELECT {key}, {value} AS v FROM {table})")
+    _add(name, lambda s, d: _table(s, d, table).selectExpr(key, f"{value} AS v").select(key, f(F.col("v")).alias("out")), f"SELECT {key}, {sql} AS out FROM (SELECT *, {value} AS v FROM {table})")
 
 
 # --- text ---------------------------------------------------------------------------------

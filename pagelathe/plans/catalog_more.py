@@ -352,3 +352,20 @@ def _sheets_of_pages(s: SparkSession, d: str) -> DataFrame:
 
 _add("snk04_sheets_of_pages", _sheets_of_pages, "SELECT CAST(n_regionkey AS VARCHAR) AS doc, n_name AS text FROM nation")
 _add("snk11_appended_corrections", _correction_log, C._SQL["src15_correction_log"])
+
+
+# --- repairs that look around: over strings whose repair follows from how they are made --------------------------
+_RUN = "substr('aceopxyABCEHKMOPTX', CAST(1 + o_orderkey % 16 AS INT), 3)"
+_ALIKE = lambda e: f"translate({e}, '{R.LATIN}', '{R.CYRILLIC}')"
+_over("nrm02_confusable_runs", "orders", f"('гр' || {_RUN} || ' ' || {_RUN} || ' ' || {_RUN} || 'р ' || {_RUN} || CAST(o_custkey AS STRING))", R.fix_confusables, f"'гр' || {_ALIKE(_RUN)} || ' ' || {_RUN} || ' ' || substr({_RUN}, 1, 2) || {_ALIKE(f'substr({_RUN}, 3, 1)')} || 'р ' || {_RUN} || CAST(o_custkey AS VARCHAR)")
+_BROKEN = f"(' ' || {_RUN} || 'д-' || chr(10) || 'ом' || chr(10) || chr(10) || 'к' || {_RUN} || '  ' || CAST(o_custkey AS STRING) || ' ')"
+_MENDED = f"substr({_RUN}, 1, 2) || {_ALIKE(f'substr({_RUN}, 3, 1)')} || 'дом'"
+_over("nrm06_normalized_cyrillic", "orders", _BROKEN, R.normalize_cyrillic, f"{_MENDED} || chr(10) || 'к' || {_ALIKE(_RUN)} || ' ' || CAST(o_custkey AS VARCHAR)")
+_over("nrm07_collapsed", "orders", _BROKEN, R.collapse, f"{_MENDED} || ' к' || {_ALIKE(_RUN)} || ' ' || CAST(o_custkey AS VARCHAR)")
+_pick = lambda signs, n: f"substr('{signs}', CAST(1 + o_orderkey % {n} AS INT), 1)"
+_D1, _D2 = "CAST(o_orderkey % 10 AS STRING)", "CAST(o_custkey % 10 AS STRING)"
+_over("pst06_russian_repairs", "orders", f"('к' || {_pick('034681', 6)} || 'т ' || {_D1} || {_pick('ОЗЧВI', 5)} || {_D2} || ' ма' || {_pick('HBCPTMAEKXO', 11)} || 'а 0 З кb')", R.autocorrect_russian, f"'к' || {_pick('озчбвл', 6)} || 'т ' || {_D1} || {_pick('03481', 5)} || {_D2} || ' ма' || {_pick('НВСРТМАЕКХО', 11)} || 'а 0 З кь'")
+_over("pst07_english_repairs", "orders", f"('c' || {_pick('015', 3)} || 'd ' || {_D1} || {_pick('OIS', 3)} || {_D2} || ' ba' || CASE o_orderkey % 3 WHEN 0 THEN 'rn' WHEN 1 THEN 'cl' ELSE 'vv' END || 'e vvide 0 O RN')", R.autocorrect_english, f"'c' || {_pick('ols', 3)} || 'd ' || {_D1} || {_pick('015', 3)} || {_D2} || ' ba' || CASE o_orderkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'd' ELSE 'w' END || 'e wide 0 O RN'")
+_over("pst14_entities_in_text", "orders", "('дата ' || CAST(1 + o_orderkey % 28 AS STRING) || '.' || CAST(1 + o_custkey % 12 AS STRING) || '.24, сумма ' || CAST(1 + o_orderkey % 900 AS STRING) || ' 234,5 руб и тел. 8 (495) 725-8O-' || lpad(CAST(o_custkey % 100 AS STRING), 2, '0'))", R.canonical_entities, "'дата ' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') || '.' || lpad(CAST(1 + o_custkey % 12 AS VARCHAR), 2, '0') || '.2024, сумма ' || CAST(1 + o_orderkey % 900 AS VARCHAR) || ' 234,50 и тел. +7 (495) 725-80-' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0')")
+_LONE = f"(CASE p_partkey % 4 WHEN 0 THEN {C._CYRILLIC.format('split_part(p_name, chr(32), 1)')} WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN 'дж' || substr(p_name, 1, 2) ELSE p_type END)"
+_over("pst09_unified_words", "part", _LONE, R.unify_scripts, f"CASE WHEN NOT regexp_matches(v, '[{R.CYRILLIC}{R.ONLY_CYRILLIC}]') THEN v ELSE CASE coalesce(nullif({C._kind.replace('X', 'v')}, 'mixed'), {C._major.replace('X', 'v')}) WHEN 'cyr' THEN translate(v, '{R.LATIN}', '{R.CYRILLIC}') WHEN 'lat' THEN translate(v, '{R.CYRILLIC}', '{R.LATIN}') ELSE v END END")
