@@ -188,7 +188,7 @@ _add("jn09_aligned_pages", lambda s, d: _sized(s, d).select("doc", "page", "n_wo
 _add("wrd11_scales", lambda s, d: positions.page_boxes(_pages(s, d).selectExpr("doc", "page", "10D AS x0", "20D AS y0", "110D AS x1", "60D AS y1"), _sized(s, d)), f"SELECT doc, page, 10 * 500 / (1000 + page) AS x0, 8.0::DOUBLE AS y0, 110 * 500 / (1000 + page) AS x1, 24.0::DOUBLE AS y1 FROM ({_PAGES})")
 _add("jn12_input_order", lambda s, d: positions.in_order(_table(s, d, "orders").select("o_custkey", "o_orderkey"), _table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (-F.col("c_custkey")).alias("pos")), "o_custkey"), "SELECT o_custkey, -c_custkey AS pos, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey")
 _add("snk14_points", lambda s, d: _table(s, d, "part").select("p_partkey", positions.points(F.col("p_size"), F.lit(300)).alias("pt")), "SELECT p_partkey, p_size * 72.0 / 300 AS pt FROM part")
-_add("snk15_redactions_in_points", lambda s, d: positions.page_boxes(W.redactions(C._words(s, d), 60, 1.0).selectExpr("1 AS doc", "page", "x0", "y0", "x1", "y1", "kind"), _table(s, d, "orders").selectExpr("1 AS doc", "o_orderkey AS page", "0.5D AS scale_x", "0.25D AS scale_y")).where("kind = 'word'").drop("doc"), f"WITH w AS ({C._WORDS}) SELECT page, \"left\" * 0.5 AS x0, \"top\" * 0.25 AS y0, (\"left\" + width) * 0.5 AS x1, (\"top\" + height) * 0.25 AS y1, 'word' AS kind FROM w JOIN orders ON page = o_orderkey WHERE conf < 60")
+_add("snk15_redactions_in_points", lambda s, d: positions.page_boxes(W.redactions(C._words(s, d), 60, 1.0).selectExpr("1 AS doc", "page", "x0", "y0", "x1", "y1", "kind"), _table(s, d, "orders").selectExpr("1 AS doc", "o_orderkey AS page", "0.5D AS scale_x", "0.25D AS scale_y")).where("kind = 'word'").drop("doc"), f"WITH w AS ({C._WORDS}) SELECT page, \"left\" * 0.5::DOUBLE AS x0, \"top\" * 0.25::DOUBLE AS y0, (\"left\" + width) * 0.5::DOUBLE AS x1, (\"top\" + height) * 0.25::DOUBLE AS y1, 'word' AS kind FROM w JOIN orders ON page = o_orderkey WHERE conf < 60")
 
 # --- word table ---------------------------------------------------------------------------------------
 _on_words("agg19_block_confidence", W.block_confidence, "SELECT page, block, avg(conf) AS mean_conf, count(*) AS n_words FROM w GROUP BY page, block")

@@ -44,7 +44,7 @@ _add("src09_layout_readings", lambda s, d: layout.page_texts(pdf.spans(_pdfs(s,
 _add("src06_best_of_three", lambda s, d: pdf.best_texts(_pdfs(s, d)).select(_name(), "text"), _TEXTS)
 _add("src10_raw_texts", lambda s, d: pdf.raw_texts(_pdfs(s, d)).select(_name(), F.length("text").alias("n")), rf"SELECT doc, length(regexp_replace(regexp_replace(text, '\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS n FROM ({_TEXTS})")
 _add("src12_sidecars", lambda s, d: pdf.with_sidecars(pdf.best_texts(_pdfs(s, d)), s.createDataFrame([("1", "beside")], "stem string, text string")).select(_name(), "text"), f"SELECT doc, CASE WHEN doc = '1' THEN 'beside' ELSE text END AS text FROM ({_TEXTS})")
-_add("lay01_spans", lambda s, d: pdf.spans(_pdfs(s, d)).select(F.regexp_extract("doc", r"([^/]+)\.pdf$", 1).alias("doc"), "page", F.round("x0").alias("x0"), F.round("y0").alias("y0"), "text"), f"SELECT doc, page, 40.0::DOUBLE AS x0, 40.0 + 14 * y AS y0, line AS text FROM (SELECT split_part(p_brand, '#', 2) AS doc, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS page, p_partkey, p_name, p_type, p_brand FROM part), LATERAL (VALUES (0, translate(p_name, 'aeop', 'аеор')), (1, p_type), (3, p_brand)) AS t(y, line) WHERE p_partkey % 7 > 0")
+_add("lay01_spans", lambda s, d: pdf.spans(_pdfs(s, d)).select(F.regexp_extract("doc", r"([^/]+)\.pdf$", 1).alias("doc"), "page", F.round("x0").alias("x0"), F.round("y0").alias("y0"), "text"), f"SELECT doc, page, 40.0::DOUBLE AS x0, (40 + 14 * y)::DOUBLE AS y0, line AS text FROM (SELECT split_part(p_brand, '#', 2) AS doc, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS page, p_partkey, p_name, p_type, p_brand FROM part), LATERAL (VALUES (0, translate(p_name, 'aeop', 'аеор')), (1, p_type), (3, p_brand)) AS t(y, line) WHERE p_partkey % 7 > 0")
 
 
 def _found(s: SparkSession, d: str) -> DataFrame:
