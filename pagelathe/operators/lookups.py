@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from pagelathe.functions import validators as V
 from pagelathe.operators.forms import FORM_DATES
@@ -130,7 +131,9 @@ def evict(entries: DataFrame, max_bytes: int) -> DataFrame:
     Sizes are added up by day first. Days that fit, and days beyond, need no order within; only the day in which
     the bytes run out is ordered entry by entry.
     """
-    day = F.coalesce(F.to_date("mtime"), F.lit("0001-01-01").cast("date"))
+    # times as seconds or as timestamps
+    seconds = isinstance(entries.schema["mtime"].dataType, NumericType)
+    day = F.coalesce(F.floor(F.col("mtime") / 86_400), F.lit(-(1 << 62))) if seconds else F.coalesce(F.to_date("mtime"), F.lit("0001-01-01").cast("date"))
     dated = entries.withColumn("__day", day)
     days = dated.groupBy("bucket", "__day").agg(F.sum("size").alias("__own"))
     newest = Window.partitionBy("bucket").orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, 0)
