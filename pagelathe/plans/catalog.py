@@ -336,7 +336,9 @@ _WAYBILL = f"""('Транспортная накладная' || chr(10) || 'Э
 
 
 def _waybills(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "orders").selectExpr("o_orderkey AS source", f"{_WAYBILL} AS text")
+    # rows of some 50 bytes become texts of a kilobyte that are parsed in Python: one file's few blocks are spread first
+    orders = _table(s, d, "orders").repartition(s.sparkContext.defaultParallelism)
+    return orders.selectExpr("o_orderkey AS source", f"{_WAYBILL} AS text")
 
 
 def _field(name: str, fields: list[str], sql: dict[str, str]) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql.types import StringType
 from pagelathe.functions import repair as R
 from pagelathe.functions import text as T
 from pagelathe.operators import lookups as L
-from pagelathe.shipping import ship
+from pagelathe.shipping import in_arrow, ship
 
 
 @dataclass(frozen=True)
@@ -52,32 +53,59 @@ def limited_rules(c: Column, rules: tuple[R.Rule, ...], seconds: float = 1.0) ->
 
     Java's patterns have no limit of time, so rules of users run in Python's ``regex`` module, behind Arrow.
     """
-    live = [r for r in rules if r.enabled and r.pattern]
+    live = _live(rules)
     if not live:
         return c
 
     def applied(texts):  # noqa: ANN001, ANN202
-        import regex
+        one = _applier(live, seconds)
+        return texts.map(one)
+
+    return F.pandas_udf(applied, StringType())(c)
+
+
+def _live(rules: tuple[R.Rule, ...]) -> list[R.Rule]:
+    return [r for r in rules if r.enabled and r.pattern]
+
+
+def _applier(rules: list[R.Rule], seconds: float) -> Callable[[object], object]:
+    """Rules that compile, one after the other, each within its time."""
+    import regex
 
-        compiled = []
-        for r in live:
-            body, to = (r.pattern, r.replacement) if r.is_regex else (regex.escape(r.pattern), r.replacement.replace("\\", "\\\\"))
+    compiled = []
+    for r in rules:
+        body, to = (r.pattern, r.replacement) if r.is_regex else (regex.escape(r.pattern), r.replacement.replace("\\", "\\\\"))
+        try:
+            compiled.append((regex.compile(body, 0 if r.case_sensitive else regex.IGNORECASE), to))
+        except regex.error:
+            continue
+
+    def one(t: object) -> object:
+        for pattern, to in compiled if isinstance(t, str) else []:
             try:
-                compiled.append((regex.compile(body, 0 if r.case_sensitive else regex.IGNORECASE), to))
-            except regex.error:
+                t = pattern.sub(to, t, timeout=seconds)
+            except (TimeoutError, regex.error, IndexError):
                 continue
+        return t
 
-        def one(t):  # noqa: ANN001, ANN202
-            for pattern, to in compiled if isinstance(t, str) else []:
-                try:
-                    t = pattern.sub(to, t, timeout=seconds)
-                except (TimeoutError, regex.error, IndexError):
-                    continue
-            return t
+    return one
 
-        return texts.map(one)
 
-    return F.pandas_udf(applied, StringType())(c)
+def _ruled(docs: DataFrame, column: str, rules: tuple[R.Rule, ...], seconds: float) -> DataFrame:
+    """``docs`` with ``limited_rules`` of a column, as a step of its own: as one expression among others it would be worked out again and again."""
+    live, names, at = _live(rules), docs.columns, docs.columns.index(column)
+    if not live:
+        return docs
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        one = _applier(live, seconds)
+        for b in batches:
+            columns = [pa.array([one(t) for t in c.to_pylist()], pa.string()) if i == at else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return in_arrow(docs.toDF(*[f"c{i}" for i in range(len(names))]), rows, docs.schema)
 
 
 def broken_rules(rules: list[R.Rule]) -> dict[str, str]:
@@ -109,12 +137,12 @@ def process(docs: DataFrame, settings: Settings = Settings(), column: str = "tex
         (settings.look_alikes, R.unify_scripts),
         (settings.russian, R.autocorrect_russian),
         (settings.english, R.autocorrect_english),
-        (bool(settings.rules), lambda c: limited_rules(c, settings.rules, settings.rule_seconds)),
     ]
     out = docs
     for on, step in steps:
         if on:
             out = out.withColumn(column, F.when(F.coalesce(F.col(column), F.lit("")) == "", F.col(column)).otherwise(step(F.col(column))))
+    out = _ruled(out, column, settings.rules, settings.rule_seconds)
     if settings.identifiers and catalog is not None:
         out = L.fix_identifiers(out, catalog, key, column)
     return out.withColumn(column, R.canonical_entities(F.col(column))) if settings.entities else out
