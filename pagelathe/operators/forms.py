@@ -56,3 +56,25 @@ DASH = r":\-–—‐-―−"
 _G = f"[{PLATE_CYRILLIC}{PLATE_LATIN}]"
 PLATE = re.compile(rf"(?:{_G}\d{{3}}{_G}{{2}}\s?\d{{2,3}}|{_G}{{2}}\d{{4}}\s?\d{{2,3}})(?!\d)")
 CONTENT = re.compile(r"[А-Яа-яЁёA-Za-z]{4,}|\d{2}\.\d{2}\.\d{4}|\d{5,}")
+
+# --- fixed values: what spoils a token, and notes of the form inside a line -----------------
+QUOTES = "\"'`‘’‚‛“”„‟"
+FRAME = " \t\r\n.,;:!?\"'«»()[]{}|\\/=_~^`<>*#$%+‐‑‒–—―‘’“”"
+SPOILS_RAW = re.compile(rf"[А-ЯЁа-яёA-Za-z0-9][{QUOTES}]+[А-ЯЁа-яёA-Za-z]|[0-9][\"'`‘’]+$")
+SPOILS_CORE = re.compile(rf"[іїєґІЇЄҐàáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝŸÑÇ]|[А-ЯЁа-яёA-Za-z0-9][{QUOTES[:-2]}]+$")
+PARTICULARS = re.compile(r"\s*\([^)]*реквизиты[^)]*\)\s*$", I)
+CUSTOMER, CUSTOMER_FORM = re.compile(r"заказчик\s+услуг", I), re.compile(r"\b(?:ООО|АО|ЗАО|ПАО|ИП|ПБОЮЛ)\b", I)
+# --- fixed values: misread titles, what a number sign may belong to, labels -----------------
+MISREAD_TITLES = {"consignee": r"груз[ово]{0,2}(?:получ|пелуч|палуч|опуч)", "shipper": r"груз[ов]{0,2}(?:отправ|тправ|втир|стправ|тир|тпр)"}
+#: Number signs of other things: by what stands before them, within so many signs, on the same line or not.
+OTHER_NUMBERS = (
+    (20, True, re.compile(r"экземпляр|экз\.")),
+    (10_000, True, re.compile(r"приложение|прил\.|постановлен|договор|к правилам")),
+    (300, False, re.compile(r"постановлен|в ред\.|к правилам|правительств(?=[\s\S]*рф)|рф(?=[\s\S]*правительств)")),
+    (300, False, re.compile(r"приложени(?=[\s\S]*(?:1137|2116|2200|534))|(?:1137|2116|2200|534)(?=[\s\S]*приложени)")),
+)
+NO_NUMBER = re.compile(r"транспортн|заказ|дата|экземпляр|№|no|приложение|.*накладн", I)
+LOST_LABEL, TAIL_CRUMB = re.compile(r",\s*[И]н{1,2}\.?\s*,?\s*(?=\d{10,12}\b)", I), re.compile(r",\s*[А-Яа-яЁёA-Za-z]{1,3}\.?\s*$")
+NAME_STEM = re.compile(r"мен[оае]ван\w*", I)
+CARRIER_WORD, RECEPTION_WORD, HEADER_WORDS = r"п[ес][рст]евоз\w{0,5}", r"при[ёе]м\s+груз\w*", r"транспортн(?:ая|ой)\s+накладн(?:ая|ой)"
+PLATE_LABELS = (r"гос\.?\s*номер", r"рег\.?\s*знак", r"государственн\w*\s+регистрационн\w*\s+номер")
