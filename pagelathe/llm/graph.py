@@ -23,6 +23,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and without the constraints that Spark infers of its plan: over the unions of a loop's turns they multiply until planning does not end."""
+    spark, done = df.sparkSession, checkpointed(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
 def quoted(name: str) -> str:
     """A column's name for ``col``, whatever signs it has."""
     return "`" + name.replace("`", "``") + "`"

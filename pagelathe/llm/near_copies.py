@@ -1,11 +1,14 @@
-"""Near copies by word shingles: MinHash bands propose pairs, exact Jaccard similarity decides.
-
-Documents with one set of shingles are one node. 40 bands of 6 MinHash values put nodes in
-buckets: a pair of similarity 0.8 shares none with a chance of (1 - 0.8^6)^40 = 5e-6, a closer pair
-with less, and shares ten of them on average. In each bucket every member meets HEADS members, the
-first in as many random orders; what is proposed is verified on the whole sets. Two members of a bucket of two
-always meet. In a larger one two that do not meet are joined if a head is near both, or in another
-of their buckets, where the heads are others. So pairs are linear in the members, however large a bucket is.
+"""Near copies by word shingles: SimHash with covering LSH, then MinHash bands, propose pairs; exact Jaccard similarity decides.
+
+Documents with one set of shingles are one node. The tables of ``simhash`` put nodes in buckets
+by the SimHash of their set, so that no pair within two bits is missed. A pair of similarity 0.8 is 9.7 bits apart on
+average; for those beyond two bits 40 bands of 6 MinHash values follow, of which a pair of similarity 0.8 shares
+none with a chance of (1 - 0.8^6)^40 = 5e-6, a closer pair with less.
+
+In each bucket all members meet one of them, near ones become one component, and that member is
+done with the bucket. A bucket whose members are one component needs no more pairs, so a group of near copies costs a few
+pairs a member, however large it is. Once the pairs between components are few, or after ROUNDS such
+rounds, all that are left are compared: each pair of a bucket has been compared or is in one component.
 """
 
 from __future__ import annotations
@@ -19,14 +22,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
-from pagelathe.llm.graph import by_count, checkpointed, components, quoted
+from pagelathe.llm import simhash
+from pagelathe.llm.graph import by_count, checkpointed, components, quoted, settled
 from pagelathe.shipping import in_arrow
 
-SHINGLE, BANDS, ROWS, HEADS = 5, 40, 6, 4
+SHINGLE, BANDS, ROWS = 5, 40, 6
 #: The similarity is 8/10; whole numbers decide.
 NEAR, OF = 8, 10
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; beyond, texts move.
 BROADCAST_ROWS = 100_000
+#: Pairs between components are compared at once when they are at most so many a member, or after so many rounds.
+FEW, ROUNDS = 8, 2
+#: A set or bucket that more pairs or members need is sent to one more task for each so many.
+SPLIT = 200
+#: Words of a set's parity map: each shingle flips one of 64 * WORDS bits.
+WORDS = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,6 +64,11 @@ def _nodes(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
 
 
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Lists of ``counts`` numbers each, as signed ones."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.ravel().view(np.int64)))
+
+
 def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One key for each band of each text that has a shingle."""
     at = first[:-1][np.diff(first) > 0]
@@ -66,16 +81,27 @@ def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_maps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """WORDS words for each text that has a shingle; two sets' maps differ in no more bits than the sets in shingles."""
+    at = first[:-1][np.diff(first) > 0]
+    out = np.empty((len(at), WORDS), np.uint64)
+    word, bit = h >> np.uint64(32) & np.uint64(WORDS - 1), np.uint64(1) << (h >> np.uint64(58))
+    for w in range(WORDS if len(at) else 0):
+        out[:, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at)
+    return out
+
+
 def _bag_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for i, j, buf, off in T.text_blocks(batch.column(2)):
-            h, first = shingles_of(buf, off)
-            sets = _sets(h, first)
-            keys = band_keys(h, first)
-            ends = np.concatenate(([0], np.cumsum(np.diff(first) > 0))) * BANDS
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            cols = [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(_nodes(sets)), pa.array([len(s) for s in sets], pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "keys"])
+            sets = _sets(*shingles_of(buf, off))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            h, first = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+            # a set's every shingle counts once, so that a repeated one does not make unlike texts one fingerprint
+            tables = simhash.covering_keys(simhash.majority(h, first)[sizes > 0])
+            keys = [_lists(k, (sizes > 0) * k.shape[1]) for k in (tables, band_keys(h, first), parity_maps(h, first))]
+            cols = [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(_nodes(sets)), pa.array(sizes), *keys]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "tables", "bands", "bits"])
 
 
 def _node_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,43 +114,88 @@ def _set_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for i, j, buf, off in T.text_blocks(batch.column(1)):
             sets = _sets(*shingles_of(buf, off))
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            lists = _lists(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["node", "shingles"])
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    """Sets of other sizes cannot be similar enough."""
-    return OF * F.least(a, b) >= NEAR * F.greatest(a, b)
+def _may_be_near(size_a: str, bits_a: str, size_b: str, bits_b: str) -> Column:
+    """False where sizes or parity maps rule out that sets are similar enough: they differ in at most (OF - NEAR) / (OF + NEAR) of their sizes' sum."""
+    apart = sum((F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i])) for i in range(WORDS)), F.lit(0))
+    fits = OF * F.least(size_a, size_b) >= NEAR * F.greatest(size_a, size_b)
+    return fits & ((OF + NEAR) * apart <= (OF - NEAR) * (F.col(size_a) + F.col(size_b)))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.where("a <> b").where(_sizes_fit("size_a", "size_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _parts(n: str = "n") -> Column:
+    return F.floor(F.col(n) / SPLIT).cast("int") + 1
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with the set of their ``end``; the pairs of one node are dealt to as many tasks as they fill."""
+    counts = checkpointed(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
+    dealt = by_count(pairs, counts, end).withColumn("part", F.pmod(F.xxhash64("a", "b"), _parts()).cast("int")).drop("n")
+    copies = sets.toDF(end, f"of_{end}").join(counts, end).withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
+    return dealt.join(copies, [end, "part"]).drop("part")
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose sets' Jaccard similarity is high enough."""
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(OF * common >= NEAR * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): verified links between near nodes of ``nodes`` (node, size, keys)."""
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+def _members(nodes: DataFrame, keys: str) -> DataFrame:
+    """(key, node, size, bits) of the buckets that more than one node is in."""
+    keyed = nodes.select("node", "size", "bits", F.explode(keys).alias("key"))
     shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = checkpointed(by_count(keyed, shared, "key"))
-    orders = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)).alias("r"), F.col("node").alias("a"), F.col("size").alias("size_a"))) for i in range(HEADS)]
-    heads = members.groupBy("key").agg(F.first("n").alias("n"), F.array_distinct(F.array(*orders)).alias("heads"))
-    met = by_count(members.drop("n"), checkpointed(heads), "key").select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.explode("heads").alias("h"))
-    pairs = checkpointed(_pairs(met.select("h.a", "h.size_a", "b", "size_b")))
+    return checkpointed(by_count(keyed, shared, "key").drop("n"))
+
+
+def _left(open_: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket that are of two components and of sizes that fit.
 
-    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    What is outside a bucket's largest component meets all, so no more than twice the pairs are looked at.
+    """
+    others = open_.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).where("component <> top.component")
+    others = others.select("key", "part", F.col("node").alias("o"), F.col("size").alias("size_o"), F.col("bits").alias("bits_o"), F.col("component").alias("of_o"))
+    all_ = open_.withColumn("part", F.pmod(F.xxhash64("node"), _parts()).cast("int"))
+    met = others.join(all_, ["key", "part"]).where("of_o <> component").where(_may_be_near("size_o", "bits_o", "size", "bits"))
+    return met.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
+
+
+def search(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` and more near pairs (a, b), which join what all near pairs within the buckets of ``members`` join."""
+    for turn in range(ROUNDS + 1):
+        placed = members.join(components(found), "node", "left").select("key", "node", "size", "bits", F.coalesce("component", "node").alias("component"))
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "size", "bits", F.col("component").alias("of"))
+        tally = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head"))
+        facts = tally.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "component")).alias("top"), F.min("head").alias("head"))
+        facts = checkpointed(facts.where("n > top.n"))
+        pairs, rows = facts.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        if not rows:
+            return found
+        open_ = checkpointed(by_count(placed, facts.drop("same"), "key"))
+        if pairs <= FEW * rows or turn == ROUNDS:
+            return settled(found.unionByName(_near(checkpointed(_left(open_)), sets)))
+        # the order is of all buckets alike, so that the buckets of one group have few heads between them
+        met = open_.where("component <> head.of").where(_may_be_near("size", "bits", "head.size", "head.bits")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+        found = settled(found.unionByName(_near(checkpointed(met), sets)))
+        members = settled(open_.where("node <> head.node").select("key", "node", "size", "bits"))
+    return found
+
+
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): verified links between near nodes of ``nodes`` (node, size, tables, bands, bits), which join what all near pairs that share a bucket join."""
+    buckets = [_members(nodes, keys) for keys in ("tables", "bands")]
+    wanted = checkpointed(buckets[0].select("node").unionByName(buckets[1].select("node")).distinct())
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = in_arrow(docs.select(F.col("text").cast("string")), _node_rows, "node long, text string")
     texts = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = checkpointed(in_arrow(texts, _set_rows, "node long, shingles array<long>"))
-    return _near(pairs, sets)
+    found = nodes.sparkSession.createDataFrame([], "a long, b long")
+    for members in buckets:
+        found = search(members, sets, found)
+    return found
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -139,8 +210,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     mark = next(n for n in (f"mark{i}" for i in range(len(names) + 1)) if n not in names)
     docs = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col(mark).alias("mark"), F.col("text").cast("string"))
-    bags = checkpointed(in_arrow(rows, _bag_rows, "doc_id long, mark long, node long, size long, keys array<long>"))
-    nodes = bags.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    bags = checkpointed(in_arrow(rows, _bag_rows, "doc_id long, mark long, node long, size long, tables array<long>, bands array<long>, bits array<long>"))
+    nodes = bags.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "tables", "bands", "bits")])
     part = components(links(docs, nodes))
     # the few nodes that links touch name their component; every other node is its own
     few = part.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

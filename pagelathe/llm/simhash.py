@@ -54,6 +54,12 @@ def _bit_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return counts
 
 
+def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text the bits that over half of its hashes have set."""
+    bits = 2 * _bit_counts(h, first) > np.diff(first)[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64, copy=False)
+
+
 def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = 3) -> np.ndarray:
     """The SimHash of each text of a block, as signed 64-bit numbers."""
     buf = _LOWER[buf]
@@ -66,9 +72,7 @@ def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = 3) -> np.nd
     lead = T.ranges(first[:-1], m)
     last = lead + np.repeat(np.minimum(shingle, np.maximum(n, 1)) - 1, m)
     h = T.xxh64_spans(body, begin[lead], stop[last], 42)
-    counts = _bit_counts(h, np.concatenate(([0], np.cumsum(m))))
-    bits = 2 * counts > m[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.int64, copy=False).view(np.int64)
+    return majority(h, np.concatenate(([0], np.cumsum(m)))).view(np.int64)
 
 
 def _fingerprint_rows(shingle: int, names: list[str]):
@@ -92,6 +96,12 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(64) if bin((1 + i % top) & v).count("1") % 2) for v in range(1, top + 1)]
 
 
+def covering_keys(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """One key for each table of each unsigned fingerprint; those within ``radius`` bits share one at least."""
+    tables = [T.mix(np.full(1, t, np.uint64)) ^ (fps & np.uint64(m)) for t, m in enumerate(covering_masks(radius))]
+    return T.mix(np.stack(tables, axis=1))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
