@@ -32,7 +32,7 @@ NEAR, OF = 8, 10
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; beyond, texts move.
 BROADCAST_ROWS = 100_000
 #: Pairs between components are compared at once when they are at most so many a member, or after so many rounds.
-FEW, ROUNDS = 8, 2
+FEW, ROUNDS = 8, 1
 #: A set or bucket that more pairs or members need is sent to one more task for each so many.
 SPLIT = 200
 #: Words of a set's parity map: each shingle flips one of 64 * WORDS bits.
@@ -133,7 +133,8 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
     """``pairs`` with the set of their ``end``; the pairs of one node are dealt to as many tasks as they fill."""
     counts = checkpointed(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
     dealt = by_count(pairs, counts, end).withColumn("part", F.pmod(F.xxhash64("a", "b"), _parts()).cast("int")).drop("n")
-    copies = sets.toDF(end, f"of_{end}").join(counts, end).withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
+    few = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    copies = sets.toDF(end, f"of_{end}").join(F.broadcast(counts) if few else counts, end).withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
     return dealt.join(copies, [end, "part"]).drop("part")
 
 
@@ -174,13 +175,13 @@ def search(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
         pairs, rows = facts.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not rows:
             return found
-        open_ = checkpointed(by_count(placed, facts.drop("same"), "key"))
+        open_ = settled(by_count(placed, facts.drop("same"), "key"))
         if pairs <= FEW * rows or turn == ROUNDS:
             return settled(found.unionByName(_near(checkpointed(_left(open_)), sets)))
         # the order is of all buckets alike, so that the buckets of one group have few heads between them
         met = open_.where("component <> head.of").where(_may_be_near("size", "bits", "head.size", "head.bits")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
         found = settled(found.unionByName(_near(checkpointed(met), sets)))
-        members = settled(open_.where("node <> head.node").select("key", "node", "size", "bits"))
+        members = open_.where("node <> head.node").select("key", "node", "size", "bits")
     return found
 
 
