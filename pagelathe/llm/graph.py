@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.shipping import in_arrow
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the folder that the session names.
@@ -59,9 +64,28 @@ def by_count(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rest)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _component_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (a, b) that one task gets."""
+    batches = list(it)
+    a, b = (np.concatenate([x.column(k).to_numpy() for x in batches] or [np.empty(0, np.int64)]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while len(a):
+        # the larger root of each edge points to the smaller one; then all point to their roots
+        np.minimum.at(low, np.maximum(low[a], low[b]), np.minimum(low[a], low[b]))
+        while (low[low] != low).any():
+            low = low[low]
+        apart = low[a] != low[b]
+        a, b = a[apart], b[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], names=["node", "component"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, at_once: int = 0) -> DataFrame:
     """(node, component): component is the smallest node reachable over ``edges`` (a, b), undirected.
 
+    Up to ``at_once`` edges (16 bytes each) are one task's, without a shuffle.
+
     Nodes that no edge touches are not returned. Each round draws a new random order of the nodes,
     points every node to the first of itself and its neighbours, follows that node's own pointer,
     and moves the edges to these representatives, until none joins two. The random order makes
@@ -69,6 +93,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joins on a hot representative can be split, so a large component is no one task's burden.
     """
     edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    if at_once and edges.count() <= at_once:
+        return checkpointed(in_arrow(edges.coalesce(1), _component_rows, "node long, component long"))
     steps: list[DataFrame] = []
     for turn in range(max_rounds):
         if edges.isEmpty():

@@ -5,10 +5,13 @@ by the SimHash of their set, so that no pair within two bits is missed. A pair o
 average; for those beyond two bits 40 bands of 6 MinHash values follow, of which a pair of similarity 0.8 shares
 none with a chance of (1 - 0.8^6)^40 = 5e-6, a closer pair with less.
 
-In each bucket all members meet one of them, near ones become one component, and that member is
-done with the bucket. A bucket whose members are one component needs no more pairs, so a group of near copies costs a few
-pairs a member, however large it is. Once the pairs between components are few, or after ROUNDS such
-rounds, all that are left are compared: each pair of a bucket has been compared or is in one component.
+All keys move twice: as one list a node, where equal sets become one node, and with their node (16 bytes),
+where shared buckets are found. Sizes, parity maps and sets follow for members of shared buckets only.
+
+In each bucket all members meet the smallest of them, and near ones become one component. A bucket whose members are
+one component needs no more pairs, so a group of near copies costs a few
+pairs a member, however large it is. Once the pairs between components are few, or after ROUNDS more
+rounds in which another member is met, all that are left are compared: each pair of a bucket has been compared or is in one component.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm import _text as T
@@ -29,8 +32,10 @@ from pagelathe.shipping import in_arrow
 SHINGLE, BANDS, ROWS = 5, 40, 6
 #: The similarity is 8/10; whole numbers decide.
 NEAR, OF = 8, 10
-#: Up to so many ids (16 bytes each) are broadcast to pick texts; beyond, texts move.
+#: Up to so many rows (of 16 to some 120 bytes) are broadcast to what looks them up; beyond, both move.
 BROADCAST_ROWS = 100_000
+#: Up to so many links (16 bytes each) are joined to components in one task.
+LINKS_AT_ONCE = 1_000_000
 #: Pairs between components are compared at once when they are at most so many a member, or after so many rounds.
 FEW, ROUNDS = 8, 1
 #: A set or bucket that more pairs or members need is sent to one more task for each so many.
@@ -99,9 +104,9 @@ def _bag_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, first = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
             # a set's every shingle counts once, so that a repeated one does not make unlike texts one fingerprint
             tables = simhash.covering_keys(simhash.majority(h, first)[sizes > 0])
-            keys = [_lists(k, (sizes > 0) * k.shape[1]) for k in (tables, band_keys(h, first), parity_maps(h, first))]
-            cols = [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(_nodes(sets)), pa.array(sizes), *keys]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "tables", "bands", "bits"])
+            keys = np.concatenate((tables, band_keys(h, first)), axis=1)
+            cols = [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(_nodes(sets)), _lists(keys, (sizes > 0) * keys.shape[1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "keys"])
 
 
 def _node_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +119,10 @@ def _set_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for i, j, buf, off in T.text_blocks(batch.column(1)):
             sets = _sets(*shingles_of(buf, off))
-            lists = _lists(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["node", "shingles"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            h = np.concatenate(sets)
+            bits = _lists(parity_maps(h, np.concatenate(([0], np.cumsum(sizes)))), (sizes > 0) * WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(h, sizes), pa.array(sizes), bits], names=["node", "shingles", "size", "bits"])
 
 
 def _may_be_near(size_a: str, bits_a: str, size_b: str, bits_b: str) -> Column:
@@ -125,6 +132,15 @@ def _may_be_near(size_a: str, bits_a: str, size_b: str, bits_b: str) -> Column:
     return fits & ((OF + NEAR) * apart <= (OF - NEAR) * (F.col(size_a) + F.col(size_b)))
 
 
+def _few(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
+
+
+def _looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with checkpointed ``facts`` (key, n, ...), one a key: few of them meet the rows where those are."""
+    return rows.join(F.broadcast(facts), key) if _few(facts) else by_count(rows, facts, key)
+
+
 def _parts(n: str = "n") -> Column:
     return F.floor(F.col(n) / SPLIT).cast("int") + 1
 
@@ -132,9 +148,8 @@ def _parts(n: str = "n") -> Column:
 def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
     """``pairs`` with the set of their ``end``; the pairs of one node are dealt to as many tasks as they fill."""
     counts = checkpointed(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
-    dealt = by_count(pairs, counts, end).withColumn("part", F.pmod(F.xxhash64("a", "b"), _parts()).cast("int")).drop("n")
-    few = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    copies = sets.toDF(end, f"of_{end}").join(F.broadcast(counts) if few else counts, end).withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
+    dealt = _looked_up(pairs, counts, end).withColumn("part", F.pmod(F.xxhash64("a", "b"), _parts()).cast("int")).drop("n")
+    copies = sets.toDF(end, f"of_{end}").join(F.broadcast(counts) if _few(counts) else counts, end).withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
     return dealt.join(copies, [end, "part"]).drop("part")
 
 
@@ -145,13 +160,6 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(OF * common >= NEAR * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def _members(nodes: DataFrame, keys: str) -> DataFrame:
-    """(key, node, size, bits) of the buckets that more than one node is in."""
-    keyed = nodes.select("node", "size", "bits", F.explode(keys).alias("key"))
-    shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return checkpointed(by_count(keyed, shared, "key").drop("n"))
-
-
 def _left(open_: DataFrame) -> DataFrame:
     """(a, b): all pairs of a bucket that are of two components and of sizes that fit.
 
@@ -164,39 +172,54 @@ def _left(open_: DataFrame) -> DataFrame:
     return met.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their component over ``found``."""
+    part = components(found, at_once=LINKS_AT_ONCE)
+    return members.join(F.broadcast(part) if _few(part) else part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def search(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` and more near pairs (a, b), which join what all near pairs within the buckets of ``members`` join."""
+    """``found`` and more near pairs (a, b), which join what all near pairs within the buckets of ``members`` (key, node, size, bits) join."""
     for turn in range(ROUNDS + 1):
-        placed = members.join(components(found), "node", "left").select("key", "node", "size", "bits", F.coalesce("component", "node").alias("component"))
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "size", "bits", F.col("component").alias("of"))
-        tally = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head"))
-        facts = tally.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "component")).alias("top"), F.min("head").alias("head"))
+        placed = _placed(members, found)
+        tally = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        facts = tally.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "component")).alias("top"))
         facts = checkpointed(facts.where("n > top.n"))
         pairs, rows = facts.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not rows:
             return found
-        open_ = settled(by_count(placed, facts.drop("same"), "key"))
+        open_ = settled(_looked_up(placed, facts.drop("same"), "key"))
         if pairs <= FEW * rows or turn == ROUNDS:
             return settled(found.unionByName(_near(checkpointed(_left(open_)), sets)))
         # the order is of all buckets alike, so that the buckets of one group have few heads between them
-        met = open_.where("component <> head.of").where(_may_be_near("size", "bits", "head.size", "head.bits")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "size", "bits", F.col("component").alias("of"))
+        heads = checkpointed(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head")))
+        led = _looked_up(open_.drop("n", "top"), heads, "key")
+        met = led.where("component <> head.of").where(_may_be_near("size", "bits", "head.size", "head.bits"))
+        met = met.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
         found = settled(found.unionByName(_near(checkpointed(met), sets)))
-        members = open_.where("node <> head.node").select("key", "node", "size", "bits")
+        members = led.where("node <> head.node").select("key", "node", "size", "bits")
     return found
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): verified links between near nodes of ``nodes`` (node, size, tables, bands, bits), which join what all near pairs that share a bucket join."""
-    buckets = [_members(nodes, keys) for keys in ("tables", "bands")]
-    wanted = checkpointed(buckets[0].select("node").unionByName(buckets[1].select("node")).distinct())
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """(a, b): verified links between near nodes of ``nodes`` (node, keys), which join what all near pairs that share a bucket join."""
+    bucket = Window.partitionBy("key")
+    # dealt as keys and nodes; nodes are hashes, so the smallest is any, and buckets of one group have few heads between them
+    keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
+    keyed = keyed.select("key", "node", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("head"))
+    keyed = checkpointed(keyed.where("n > 1").drop("n"))
+    wanted = checkpointed(keyed.select("node").distinct())
     texts = in_arrow(docs.select(F.col("text").cast("string")), _node_rows, "node long, text string")
+    few = _few(wanted)
     texts = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = checkpointed(in_arrow(texts, _set_rows, "node long, shingles array<long>"))
-    found = nodes.sparkSession.createDataFrame([], "a long, b long")
-    for members in buckets:
-        found = search(members, sets, found)
-    return found
+    facts = checkpointed(in_arrow(texts, _set_rows, "node long, shingles array<long>, size long, bits array<long>"))
+    sets, facts = facts.select("node", "shingles"), facts.select("node", "size", "bits")
+    known = F.broadcast(facts) if few else facts
+    met = keyed.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    met = met.join(known.toDF("a", "size_a", "bits_a"), "a").join(known.toDF("b", "size_b", "bits_b"), "b")
+    found = settled(_near(checkpointed(met.where(_may_be_near("size_a", "bits_a", "size_b", "bits_b")).select("a", "b")), sets))
+    return search(keyed.select("key", "node").join(known, "node"), sets, found)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -211,16 +234,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     mark = next(n for n in (f"mark{i}" for i in range(len(names) + 1)) if n not in names)
     docs = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col(mark).alias("mark"), F.col("text").cast("string"))
-    bags = checkpointed(in_arrow(rows, _bag_rows, "doc_id long, mark long, node long, size long, tables array<long>, bands array<long>, bits array<long>"))
-    nodes = bags.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "tables", "bands", "bits")])
-    part = components(links(docs, nodes))
+    bags = checkpointed(in_arrow(rows, _bag_rows, "doc_id long, mark long, node long, keys array<long>"))
     # the few nodes that links touch name their component; every other node is its own
-    few = part.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    named = bags.select("doc_id", "mark", "node").join(F.broadcast(part) if few else part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = _placed(bags.select("doc_id", "mark", "node"), links(docs, bags.groupBy("node").agg(F.first("keys").alias("keys"))))
     named = checkpointed(named.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("mark").alias("first"))).alias("m"), F.count(F.lit(1)).alias("rows"))
     # groups of one row need no join: what goes, and what repeats, is all that is looked up
-    crowded = by_count(named.drop("n"), checkpointed(first.where("rows > 1").select("component", F.col("rows").alias("n"), "m")), "component")
+    crowded = _looked_up(named.drop("n"), checkpointed(first.where("rows > 1").select("component", F.col("rows").alias("n"), "m")), "component")
     gone = crowded.where(~(F.col("doc_id").eqNullSafe(F.col("m.id")) & (F.col("mark") == F.col("m.first")))).select("doc_id", "mark")
     again = named.where("n > 1").select("doc_id", "mark")
     out = _without(docs, mark, gone)
@@ -234,6 +254,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, mark: str, gone: DataFrame) -> DataFrame:
     gone = checkpointed(gone.select(F.col("doc_id").alias("id"), F.col("mark").alias("m")).distinct())
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     same = gone["id"].eqNullSafe(docs["doc_id"].cast("long")) & (gone["m"] == docs[mark])
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    return docs.join(F.broadcast(gone) if _few(gone) else gone, same, "left_anti")

@@ -93,3 +93,38 @@ def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch, few, split):
     assert len(near) > 10
     found = near_copies.search(members, held, spark.createDataFrame([], "a long, b long"))
     assert {(x.component, x.node) for x in components(found).collect() if x.component != x.node} == near
+
+
+def test_components_of_one_task(spark):
+    r = random.Random(6)
+    chain = [(i, i + 1) for i in range(-50, 50)]
+    r.shuffle(chain)
+    some = [(r.randrange(-(1 << 63), 1 << 63), r.randrange(1000, 1400)) for _ in range(300)] + [(r.randrange(2000, 2500), r.randrange(2000, 2500)) for _ in range(300)]
+    for pairs in (chain, [(max(p), min(p)) for p in chain], some, chain + some, [(7, 7)], []):
+        edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+        want = {(x.node, x.component) for x in components(edges).collect()}
+        assert {(x.node, x.component) for x in components(edges, at_once=1000).collect()} == want
+        assert {(x.node, x.component) for x in components(edges, at_once=10).collect()} == want
+
+
+def moved(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    made, to_list = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList
+    stages = made.stageList(to_list(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), to_list())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_texts_and_keys_move_little(spark, monkeypatch, few):
+    """Also when nothing counts as few enough to broadcast."""
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", few)
+    r = random.Random(7)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(250)) for _ in range(2000)]
+    size = sum(map(len, texts))
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts[:20]])), "doc_id long, text string").repartition(4)
+    docs.cache().count()
+    before = moved(spark)
+    assert {x.doc_id for x in near_copies.one_of_each(docs).select("doc_id").collect()} == set(range(2000))
+    made = (moved(spark) - before) / size
+    docs.unpersist()
+    assert made < 0.7, made
