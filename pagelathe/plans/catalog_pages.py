@@ -100,7 +100,9 @@ def _images(s: SparkSession, d: str, kind: str, channels: int = 1) -> DataFrame:
     body = " ".join({"x": x, "y": y}.get(w, w) for w in _PX[kind].replace("(", "( ").replace(")", " )").split())
     body = f"({body} + i % {channels} * 50) % 256" if channels > 1 else body
     data = f"unhex(array_join(transform(sequence(0, {48 * channels - 1}), i -> lpad(hex({body}), 2, '0')), ''))"
-    return _table(s, d, "part").selectExpr(f"named_struct('origin', CAST(p_partkey AS STRING), 'height', 6, 'width', 8, 'nChannels', {channels}, 'data', {data}) AS image")
+    # a small row becomes an image that is worked on in Python: one file's few blocks are spread first
+    parts = _table(s, d, "part").select("p_partkey").repartition(s.sparkContext.defaultParallelism)
+    return parts.selectExpr(f"named_struct('origin', CAST(p_partkey AS STRING), 'height', 6, 'width', 8, 'nChannels', {channels}, 'data', {data}) AS image")
 
 
 def _done(kind: str, steps: list, stop: str | None = None, channels: int = 1):  # noqa: ANN202
