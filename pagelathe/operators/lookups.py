@@ -15,7 +15,9 @@ BROADCAST_BYTES = 16 << 20
 
 def _side(df: DataFrame) -> DataFrame:
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES else df
+    small = (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
+    # what is exploded is larger than its file: Spark would take the file's size and broadcast it all the same
+    return F.broadcast(df) if small else df.hint("merge")
 
 
 def catalog_fix(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
