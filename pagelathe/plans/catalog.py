@@ -41,6 +41,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _as_found(sf_dir: str, name: str) -> str:
+    """A table's path as a pattern: a stream then takes it whether it is one file or a folder of files."""
+    return f"{sf_dir}/{name}.parque[t]"
+
+
 def _on_text(name: str, f, sql: str, **more) -> None:
     """A function of ``documents.text``, as a column ``out``."""
     _add(name, lambda s, d: _table(s, d, "documents").select("doc_id", f(F.col("text")).alias("out")), f"SELECT doc_id, {sql} AS out FROM documents")
@@ -279,7 +284,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(_as_found(sf_dir, "events"))
     state = S.latest(stream.select("user_id", "event_id", F.col("event_type").alias("status")), "user_id", ["event_id"], "status")
     return S.run_once(state, "user_id")
 

@@ -124,7 +124,7 @@ _add("snk12_csv", _cells, "SELECT p_name AS document, p_brand AS profile, p_size
 def _autosaved(s: SparkSession, d: str) -> DataFrame:
     folder = S.shared_folder(s)
     schema = _table(s, d, "conversations").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d).select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text", F.lit(None).cast("string").alias("error"))
+    stream = s.readStream.schema(schema).parquet(C._as_found(d, "conversations")).select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text", F.lit(None).cast("string").alias("error"))
     S.autosave(stream, f"{folder}/pages", f"{folder}/state").awaitTermination()
     return files.export_text(s.read.schema("doc long, page long, text string, error string").json(f"{folder}/pages"))
 
@@ -245,7 +245,7 @@ _add("str09_saved_states", _saved_states, "SELECT n_nationkey AS job, 'pending'
 def _told(s: SparkSession, d: str) -> DataFrame:
     """What a listener of a stream is told, written by it."""
     folder = S.shared_folder(s)
-    stream = s.readStream.schema(_table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = s.readStream.schema(_table(s, d, "events").schema).parquet(C._as_found(d, "events"))
     S.subscribe(stream, [lambda rows, n: rows.select("event_id", "event_type").write.mode("overwrite").parquet(f"{folder}/told/batch={n}")], f"{folder}/state").awaitTermination()
     return s.read.parquet(f"{folder}/told").select("event_id", "event_type")
 
