@@ -62,10 +62,11 @@ _INN_TEXT = "(CASE o_orderkey % 3 WHEN 0 THEN CAST(7700000000 + o_orderkey * 791
 _MIX = f"(CASE p_partkey % 7 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN {_CYRILLIC.format('p_name')} WHEN 2 THEN upper(split_part(p_name, ' ', 2)) WHEN 3 THEN {_CYRILLIC.format('upper(p_type)')} WHEN 4 THEN p_brand || CAST(p_size AS STRING) WHEN 5 THEN 'і' || p_name || 'ü' ELSE p_type || '»' || p_brand END)"
 
 
-def _over(name: str, table: str, value: str, f, sql: str) -> None:
-    """A function of a string ``v`` that both engines make of ``table``'s columns, as a column ``out``."""
+def _over(name: str, table: str, value: str, f, sql: str, spread: bool = False) -> None:
+    """A function of a string ``v`` that both engines make of ``table``'s columns, as a column ``out``; ``spread`` deals rows that take long each to all cores."""
     key = _KEY[table]
-    _add(name, lambda s, d: _table(s, d, table).selectExpr(key, f"{value} AS v").select(key, f(F.col("v")).alias("out")), f"SELECT {key}, {sql} AS out FROM (SELECT *, {value} AS v FROM {table})")
+    rows = lambda s, d: _table(s, d, table).repartition(s.sparkContext.defaultParallelism) if spread else _table(s, d, table)
+    _add(name, lambda s, d: rows(s, d).selectExpr(key, f"{value} AS v").select(key, f(F.col("v")).alias("out")), f"SELECT {key}, {sql} AS out FROM (SELECT *, {value} AS v FROM {table})")
 
 
 # --- text ---------------------------------------------------------------------------------

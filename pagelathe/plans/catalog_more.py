@@ -296,7 +296,7 @@ _add("set05_title_families", lambda s, d: B.titles(_table(s, d, "orders").select
 _add("udf05_kinds", lambda s, d: B.from_pages(C._waybills(s, d).select(F.col("source").alias("doc"), F.lit(1).alias("page"), "text"), "2024-06-01", kind="other").select("source").unionByName(_table(s, d, "region").select(F.col("r_name").alias("source"))), "SELECT r_name AS source FROM region")
 
 # --- smaller ones ------------------------------------------------------------------------------------------
-_over("val14_fix_ogrn", "customer", "('1027700132' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '5')", V.fix_ogrn, f"CASE WHEN len({{n}}) = 1 AND NOT {{own}} THEN {{n}}[1] END".replace("{n}", "list_distinct(list_filter(list_concat({subs}, {dels}), lambda x: {ok}))").replace("{own}", "false").replace("{subs}", C._subs).replace("{dels}", C._dels).replace("{ok}", "CASE WHEN length(x) = 13 THEN CAST(x[1:12] AS BIGINT) % 11 % 10 = CAST(x[13] AS INT) WHEN length(x) = 15 THEN CAST(x[1:14] AS BIGINT) % 13 % 10 = CAST(x[15] AS INT) ELSE false END"))
+_over("val14_fix_ogrn", "customer", "('1027700132' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '5')", V.fix_ogrn, f"CASE WHEN len({{n}}) = 1 AND NOT {{own}} THEN {{n}}[1] END".replace("{n}", "list_distinct(list_filter(list_concat({subs}, {dels}), lambda x: {ok}))").replace("{own}", "false").replace("{subs}", C._subs).replace("{dels}", C._dels).replace("{ok}", "CASE WHEN length(x) = 13 THEN CAST(x[1:12] AS BIGINT) % 11 % 10 = CAST(x[13] AS INT) WHEN length(x) = 15 THEN CAST(x[1:14] AS BIGINT) % 13 % 10 = CAST(x[15] AS INT) ELSE false END"), spread=True)
 _over("msc09_check_digit", "orders", "CAST(770000000 + o_orderkey AS STRING)", lambda c: V.check_digit(c, V.INN10), "CAST(list_sum(list_transform([2, 4, 10, 3, 5, 9, 4, 6, 8], lambda w, i: w * CAST(v[i] AS INT))) % 11 % 10 AS INT)")
 _on_words("wrd09_whole_text", lambda w: W.rebuild_text(w, 0), "SELECT page, string_agg(t, chr(10) ORDER BY block, par, line) AS text FROM (SELECT page, block, par, line, string_agg(word, ' ' ORDER BY word_num, word) AS t FROM w GROUP BY page, block, par, line) GROUP BY page")
 _add("wrd13_edit_distance", lambda s, d: _table(s, d, "part").select("p_partkey", F.levenshtein("p_name", F.lower("p_type")).alias("n")), "SELECT p_partkey, CAST(levenshtein(p_name, lower(p_type)) AS INT) AS n FROM part")
